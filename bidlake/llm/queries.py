@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import minhash, radix_dedup
+from bidlake.llm import fertility, langid, linededup, minhash, packing, radix_dedup
 from bidlake.llm.common import table
 from bidlake.session import ship
 
@@ -19,7 +19,31 @@ def op6_radix_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.radix_classes(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup, "op6_radix_exact_dedup": op6_radix_exact_dedup}
+def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return fertility.measured(table(spark, sf_dir, "documents"))
+
+
+def op10_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model, fallback = langid.fit(spark, docs.where(~langid.held_out()))
+    out = langid.predict(spark, docs.select("doc_id", "text"), model, fallback)
+    return out.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    p = packing.packed(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op8_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicated(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")
+
+
+QUERIES = {"op2_hierarchical_packing": op2_hierarchical_packing, "op8_winnowed_line_dedup": op8_winnowed_line_dedup, "op10_language_bitmask": op10_language_bitmask, "op7_tokeniser_fertility": op7_tokeniser_fertility, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op6_radix_exact_dedup": op6_radix_exact_dedup}
 
 ORACLE_SQL = {
     "op6_radix_exact_dedup": """
