@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import fertility, langid, linededup, minhash, packing, radix_dedup
+from bidlake.llm import chat, fertility, langid, license_scan, linededup, minhash, packing, piece_dropout, radix_dedup, warc
 from bidlake.llm.common import table
 from bidlake.session import ship
 
@@ -43,7 +43,32 @@ def op8_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")
 
 
-QUERIES = {"op2_hierarchical_packing": op2_hierarchical_packing, "op8_winnowed_line_dedup": op8_winnowed_line_dedup, "op10_language_bitmask": op10_language_bitmask, "op7_tokeniser_fertility": op7_tokeniser_fertility, "op5_minhash_near_dedup": op5_minhash_near_dedup, "op6_radix_exact_dedup": op6_radix_exact_dedup}
+def op1_piece_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return piece_dropout.encoded(table(spark, sf_dir, "documents"), seed=1)
+
+
+def op3_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return chat.read_back(chat.formatted(chat.with_planted(spark, table(spark, sf_dir, "conversations"))))
+
+
+def op4_warc_splittable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_piece_merge_dropout, op2_hierarchical_packing, op3_chat_round_trip, op4_warc_splittable, op5_minhash_near_dedup, op6_radix_exact_dedup, op7_tokeniser_fertility, op8_winnowed_line_dedup, op9_license_automaton, op10_language_bitmask)
+}
+
 
 ORACLE_SQL = {
     "op6_radix_exact_dedup": """
@@ -52,3 +77,14 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM t JOIN g USING (text)
     """,
 }
+
+
+def _pipeline():
+    import corpus_pipeline
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+_pipeline()
