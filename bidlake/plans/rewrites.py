@@ -59,7 +59,7 @@ def patterns_in(df: DataFrame, text: str, patterns: DataFrame, pattern: str) ->
     so the cost is the texts' words and not texts times patterns.
     """
     p = patterns.select(F.col(pattern).alias("pattern")).distinct()
-    words = F.split(F.col(text), " ")
+    words = F.split(F.col("t"), " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(i, F.least(F.size(words), i + 2)), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
     texts = df.select(F.col(text).alias("t")).distinct().select("t", F.explode(F.array_distinct(runs)).alias("pattern"))
     found = texts.join(p, "pattern")
