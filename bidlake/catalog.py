@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,19 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+MODULES = ["operators.filters", "operators.joins", "operators.aggregates", "operators.ordering", "functions.scalars", "plans.views"]
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"bidlake.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)

@@ -52,7 +52,7 @@ def w3(spark, sf):
     return t.orderBy("rn", "source_platform").limit(40).select("id", "source_platform", "rn")
 
 
-@register("W4_share_window", sql("tender", "SELECT source_platform, status, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source_platform), 6) AS part FROM tender GROUP BY ALL"))
+@register("W4_share_window", sql("tender", "SELECT source_platform, status, round(n::DOUBLE / sum(n) OVER (PARTITION BY source_platform), 6) AS part FROM (SELECT source_platform, status, count(*) AS n FROM tender GROUP BY ALL)"))
 def w4(spark, sf):
     return tender(spark, sf).groupBy("source_platform", "status").agg(F.count(F.lit(1)).alias("n")).select("source_platform", "status", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source_platform")), 6).alias("part"))
 
