@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ["operators.filters", "operators.joins", "operators.aggregates", "operators.ordering", "functions.scalars", "plans.views"]
+MODULES = ["operators.filters", "operators.joins", "operators.aggregates", "operators.ordering", "functions.scalars", "plans.views", "plans.domain", "sources.ingest", "streaming.incremental"]
 
 
 def _load() -> None:
