@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -26,8 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _remove(files, place) -> None:
+    try:
+        files.delete(place, True)
+    except Exception:  # noqa: BLE001  the JVM is gone already
+        pass
+
+
 class Workspace:
-    """Intermediate tables of one run, in the shared folder; Spark's JVM removes them as it ends.
+    """Intermediate tables of one run, in the shared folder; they are removed as the driver ends.
 
     A table cut here is read back from files, so a lost executor costs the tasks
     it ran and not the lineage behind them.
@@ -36,8 +44,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/bidlake-{label}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+        place = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(_remove, files, place)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
