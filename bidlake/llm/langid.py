@@ -122,8 +122,14 @@ class Model:
 def fit(spark: SparkSession, rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> tuple[Model, str]:
     """Model from labelled rows, and the language with most rows in the sample."""
     labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    # texts are thinned out by hash before any is moved: about twice the sample, of which the window takes the first
+    rows_of = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    share_of = F.lit(0.0)
+    for r in rows_of:
+        share_of = F.when(F.col("lang") == r.lang, min(1.0, 2 * sample_docs / r.n)).otherwise(share_of)
+    thin = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * share_of)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = labelled.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("text", "lang")
+    sample = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("text", "lang")
     counts = sample.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("of"))
     share = counts.join(F.broadcast(total.orderBy(F.desc("of"), "lang").limit(MAX_LANGS)), "lang").withColumn("share", F.col("n") / F.col("of"))
