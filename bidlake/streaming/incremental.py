@@ -21,6 +21,7 @@ def event_stream(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFr
 
 
 def _late(df: DataFrame, column: str = "ts", by: str = LATE) -> DataFrame:
+    df = df.withColumn(column, F.col(column).cast("timestamp"))
     return df.withWatermark(column, by) if df.isStreaming else df
 
 
