@@ -11,7 +11,8 @@ still inside.
 Each mark is joined with its earliest place (by id, then line), never with all others, and
 the match is extended line by line in both directions, by up to REACH lines (a longer
 common run holds further fingerprints). The later run's lines are deleted. A deleted line
-always equals an earlier one, and the first of all equal lines is never deleted.
+always equals an earlier one, and the first of all equal lines is never deleted. What is
+joined grows with the input, so all joins are sort-merge joins, at every size.
 
 Defined cases. Null text stays null. Empty texts and lines stay. Lines are compared by
 64-bit hashes of their exact bytes. Rows with a null id are left as they are; rows that
@@ -58,25 +59,25 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     prints = ws.cut(line.where((F.col("have") >= noise) & F.col("chosen")).select("mark", "id", "spot", "p", F.col("len").cast("int").alias("len")), "prints")
     first = prints.groupBy("mark").agg(F.min(F.struct("id", "spot", "p")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = ws.cut(first.select("mark", F.col("o.id").alias("id0"), F.col("o.spot").alias("spot0"), F.col("o.p").alias("p0")), "first")
-    match = prints.join(first, "mark").where(~((F.col("id") == F.col("id0")) & (F.col("spot") == F.col("spot0")) & (F.col("p") == F.col("p0"))))
+    match = prints.join(first.hint("merge"), "mark").where(~((F.col("id") == F.col("id0")) & (F.col("spot") == F.col("spot0")) & (F.col("p") == F.col("p0"))))
     match = ws.cut(match.select("id", "spot", "p", "len", "id0", "spot0", "p0"), "match")
     # the hashes around each match, in its own document and in the earlier one
     around = lambda p: (
         F.reverse(F.slice(F.col("l.h"), F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach)))),
         F.slice(F.col("l.h"), p + F.col("len") + 1, F.lit(reach)),
     )
-    own = match.join(table, ["id", "spot"])
+    own = match.hint("merge").join(table, ["id", "spot"])
     before, after = around(F.col("p"))
     own = ws.cut(own.select("id", "spot", "p", "len", "id0", "spot0", "p0", before.alias("b"), after.alias("a")), "own")
-    other = own.join(table.select(F.col("id").alias("id0"), F.col("spot").alias("spot0"), "l"), ["id0", "spot0"])
+    other = own.hint("merge").join(table.select(F.col("id").alias("id0"), F.col("spot").alias("spot0"), "l"), ["id0", "spot0"])
     before0, after0 = around(F.col("p0"))
     ext = ws.cut(other.select("id", "spot", "p", "len", _common("b", before0).alias("back"), _common("a", after0).alias("ahead")), "ext")
     gone = ext.select("id", "spot", F.explode(F.sequence(F.col("p") - F.col("back"), F.col("p") + F.col("len") + F.col("ahead") - 1)).alias("p")).distinct()
     # back from numbers among the lines with words to numbers of lines; what stays of each document that changes
     gone = gone.groupBy("id", "spot").agg(F.array_sort(F.collect_list("p")).alias("gone"))
-    edits = gone.join(table, ["id", "spot"]).select(F.col("id").alias("id_"), F.col("spot").alias("spot_"), F.transform("gone", lambda p: F.col("l.i")[p]).alias("gone"))
+    edits = gone.hint("merge").join(table, ["id", "spot"]).select(F.col("id").alias("id_"), F.col("spot").alias("spot_"), F.transform("gone", lambda p: F.col("l.i")[p]).alias("gone"))
     edits = ws.cut(edits, "edits")
-    out = rows.join(edits, (id_ == F.col("id_")) & (F.col("spot") == F.col("spot_")), "left")
+    out = rows.join(edits.hint("merge"), (id_ == F.col("id_")) & (F.col("spot") == F.col("spot_")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     new = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     cols = [new.alias(f"c{i}") if n == text_col else F.col(f"c{i}") for i, n in enumerate(names)]
