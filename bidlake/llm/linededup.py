@@ -10,9 +10,14 @@ still inside.
 
 Each mark is joined with its earliest place (by id, then line), never with all others, and
 the match is extended line by line in both directions, by up to REACH lines (a longer
-common run holds further fingerprints). The later run's lines are deleted. A deleted line
-always equals an earlier one, and the first of all equal lines is never deleted. What is
-joined grows with the input, so all joins are sort-merge joins, at every size.
+common run holds further fingerprints). Where that place's surroundings end to agree, other
+earlier places of the mark may share more: the further lines are hashed at every width, and
+a width whose first place (again a groupBy min and an equi-join) is an earlier one is shared
+too. So the longest match with any earlier place counts, without pairs. That is every=True,
+as the query and the pipeline have it; by default only the earliest place counts. The later
+run's lines are deleted. A deleted line always equals an earlier one, and the first of all
+equal lines is never deleted. What is joined grows with the input, so all joins are
+sort-merge joins, at every size.
 
 Defined cases. Null text stays null. Empty texts and lines stay. Lines are compared by
 64-bit hashes of their exact bytes. Rows with a null id are left as they are; rows that
@@ -32,7 +37,7 @@ REACH = 2 * NOISE_WORDS
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE_WORDS, reach: int = REACH) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE_WORDS, reach: int = REACH, every: bool = False) -> DataFrame:
     """docs with later repeated runs of lines deleted from the text, and two further columns: __lines, __deleted."""
     ws = Workspace(spark, "lines")
     names = docs.columns
@@ -60,7 +65,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     first = prints.groupBy("mark").agg(F.min(F.struct("id", "spot", "p")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = ws.cut(first.select("mark", F.col("o.id").alias("id0"), F.col("o.spot").alias("spot0"), F.col("o.p").alias("p0")), "first")
     match = prints.join(first.hint("merge"), "mark").where(~((F.col("id") == F.col("id0")) & (F.col("spot") == F.col("spot0")) & (F.col("p") == F.col("p0"))))
-    match = ws.cut(match.select("id", "spot", "p", "len", "id0", "spot0", "p0"), "match")
+    match = ws.cut(match.select("mark", "id", "spot", "p", "len", "id0", "spot0", "p0"), "match")
     # the hashes around each match, in its own document and in the earlier one
     around = lambda p: (
         F.reverse(F.slice(F.col("l.h"), F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach)))),
@@ -68,11 +73,16 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     )
     own = match.hint("merge").join(table, ["id", "spot"])
     before, after = around(F.col("p"))
-    own = ws.cut(own.select("id", "spot", "p", "len", "id0", "spot0", "p0", before.alias("b"), after.alias("a")), "own")
+    own = ws.cut(own.select("mark", "id", "spot", "p", "len", "id0", "spot0", "p0", before.alias("b"), after.alias("a")), "own")
     other = own.hint("merge").join(table.select(F.col("id").alias("id0"), F.col("spot").alias("spot0"), "l"), ["id0", "spot0"])
     before0, after0 = around(F.col("p0"))
-    ext = ws.cut(other.select("id", "spot", "p", "len", _common("b", before0).alias("back"), _common("a", after0).alias("ahead")), "ext")
-    gone = ext.select("id", "spot", F.explode(F.sequence(F.col("p") - F.col("back"), F.col("p") + F.col("len") + F.col("ahead") - 1)).alias("p")).distinct()
+    ext = other.select("mark", "id", "spot", "p", "len", "b", "a", _common("b", before0).alias("back"), _common("a", after0).alias("ahead"))
+    rest = lambda c, n: F.slice(c, F.col(n) + 1, F.lit(reach))
+    ext = ws.cut(ext.select("mark", "id", "spot", "p", "len", "back", "ahead", rest("b", "back").alias("b"), rest("a", "ahead").alias("a")), "ext")
+    gone = ext.select("id", "spot", F.explode(F.sequence(F.col("p") - F.col("back"), F.col("p") + F.col("len") + F.col("ahead") - 1)).alias("p"))
+    if every:
+        gone = gone.unionByName(_further(ws, ext))
+    gone = gone.distinct()
     # back from numbers among the lines with words to numbers of lines; what stays of each document that changes
     gone = gone.groupBy("id", "spot").agg(F.array_sort(F.collect_list("p")).alias("gone"))
     edits = gone.hint("merge").join(table, ["id", "spot"]).select(F.col("id").alias("id_"), F.col("spot").alias("spot_"), F.transform("gone", lambda p: F.col("l.i")[p]).alias("gone"))
@@ -85,6 +95,21 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     return out.select(*cols, count("lines").alias("n"), count("gone").alias("d")).toDF(*names, "__lines", "__deleted")
 
 
+def _further(ws: Workspace, ext: DataFrame) -> DataFrame:
+    """The lines beyond each match that another earlier place of the mark shares: (id, spot, p)."""
+    sides = F.array(F.struct(F.lit(-1).alias("way"), (F.col("p") - F.col("back")).alias("edge"), F.col("back").alias("base"), F.col("b").alias("l")), F.struct(F.lit(1).alias("way"), (F.col("p") + F.col("len") + F.col("ahead") - 1).alias("edge"), F.col("ahead").alias("base"), F.col("a").alias("l")))
+    side = ext.select("mark", "id", "spot", "p", F.explode(sides).alias("x")).select("mark", "id", "spot", "p", "x.*").where(F.size("l") > 0)
+    # most matches share not even the next line with another
+    side = side.withColumn("k", F.xxhash64("way", "mark", "base", F.col("l")[0]))
+    twins = side.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    alive = ws.cut(side.join(twins.hint("merge"), "k").drop("k"), "alive")
+    widths = F.transform(F.sequence(F.lit(1), F.size("l")), lambda w: F.struct(w.alias("w"), F.xxhash64("way", "mark", "base", F.slice("l", F.lit(1), w)).alias("k")))
+    deep = alive.select("id", "spot", "p", "way", "edge", F.explode(widths).alias("x")).select("id", "spot", "p", "x.k", (F.col("edge") + F.col("way") * F.col("x.w")).alias("line"))
+    lead = deep.groupBy("k").agg(F.min(F.struct("id", "spot", "p")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "o")
+    found = deep.join(lead.hint("merge"), "k").where(F.struct("id", "spot", "p") != F.col("o"))
+    return found.select("id", "spot", F.col("line").cast("int").alias("p"))
+
+
 def _common(mine: str, theirs):
     """How many elements two arrays share from the start on."""
     same = F.zip_with(F.col(mine), theirs, lambda x, y: x.eqNullSafe(y))

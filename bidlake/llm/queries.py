@@ -39,7 +39,7 @@ def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.deduplicated(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.deduplicated(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), every=True)
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"), "text")
 
 

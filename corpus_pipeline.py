@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go from the texts; n_chars follows."""
-    out = linededup.deduplicated(spark, docs).drop("__lines", "__deleted")
+    out = linededup.deduplicated(spark, docs, every=True).drop("__lines", "__deleted")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -310,6 +310,52 @@ def test_line_dedup_of_edge_cases(spark, docs, none, rows):
     assert linededup.deduplicated(spark, none).count() == 0
 
 
+def longest_line_dedup(docs, noise, reach):
+    """As plain_line_dedup, but against every earlier place of a mark."""
+    lines = {i: [(k, x, len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if WORD.search(x)] for i, t in docs.items()}
+    h = lambda line: (lambda v: v - 2**64 if v >= 2**63 else v)(xxhash.xxh64(line.encode(), seed=42).intdigest())
+    places = defaultdict(list)
+    for i, ls in lines.items():
+        wins = {}
+        for p in range(len(ls)):
+            for q in range(p, len(ls)):
+                if sum(w for _, _, w in ls[p : q + 1]) >= noise:
+                    wins[p] = tuple(x for _, x, _ in ls[p : q + 1])
+                    break
+        for p in {min((h(x), p + k) for k, x in enumerate(win))[1] for p, win in wins.items()} & set(wins):
+            places[wins[p]].append((i, p))
+    same = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    gone = defaultdict(set)
+    for mark, at in places.items():
+        for i, p in at:
+            a = [x for _, x, _ in lines[i]]
+            for j, q in (o for o in at if o < (i, p)):
+                b, n = [x for _, x, _ in lines[j]], len(mark)
+                back = same(a[max(0, p - reach) : p][::-1], b[max(0, q - reach) : q][::-1])
+                gone[i] |= {lines[i][k][0] for k in range(p - back, p + n + same(a[p + n :][:reach], b[q + n :][:reach]))}
+    return {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in docs.items()}
+
+
+@pytest.mark.parametrize("noise,reach", [(25, 50), (6, 12), (10, 3)])
+def test_line_dedup_finds_the_longest_earlier_run(spark, noise, reach):
+    d = corpus()
+    got = linededup.deduplicated(spark, spark.createDataFrame(list(d.items()), "doc_id long, text string").repartition(3), noise=noise, reach=reach, every=True).collect()
+    assert {r.doc_id: (r.text, r["__deleted"]) for r in got} == longest_line_dedup(d, noise, reach)
+
+
+def test_line_dedup_beyond_the_earliest_place(spark):
+    h = lambda line: xxhash.xxh64(line.encode(), seed=42).intdigest() ^ 2**63  # noqa: E731  ordered as signed
+    # lines of ten words by their hash: the run's least is c3, and c5 and the lines around come before c4, c1 and c2
+    pool = sorted((" ".join(f"{w}{i}" for w in "abcdefghij") for i in range(40)), key=h)
+    c3, c5, before, c6, c4, c1, c2, x, y = pool[0], pool[1], pool[2:4], pool[10], pool[11], pool[12], pool[13], pool[30], pool[31]
+    run = [c1, c2, c3, c4, c5, c6]
+    d = {1: "\n".join([x, c3, c4, c5, y]), 2: "\n".join([before[0], *run, pool[32]]), 3: "\n".join([before[1], *run, pool[33]])}
+    docs = spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicated(spark, docs, every=True).collect()}
+    assert got[3] == "\n".join([before[1], pool[33]])
+    assert c1 in got[2] and c2 in got[2] and c6 in got[2]
+
+
 # --- the pipeline ---
 
 
