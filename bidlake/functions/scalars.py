@@ -285,6 +285,12 @@ def x4(spark, sf):
     return raw(spark, sf, "documents").select("doc_id", fold(F.substring("text", 1, 80)).alias("t"))
 
 
+@register("X4b_norm_text_whole", "SELECT doc_id, translate(lower(text), 'эёыйщьъ', 'ееииш') AS t FROM documents")
+def x4b(spark, sf):
+    """X4 cuts texts as its SQL does; this takes them whole."""
+    return raw(spark, sf, "documents").select("doc_id", fold("text").alias("t"))
+
+
 @register("X5_canonical_terms")
 def x5(spark, sf):
     ship(spark)
