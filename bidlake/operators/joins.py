@@ -55,6 +55,13 @@ def j7(spark, sf):
     return d.join(lab, d.a == lab.b, "full_outer").select(F.coalesce("a", "b").alias("doc_id"), F.col("a").isNotNull().alias("has_doc"), F.col("b").isNotNull().alias("has_label"))
 
 
+@register("J7b_full_outer_all", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS has_doc, l.doc_id IS NOT NULL AS has_label FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id")
+def j7b(spark, sf):
+    """J7 over all documents."""
+    d, lab = raw(spark, sf, "documents").select(F.col("doc_id").alias("a")), raw(spark, sf, "labels").select(F.col("doc_id").alias("b"))
+    return d.join(lab, d.a == lab.b, "full_outer").select(F.coalesce("a", "b").alias("doc_id"), F.col("a").isNotNull().alias("has_doc"), F.col("b").isNotNull().alias("has_label"))
+
+
 def fuse(rankings: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of rankings (key, rnk): union and sum, which needs one shuffle and no outer joins."""
     out = None

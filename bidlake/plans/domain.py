@@ -95,6 +95,12 @@ def d5(spark, sf):
     return text_match(spark, sf, terms)
 
 
+@register("D5b_text_match_all", sql("good product tender", "SELECT DISTINCT tender_id AS id FROM good g WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(keywords) AS term FROM product WHERE company_id = 0 AND code IS NULL) x WHERE contains(' ' || g.name || ' ', ' ' || x.term || ' '))"))
+def d5b(spark, sf):
+    """D5 over all uncoded products of the company."""
+    return text_match(spark, sf, product(spark, sf).where("company_id = 0 AND code IS NULL").select(F.explode("keywords").alias("term")).distinct())
+
+
 @register("D6_catalog_match", sql("good product tender", f"""SELECT t.id, max(x.score) AS score, NOT bool_or(area_path LIKE '33.2.%') AS outside FROM tender t JOIN (
     SELECT tender_id, 100 AS score FROM good WHERE good_code IN (SELECT code FROM product WHERE company_id = 2 AND code IS NOT NULL)
     UNION ALL SELECT tender_id, 80 FROM good WHERE substr(good_code, 1, 5) IN (SELECT substr(code, 1, 5) FROM product WHERE company_id = 2 AND code IS NOT NULL)
@@ -421,6 +427,14 @@ def d38(spark, sf):
     return d.where("doc_id % 2 = 1").join(donors, "h").select("doc_id", "donor")
 
 
+@register("D38b_reuse_by_hash_all", "SELECT doc_id, donor FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS donor FROM documents) WHERE doc_id <> donor")
+def d38b(spark, sf):
+    """The first document of each text is the donor of all others."""
+    d = raw(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    donors = d.groupBy("h").agg(F.min("doc_id").alias("donor"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return d.join(donors, "h").where("doc_id <> donor").select("doc_id", "donor")
+
+
 @register("D39_text_for_vectors", sql("good", "SELECT tender_id, left(string_agg(name, '; ' ORDER BY rn), 1200) AS txt FROM (SELECT tender_id, name, row_number() OVER (PARTITION BY tender_id ORDER BY totalcost_item DESC, good_no, part_id) AS rn FROM good) WHERE rn <= 5 GROUP BY tender_id"))
 def d39(spark, sf):
     g = top_per(good(spark, sf), ["tender_id"], 5, F.desc("totalcost_item"), "good_no", "part_id")

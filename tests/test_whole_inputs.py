@@ -11,3 +11,25 @@ SF = "/root/testdata/sf0.001"
 def test_whole_texts_are_normalised(spark):
     got = catalog.queries()["X4b_norm_text_whole"](spark, SF).join(raw(spark, SF, "documents"), "doc_id")
     assert got.where(F.length("text") > 80).where(F.length("t") > 80).count() == got.where(F.length("text") > 80).count() > 0
+
+
+def test_all_documents_count(spark):
+    q, docs, labels = catalog.queries(), raw(spark, SF, "documents").select("doc_id"), raw(spark, SF, "labels").select("doc_id")
+    ids = docs.union(labels).distinct().count()
+    assert q["J7b_full_outer_all"](spark, SF).count() == ids
+    assert q["V2c_document_coverage_all"](spark, SF).agg(F.sum("total")).first()[0] == ids
+    assert q["V2d_orphans_all"](spark, SF).count() == labels.subtract(docs).count()
+
+
+def test_every_equal_text_has_the_first_as_donor(spark):
+    ids = {}
+    for r in sorted(raw(spark, SF, "documents").select("doc_id", "text").collect()):
+        ids.setdefault(r.text or "", []).append(r.doc_id)
+    want = {(i, v[0]) for v in ids.values() for i in v[1:]}
+    assert {tuple(r) for r in catalog.queries()["D38b_reuse_by_hash_all"](spark, SF).collect()} == want
+
+
+def test_terms_of_all_products_are_matched(spark):
+    terms = {w for r in product(spark, SF).where("company_id = 0 AND code IS NULL").collect() for w in r.keywords}
+    want = {r.tender_id for r in good(spark, SF).select("tender_id", "name").collect() if terms & set(r.name.split(" "))}
+    assert {r.id for r in catalog.queries()["D5b_text_match_all"](spark, SF).collect()} == want
