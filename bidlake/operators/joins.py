@@ -107,6 +107,22 @@ def j11(spark, sf):
     return similar(p, "name", "name", p, "name", "name", 0.5).where("lid < rid").select(F.col("lid").alias("a_name"), F.col("rid").alias("b_name"), F.round("sim", 6).alias("sim"))
 
 
+def _tri_sim(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+
+
+@register("J11b_trigram_names_words", sql("product", f""", n AS (SELECT DISTINCT name AS t, {_TRI.format("name")} AS g FROM product),
+    w AS (SELECT DISTINCT t, {_TRI.format("t")} AS g FROM (SELECT unnest(regexp_split_to_array(name, '[^[:alnum:]]+')) AS t FROM product) WHERE length(t) >= 4)
+    SELECT 'name' AS kind, a.t AS a_text, b.t AS b_text, round({_tri_sim("a.g", "b.g")}, 6) AS sim FROM n a JOIN n b ON a.t < b.t WHERE {_tri_sim("a.g", "b.g")} >= 0.3
+    UNION ALL SELECT 'word', a.t, b.t, round({_tri_sim("a.g", "b.g")}, 6) FROM w a JOIN n b ON a.t <> b.t WHERE {_tri_sim("a.g", "b.g")} >= 0.3"""))
+def j11b(spark, sf):
+    """The reference's threshold, for names with names and for names' words of four letters or more with names."""
+    p = product(spark, sf).select("name").distinct()
+    w = p.select(F.explode(F.split("name", r"[^\p{Alnum}]+")).alias("name")).where(F.length("name") >= 4).distinct()
+    pairs = lambda kind, left, keep: similar(left, "name", "name", p, "name", "name", 0.3).where(keep).select(F.lit(kind).alias("kind"), F.col("lid").alias("a_text"), F.col("rid").alias("b_text"), F.round("sim", 6).alias("sim"))
+    return pairs("name", p, "lid < rid").union(pairs("word", w, "lid <> rid"))
+
+
 @register("J12_lateral_topk", sql("tender", "SELECT id, other, rn FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.totalcost - b.totalcost), b.id) AS rn FROM tender a JOIN tender b ON a.buyer_id = b.buyer_id AND a.id <> b.id AND b.totalcost IS NOT NULL WHERE a.totalcost IS NOT NULL) WHERE rn <= 2"))
 def j12(spark, sf):
     t = tender(spark, sf).where("totalcost IS NOT NULL").select("id", "buyer_id", "totalcost")

@@ -33,3 +33,8 @@ def test_terms_of_all_products_are_matched(spark):
     terms = {w for r in product(spark, SF).where("company_id = 0 AND code IS NULL").collect() for w in r.keywords}
     want = {r.tender_id for r in good(spark, SF).select("tender_id", "name").collect() if terms & set(r.name.split(" "))}
     assert {r.id for r in catalog.queries()["D5b_text_match_all"](spark, SF).collect()} == want
+
+
+def test_trigram_pairs_from_three_tenths_on(spark):
+    got = catalog.queries()["J11b_trigram_names_words"](spark, SF).groupBy("kind").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.kind for r in got} >= {"name"} and all(0.3 <= r.least < 0.5 for r in got)
