@@ -92,7 +92,7 @@ def j9(spark, sf):
 def j10(spark, sf):
     p = spark.createDataFrame([(0, "bolt"), (1, "red gear"), (2, "anvil"), (3, "absent")], "ord int, pattern string")
     names = good(spark, sf).groupBy("name").agg(F.count(F.lit(1)).alias("c"))
-    n = patterns_in(names, "name", p, "pattern").groupBy("pattern").agg(F.sum("c").alias("n"))
+    n = patterns_in(names, "name", p, "pattern", inside=True).groupBy("pattern").agg(F.sum("c").alias("n"))
     return p.join(n, "pattern", "left").select("ord", "pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 

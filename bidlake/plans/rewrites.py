@@ -52,15 +52,19 @@ def similar(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, r
     return out.select("lid", "rid", "common", "sim")
 
 
-def patterns_in(df: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+def patterns_in(df: DataFrame, text: str, patterns: DataFrame, pattern: str, inside: bool = False) -> DataFrame:
     """Rows of df with each pattern their text contains; patterns are deduplicated first.
 
-    A literal that is a run of whole words is found by an equi-join on the text's word runs,
-    so the cost is the texts' words and not texts times patterns.
+    A literal is a run of whole words, or with inside=True any run of characters. It is found by an
+    equi-join on the text's runs of each length that a pattern has, so the cost is the texts' words
+    (characters) for each such length and not texts times patterns.
     """
-    p = patterns.select(F.col(pattern).alias("pattern")).distinct()
-    words = F.split(F.col("t"), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(i, F.least(F.size(words), i + 2)), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
-    texts = df.select(F.col(text).alias("t")).distinct().select("t", F.explode(F.array_distinct(runs)).alias("pattern"))
-    found = texts.join(p, "pattern")
+    p = patterns.select(F.col(pattern).alias("pattern")).where("pattern IS NOT NULL").distinct()
+    length = (lambda c: F.length(c)) if inside else (lambda c: F.size(F.split(c, " ")))
+    lengths = p.agg(F.collect_set(length(F.col("pattern"))).alias("n")).scalar()
+    texts = df.select(F.col(text).alias("t")).where("t IS NOT NULL").distinct().withColumn("n", F.explode(lengths)).where(length(F.col("t")) >= F.col("n"))
+    words = F.split("t", " ")
+    run = (lambda i: F.substring(F.col("t"), i, F.col("n"))) if inside else (lambda i: F.array_join(F.slice(words, i, F.col("n")), " "))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(length(F.col("t")) - F.col("n") + 1, F.lit(1))), run)
+    found = texts.select("t", F.explode(F.array_distinct(runs)).alias("pattern")).join(p, "pattern")
     return df.join(found, df[text] == found.t).drop("t")

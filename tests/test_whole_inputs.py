@@ -38,3 +38,14 @@ def test_terms_of_all_products_are_matched(spark):
 def test_trigram_pairs_from_three_tenths_on(spark):
     got = catalog.queries()["J11b_trigram_names_words"](spark, SF).groupBy("kind").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).collect()
     assert {r.kind for r in got} >= {"name"} and all(0.3 <= r.least < 0.5 for r in got)
+
+
+def test_patterns_of_any_length_and_inside_words(spark):
+    from bidlake.plans.rewrites import patterns_in
+
+    texts = ["big red steel bolts five", "bolts", "a", "", "x big red steel bolts five y"]
+    pats = ["big red steel bolts five", "bolt", "red steel bolts five", "five", "bolts", "l", "", "big red steel bolts five y z"]
+    t, p = spark.createDataFrame([(x,) for x in texts], "name string"), spark.createDataFrame([(x,) for x in [*pats, None]], "pattern string")
+    got = lambda **k: {tuple(r) for r in patterns_in(t, "name", p, "pattern", **k).select("name", "pattern").collect()}
+    assert got() == {(x, y) for x in texts for y in pats if f" {y} " in f" {x} "}
+    assert got(inside=True) == {(x, y) for x in texts for y in pats if y in x}
