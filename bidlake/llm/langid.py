@@ -5,14 +5,16 @@ SAMPLE_DOCS labelled documents (whole texts, chosen by hash). N-grams that are m
 frequent in a language than over all languages are put into that language's Bloom filter,
 at most TOP_GRAMS for a language. The filters share their hash functions and are stored
 bit-sliced: slot i is a word whose bit l says whether slot i of language l's filter is set,
-so HASHES look-ups and an AND give all languages that contain an n-gram.
+so HASHES look-ups and an AND give all languages that contain an n-gram. A word has at most
+WORD_BITS bits; there is a table for each WORD_BITS languages.
 
 Decide. A text's n-grams are looked up at once; per language the bits are counted. Each
 count is corrected for the filter's false positives (share of its slots set, to the power
 of HASHES): (hits - rate * n) / (1 - rate). The largest corrected count wins, ties go to
 the language first by name; score is its share of all positive corrected counts.
 
-The sample, the counted n-grams that reach the driver and the filters all have fixed bounds.
+The sample, the counted n-grams that reach the driver and the filters grow with the number
+of labels only, not with the documents.
 
 Defined cases. Null text or a text without a letter gives `und` with score 0. A text none of
 whose n-grams is known gives the language with most labelled documents in the sample, score 0.
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, TOP_GRAMS, GRAMS, HASHES, SLOT_BITS, MAX_LANGS = 2000, 20_000, (2, 3, 4), 3, 20, 64
+SAMPLE_DOCS, TOP_GRAMS, GRAMS, HASHES, SLOT_BITS, WORD_BITS = 2000, 20_000, (2, 3, 4), 3, 20, 64
 LEAST_RATIO, LEAST_COUNT = 1.5, 5
 _points: dict[str, np.ndarray] = {}
 
@@ -96,23 +98,30 @@ class Model:
 
     def __init__(self, langs: list[str], grams: dict[str, np.ndarray], bits: int = SLOT_BITS):
         self.langs, self.bits = langs, bits
-        word = next(t for t, w in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= w)
-        self.table = np.zeros(1 << bits, word)
-        for l, name in enumerate(langs):
-            for s in slots(grams.get(name, np.zeros(0, np.uint64)), bits):
-                self.table[s] |= word(1 << l)
-        fill = np.array([((self.table >> word(l)) & word(1)).mean() for l in range(len(langs))])
-        self.rate = fill**HASHES
+        self.tables, fill = [], []
+        for first in range(0, len(langs), WORD_BITS):
+            some = langs[first : first + WORD_BITS]
+            word = next(t for t, w in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(some) <= w)
+            table = np.zeros(1 << bits, word)
+            for l, name in enumerate(some):
+                for s in slots(grams.get(name, np.zeros(0, np.uint64)), bits):
+                    table[s] |= word(1 << l)
+            fill += [((table >> word(l)) & word(1)).mean() for l in range(len(some))]
+            self.tables.append(table)
+        self.rate = np.array(fill) ** HASHES
 
     def predict(self, text: str | None, fallback: str) -> tuple[str, float]:
         points = letters(text or "")
         if not len(points) or not self.langs:
             return "und", 0.0
         h = gram_hashes(points)
-        found = None
-        for s in slots(h, self.bits):
-            found = self.table[s] if found is None else found & self.table[s]
-        hits = np.array([np.count_nonzero(found & found.dtype.type(1 << l)) for l in range(len(self.langs))], float)
+        at, hits = list(slots(h, self.bits)), []
+        for k, table in enumerate(self.tables):
+            found = table[at[0]]
+            for s in at[1:]:
+                found = found & table[s]
+            hits += [np.count_nonzero(found & found.dtype.type(1 << l)) for l in range(min(WORD_BITS, len(self.langs) - k * WORD_BITS))]
+        hits = np.array(hits, float)
         true = np.maximum((hits - self.rate * len(h)) / np.maximum(1 - self.rate, 1e-9), 0)
         if true.sum() <= 0:
             return fallback, 0.0
@@ -123,22 +132,21 @@ def fit(spark: SparkSession, rows: DataFrame, text_col: str = "text", lang_col:
     """Model from labelled rows, and the language with most rows in the sample."""
     labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     # texts are thinned out by hash before any is moved: about twice the sample, of which the window takes the first
-    rows_of = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    share_of = F.lit(0.0)
-    for r in rows_of:
-        share_of = F.when(F.col("lang") == r.lang, min(1.0, 2 * sample_docs / r.n)).otherwise(share_of)
+    rows_of = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    shares = {r.lang: min(1.0, 2 * sample_docs / r.n) for r in rows_of}
+    share_of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")), F.lit(0.0)) if shares else F.lit(0.0)
     thin = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * share_of)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     sample = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("text", "lang")
     counts = sample.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("of"))
-    share = counts.join(F.broadcast(total.orderBy(F.desc("of"), "lang").limit(MAX_LANGS)), "lang").withColumn("share", F.col("n") / F.col("of"))
+    share = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("of"))
     mean = share.withColumn("mean", F.sum("share").over(Window.partitionBy("gram")))
-    langs = [r.lang for r in total.orderBy(F.desc("of"), "lang").limit(MAX_LANGS).collect()]
+    langs = [r.lang for r in total.orderBy(F.desc("of"), "lang").collect()]
     telling = mean.where((F.col("n") >= LEAST_COUNT) & (F.col("share") * len(langs) >= LEAST_RATIO * F.col("mean")))
     best = telling.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).where(F.col("k") <= top_grams)
     grams: dict[str, list[int]] = {}
-    for r in best.select("lang", "gram").collect():  # at most MAX_LANGS * top_grams rows
+    for r in best.select("lang", "gram").collect():  # at most top_grams rows a language
         grams.setdefault(r.lang, []).append(r.gram)
     return Model(sorted(langs), {k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()}), (langs[0] if langs else "und")
 
@@ -173,4 +181,4 @@ def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text", lan
     model, fallback = fit(spark, docs, text_col, lang_col)
     names = docs.columns
     got = predict(spark, docs, model, fallback, text_col).toDF(*[f"c{i}" for i in range(len(names))], "p", "s")
-    return got.where((F.col("p") != "und") & (F.col("s") >= least_score)).select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
+    return got.where((F.col("p") != "und") & (F.col("s") > 0) & (F.col("s") >= least_score)).select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

@@ -234,6 +234,20 @@ def test_every_templates_language_is_found():
     assert (found & 3 == 3).all()
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    # 70 made-up languages, each of its own three letters; the last ones have fewest documents
+    of = lambda k: " ".join("".join(chr(0x4E00 + 3 * k + (i + j) % 3) for j in range(3)) for i in range(6))
+    rows = spark.createDataFrame([(f"l{k:02d}", of(k)) for k in range(70) for _ in range(80 - k)], "lang string, text string")
+    model, fallback = langid.fit(spark, rows)
+    assert len(model.langs) == 70
+    assert [model.predict(of(k), fallback)[0] for k in range(70)] == [f"l{k:02d}" for k in range(70)]
+
+
+def test_texts_without_a_known_gram_go(spark):
+    rows = spark.createDataFrame([("a", "red green blue " * 5)] * 9 + [("b", "rouge vert bleu " * 5)] * 9 + [(None, "\u65e5\u672c\u8a9e"), (None, "red blue green")], "lang string, text string")
+    assert {r.text for r in langid.keep_known(spark, rows).where("lang IS NULL").collect()} == {"red blue green"}
+
+
 def test_language_of_held_out_documents(spark, docs, none):
     d = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     model, fallback = langid.fit(spark, d.where(~langid.held_out()))
