@@ -12,11 +12,13 @@ against the file's own library.
 4. A shard's last tokens become sequences of powers of two; nothing is padded.
 5. Sequences of a tier are dealt into step groups of equal token counts, in snake order of
    their attention cost (the sum of squared piece lengths), so groups cost about the same.
+   Groups are balanced within a block of BLOCK_TOKENS of one shard, not over the whole table.
 
 Each input partition is a shard packed where it lies: no shuffle, and a lost task's shard is
 packed again to the same result. Memory is bounded by BLOCK_TOKENS and the longest document.
 
-Defined cases. Null and empty texts are the closing id alone. Repeated rows are packed once
+Defined cases. Null and empty texts are the closing id alone. Strings of the vocabulary's added
+tokens inside a text are those tokens, as in the file's own library. Repeated rows are packed once
 each; their pieces share a doc_id. Empty tables give an empty result.
 """
 
@@ -35,7 +37,7 @@ _encoders: dict = {}
 
 
 def encoder(path: str, pattern: str):
-    """The vocabulary of a byte-level BPE file (JSON), as text -> array of ids; special strings are ordinary text."""
+    """The vocabulary of a byte-level BPE file (JSON), as text -> array of ids; the strings of its added tokens give their ids."""
     if path not in _encoders:
         import tiktoken
 
@@ -45,12 +47,12 @@ def encoder(path: str, pattern: str):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
         back = {c: b for b, c in shown.items()}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         order = [spec["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         if order != sorted(order):
             raise ValueError("merge order and ids differ in this vocabulary")
-        _encoders[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -200,7 +202,7 @@ def _packer(path: str, pattern: str):
             id_type = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                ids = np.concatenate([enc.encode_to_numpy(text, disallowed_special=()).astype(np.uint32), closing]) if text else closing
+                ids = np.concatenate([enc.encode_to_numpy(text, allowed_special="all").astype(np.uint32), closing]) if text else closing
                 docs.append((i, ids))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:

@@ -19,6 +19,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, None, None, None), (2, 1, "assistant", "</s>[INST] x [/INST]"), (2, 1, "assistant", "</s>[INST] x [/INST]"), (3, 0, "tool:]x", "a\\b [/ROLE] \\l"),
     (4, 2, "system", " lead and trail "), (4, 1, "assistant", ""), (None, 0, "user", "no id"), (5, 0, "assistant", "é" * 50_000), (6, 0, "user", "[INST"), (6, 1, "user", "[/INST] <s>"),
+    *((7, 0, "user", t) for t in ("a\t", "a", "a b", "a!", "[INST", "[/INST] z", "[ plain", "", "a \\\\ [BOT", "a \\\\ b")), (8, 0, "assistant", "b </s>"), (8, 0, "assistant", "b"), (8, 0, "assistant", "b\n"),
 ]
 
 
@@ -39,7 +40,7 @@ def test_chat_digests(spark):
     assert set(got) == set(by)
     whole = {r.conv_id: r.formatted for r in chat.conversations(segments).collect()}
     for k, turns in by.items():
-        turns.sort(key=lambda t: (t[1] is not None, t[1] or 0, t[2] or ""))
+        turns.sort(key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
         r = got[k]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == plain_conversation(turns)
         assert r.formatted_chars == len(whole[k])
@@ -54,7 +55,19 @@ def test_loss_mask_is_the_assistants_text(spark):
         assert (r.loss_start is None) == (r.role != "assistant")
         if r.loss_start is not None:
             body = r.segment[r.loss_start : r.loss_start + r.loss_length]
-            assert r.segment == f"[BOT{'*' if r.escaped else ''}] {body} </s>"
+            assert r.segment == f"[BOT{'' if r.escaped is None else '*'}] {body} </s>"
+
+
+def test_digest_follows_the_mask():
+    """A mask over other text than the assistants' gives that text's digest."""
+    d, shown = chat.Digest(), [("user", "one </s>"), ("assistant", "two")]
+    for (role, text), masked in zip(shown, (True, False), strict=True):
+        segment, _, start, length = chat.rendered(role, text)
+        d.add(segment, *((start, length) if masked else (None, None)))
+    assert d.row()[2:4] == (8, hashlib.sha256(b"one </s>").hexdigest())
+    d = chat.Digest()
+    with pytest.raises(ValueError):
+        d.add(chat.rendered("user", "one")[0], 0, 5)
 
 
 PARTS = st.lists(st.sampled_from(["[INST", "[/INST]", "</s>", "<s>", "\\", "[", "]", " ", "b", "l", "[ROLE:x] ", "*", "\n", "é"]), max_size=12).map("".join)
@@ -65,9 +78,14 @@ PARTS = st.lists(st.sampled_from(["[INST", "[/INST]", "</s>", "<s>", "\\", "[",
 def test_any_turns_come_back(turns):
     stream = "".join(chat.rendered(r, t)[0] for r, t in turns)
     assert [(r, t) for r, t, _, _ in chat.parse(stream)] == turns
+    for step in (1, 3, 7):  # the borders come from the grammar, however the stream is cut
+        reader = chat.Reader()
+        got = [x for at in range(0, len(stream), step) for x in reader.feed(stream[at : at + step])]
+        reader.close()
+        assert [x[:2] for x in got] == turns and all(stream[x[2] : x[2] + len(x[3])] == x[3] for x in got)
 
 
-@pytest.mark.parametrize("bad", ["x", "[INST] x", "[ROLE] x [/ROLE]", "[INST*] [SYS [/INST]"])
+@pytest.mark.parametrize("bad", ["x", "[INST] x", "[ROLE] x [/ROLE]", "[INST*] [SYS [/INST]", "[INST] [SYS [/INST]", "[INST", "[INST] a [/INST]b", "[INST] a [/INST][BOT"])
 def test_parser_refuses(bad):
     with pytest.raises(ValueError):
         chat.parse(bad)

@@ -86,7 +86,6 @@ def test_encoding_and_decoding_tables(docs, none, rows):
 
 def check_packing(pieces, texts):
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     ids = {k: np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], np.uint32) for k, t in texts.items()}
     by_doc, by_seq = {}, {}
     for r in pieces:
@@ -112,6 +111,18 @@ def test_packing(spark, docs, none, rows):
     check_packing(packing.packed(d).collect(), {r.doc_id: r.text for r in d.collect()})
 
 
+def test_encoder_gives_the_ids_of_the_files_own_library():
+    import random
+
+    tok, enc = Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.encoder(public.path("byte_bpe_50k.json"), public.PATTERN)
+    r = random.Random(3)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "The", "don't", "12", "é", "日本", "😀", "\t", "||", "\x00", "x" * 30]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<<|endoftext|>>", *("".join(r.choices(parts, k=r.randrange(12))) for _ in range(5000))]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [enc.encode_to_numpy(t, allowed_special="all").tolist() for t in texts] == want
+
+
 def test_packing_in_small_blocks_gives_whole_documents(monkeypatch):
     shard = packing.Shard(0)
     g = np.random.default_rng(1)
