@@ -2,12 +2,14 @@
 
 Writing. Each page is a WARC/1.1 record in a gzip member of its own. Pages with equal
 payloads are found by a groupBy on a SHA-256 of the payload (pre-aggregated, so a payload
-that a third of all pages share does no harm); the largest page_id is the response, the
-others are revisits that name it and hold no payload. Tasks write to the shared folder, each
+that a third of all pages share does no harm; joins back are salted, and payloads are moved
+by id and digest); the largest page_id is the response, the others are revisits that name it
+and hold no payload. Tasks write to the shared folder, each
 attempt under a name of its own; a manifest table, which Spark commits for successful
 attempts only, says which files count.
 
-Reading. A file is cut into byte ranges, one row each, and Spark deals the ranges out. A
+Reading. A file is cut into byte ranges, one row each, and Spark deals the ranges out, in as
+many tasks as the archives' bytes ask for. A
 task scans its range for the gzip magic, decodes the start of each candidate member and
 takes it for a record if it begins with a WARC version line; it owns the records that start
 inside its range and reads the last of them past the range's end. Candidates inside
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from bidlake.llm.common import Workspace
 
-MAGIC, FILE_BYTES, RANGE_BYTES, READ = b"\x1f\x8b\x08", 256 << 20, 8 << 20, 1 << 18
+MAGIC, FILE_BYTES, RANGE_BYTES, TASK_BYTES, READ, SALTS = b"\x1f\x8b\x08", 256 << 20, 8 << 20, 128 << 20, 1 << 18, 32
 #: Fixed values of the WARC format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, offset long"
@@ -81,10 +83,14 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, payload and refers_to (null: response) of each page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256))
-    groups = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha").alias("sha_"), "top")
-    known = rows.join(groups, F.col("sha") == F.col("sha_"), "left")
-    refers = F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
-    return known.select("page_id", "url", "payload", refers.alias("refers_to"))
+    light = rows.where(F.octet_length("payload") >= least).select("page_id", "sha")
+    groups = light.groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1 AND top IS NOT NULL")
+    # a digest that a third of all pages share meets its group in SALTS places, and payloads meet their verdicts by id and digest
+    salted = groups.select(F.col("sha").alias("sha_"), "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+    again = light.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), (F.col("sha") == F.col("sha_")) & (F.col("salt") == F.col("salt_")))
+    again = again.where(~F.col("page_id").eqNullSafe(F.col("top"))).select(F.col("page_id").alias("id_"), F.col("sha").alias("sha_"), "top")
+    known = rows.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_")), "left")
+    return known.select("page_id", "url", "payload", F.col("top").alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", least: int = 0) -> DataFrame:
@@ -220,7 +226,10 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return ranges.repartition("path", "start").mapInArrow(run, RECORD)
+    # ranges are tiny rows, which adaptive execution would gather in one task: as many tasks as the bytes ask for
+    size = manifest.agg(F.sum("bytes"), F.sum(F.ceil(F.col("bytes") / range_bytes))).first()
+    tasks = max(1, min(size[1] or 1, max(-(-(size[0] or 0) // TASK_BYTES), 4 * manifest.sparkSession.sparkContext.defaultParallelism)))
+    return ranges.repartition(tasks).mapInArrow(run, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
