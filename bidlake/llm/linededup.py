@@ -8,16 +8,15 @@ and that has 2 * NOISE_WORDS words or more has a fingerprint with the same mark
 its first window ends before half of it, and so the window of that window's minimum is
 still inside.
 
-Each mark is joined with its earliest place (by id, then line), never with all others, and
-the match is extended line by line in both directions, by up to REACH lines (a longer
-common run holds further fingerprints). Where that place's surroundings end to agree, other
-earlier places of the mark may share more: the further lines are hashed at every width, and
-a width whose first place (again a groupBy min and an equi-join) is an earlier one is shared
-too. So the longest match with any earlier place counts, without pairs. That is every=True,
-as the query and the pipeline have it; by default only the earliest place counts. The later
-run's lines are deleted. A deleted line always equals an earlier one, and the first of all
-equal lines is never deleted. What is joined grows with the input, so all joins are
-sort-merge joins, at every size.
+Each mark is joined with its earliest place (by id, then line) and the lines around that,
+never with all others, and the match is extended line by line in both directions, by up to
+REACH lines (a longer common run holds further fingerprints). Where that place's surroundings
+end to agree, other earlier places of the mark may share more: the further lines are hashed at
+every width, and a width whose first place (again a groupBy min and an equi-join) is an earlier
+one is shared too. So the longest match with any earlier place counts, without pairs, and every
+run of 2 * NOISE_WORDS words that stands in an earlier place goes. The later run's lines are
+deleted. A deleted line always equals an earlier one, and the first of all equal lines is never
+deleted. What is joined grows with the input, so all joins are sort-merge joins, at every size.
 
 Defined cases. Null text stays null. Empty texts and lines stay. Lines are compared by
 64-bit hashes of their exact bytes. Rows with a null id are left as they are; rows that
@@ -37,7 +36,7 @@ REACH = 2 * NOISE_WORDS
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE_WORDS, reach: int = REACH, every: bool = False) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE_WORDS, reach: int = REACH) -> DataFrame:
     """docs with later repeated runs of lines deleted from the text, and two further columns: __lines, __deleted."""
     ws = Workspace(spark, "lines")
     names = docs.columns
@@ -62,27 +61,24 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     line = line.withColumn("at", F.when(F.col("have") >= noise, F.col("at")))
     line = line.withColumn("chosen", F.array_contains(F.collect_set("at").over(behind), F.col("p")))
     prints = ws.cut(line.where((F.col("have") >= noise) & F.col("chosen")).select("mark", "id", "spot", "p", F.col("len").cast("int").alias("len")), "prints")
-    first = prints.groupBy("mark").agg(F.min(F.struct("id", "spot", "p")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = ws.cut(first.select("mark", F.col("o.id").alias("id0"), F.col("o.spot").alias("spot0"), F.col("o.p").alias("p0")), "first")
-    match = prints.join(first.hint("merge"), "mark").where(~((F.col("id") == F.col("id0")) & (F.col("spot") == F.col("spot0")) & (F.col("p") == F.col("p0"))))
-    match = ws.cut(match.select("mark", "id", "spot", "p", "len", "id0", "spot0", "p0"), "match")
-    # the hashes around each match, in its own document and in the earlier one
-    around = lambda p: (
+    first = prints.groupBy("mark").agg(F.min(F.struct("id", "spot", "p", "len")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select("mark", F.col("o.id").alias("id0"), F.col("o.spot").alias("spot0"), F.col("o.p").alias("p0"), F.col("o.len").alias("len0"))
+    # the hashes around a place: those before it, nearest first, and those after its window
+    around = lambda p, n: (
         F.reverse(F.slice(F.col("l.h"), F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach)))),
-        F.slice(F.col("l.h"), p + F.col("len") + 1, F.lit(reach)),
+        F.slice(F.col("l.h"), p + n + 1, F.lit(reach)),
     )
-    own = match.hint("merge").join(table, ["id", "spot"])
-    before, after = around(F.col("p"))
-    own = ws.cut(own.select("mark", "id", "spot", "p", "len", "id0", "spot0", "p0", before.alias("b"), after.alias("a")), "own")
-    other = own.hint("merge").join(table.select(F.col("id").alias("id0"), F.col("spot").alias("spot0"), "l"), ["id0", "spot0"])
-    before0, after0 = around(F.col("p0"))
-    ext = other.select("mark", "id", "spot", "p", "len", "b", "a", _common("b", before0).alias("back"), _common("a", after0).alias("ahead"))
+    before, after = around(F.col("p0"), F.col("len0"))
+    near = first.hint("merge").join(table.select(F.col("id").alias("id0"), F.col("spot").alias("spot0"), "l"), ["id0", "spot0"])
+    near = ws.cut(near.select("mark", "id0", "spot0", "p0", before.alias("b0"), after.alias("a0")), "near")
+    match = prints.join(near.hint("merge"), "mark").where(~((F.col("id") == F.col("id0")) & (F.col("spot") == F.col("spot0")) & (F.col("p") == F.col("p0"))))
+    before, after = around(F.col("p"), F.col("len"))
+    own = match.select("mark", "id", "spot", "p", "len", "b0", "a0").hint("merge").join(table, ["id", "spot"]).select("mark", "id", "spot", "p", "len", before.alias("b"), after.alias("a"), "b0", "a0")
+    ext = own.select("mark", "id", "spot", "p", "len", "b", "a", _common("b", F.col("b0")).alias("back"), _common("a", F.col("a0")).alias("ahead"))
     rest = lambda c, n: F.slice(c, F.col(n) + 1, F.lit(reach))
     ext = ws.cut(ext.select("mark", "id", "spot", "p", "len", "back", "ahead", rest("b", "back").alias("b"), rest("a", "ahead").alias("a")), "ext")
     gone = ext.select("id", "spot", F.explode(F.sequence(F.col("p") - F.col("back"), F.col("p") + F.col("len") + F.col("ahead") - 1)).alias("p"))
-    if every:
-        gone = gone.unionByName(_further(ws, ext))
-    gone = gone.distinct()
+    gone = gone.unionByName(_further(ws, ext)).distinct()
     # back from numbers among the lines with words to numbers of lines; what stays of each document that changes
     gone = gone.groupBy("id", "spot").agg(F.array_sort(F.collect_list("p")).alias("gone"))
     edits = gone.hint("merge").join(table, ["id", "spot"]).select(F.col("id").alias("id_"), F.col("spot").alias("spot_"), F.transform("gone", lambda p: F.col("l.i")[p]).alias("gone"))

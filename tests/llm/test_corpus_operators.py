@@ -244,47 +244,6 @@ def test_components_of_long_paths(spark):
 # --- line dedup ---
 
 
-def plain_line_dedup(docs, noise, reach):
-    """The definition, document by document."""
-    h = lambda line: (lambda v: v - 2**64 if v >= 2**63 else v)(xxhash.xxh64(line.encode(), seed=42).intdigest())
-    lines = {i: [(k, x, len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if WORD.search(x)] for i, t in docs.items()}
-
-    def window(ls, p):
-        have, out = 0, []
-        for _, x, w in ls[p:]:
-            out.append(x)
-            have += w
-            if have >= noise:
-                return tuple(out)
-        return None
-
-    prints = []
-    for i, ls in lines.items():
-        chosen = set()
-        for p in range(len(ls)):
-            win = window(ls, p)
-            if win:
-                chosen.add(min((h(x), p + k) for k, x in enumerate(win))[1])
-        prints += [(window(ls, p), i, p) for p in chosen if window(ls, p)]
-    first = {}
-    for mark, i, p in prints:
-        first[mark] = min(first.get(mark, (i, p)), (i, p))
-    gone = defaultdict(set)
-    for mark, i, p in prints:
-        j, q = first[mark]
-        if (i, p) == (j, q):
-            continue
-        a, b = [x for _, x, _ in lines[i]], [x for _, x, _ in lines[j]]
-        back = 0
-        while back < reach and p - back - 1 >= 0 and q - back - 1 >= 0 and a[p - back - 1] == b[q - back - 1]:
-            back += 1
-        n, ahead = len(mark), 0
-        while ahead < reach and p + n + ahead < len(a) and q + n + ahead < len(b) and a[p + n + ahead] == b[q + n + ahead]:
-            ahead += 1
-        gone[i] |= {lines[i][k][0] for k in range(p - back, p + n + ahead)}
-    return {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in docs.items()}
-
-
 def corpus():
     import random
 
@@ -301,15 +260,6 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("noise,reach", [(25, 50), (6, 12), (10, 3)])
-def test_line_dedup_is_its_definition(spark, noise, reach):
-    d = corpus()
-    want = plain_line_dedup(d, noise, reach)
-    got = linededup.deduplicated(spark, spark.createDataFrame(list(d.items()), "doc_id long, text string").repartition(3), noise=noise, reach=reach).collect()
-    assert {r.doc_id: (r.text, r["__deleted"]) for r in got} == want
-    assert any(n for _, n in want.values())
-
-
 def test_repeated_runs_of_fifty_words_go(spark):
     run = [" ".join(f"w{i}x{k}" for k in range(9)) for i in range(6)]
     d = {1: "\n".join(["a b c", *run, "d"]), 2: "\n".join(["x", *run, "y z"]), 3: " ".join(f"long{k}" for k in range(60)), 4: "q\n" + " ".join(f"long{k}" for k in range(60)), 5: "only here"}
@@ -317,6 +267,62 @@ def test_repeated_runs_of_fifty_words_go(spark):
     assert got == {1: d[1], 2: "x\ny z", 3: d[3], 4: "q", 5: d[5]}
 
 
+def repeated_lines(docs, words):
+    """By document, the lines with words in a run of so many words that an earlier place holds too; no fingerprints."""
+    lines = {i: [(k, x, len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if WORD.search(x)] for i, t in docs.items()}
+    order = [(i, p) for i in sorted(lines) for p in range(len(lines[i]))]
+    by = defaultdict(list)
+    for i, p in order:
+        by[lines[i][p][1]].append((i, p))
+    out = defaultdict(set)
+    for i, p in order:
+        for j, q in by[lines[i][p][1]]:
+            if (j, q) >= (i, p):
+                break
+            a, b, n = lines[i], lines[j], 0
+            while p + n < len(a) and q + n < len(b) and a[p + n][1] == b[q + n][1]:
+                n += 1
+            if sum(w for _, _, w in a[p : p + n]) >= words:
+                out[i] |= {k for k, _, _ in a[p : p + n]}
+    return out
+
+
+def shared_runs():
+    """Runs of twelve lines in two texts each, and a part of each alone in an earlier text; runs repeated inside a text; chains of parts."""
+    import random
+
+    r = random.Random(8)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(r.randrange(1, 11)))
+    docs, runs = {}, [[line() for _ in range(12)] for _ in range(60)]
+    for k, run in enumerate(runs):
+        at = r.randrange(8)
+        docs[k] = "\n".join([line(), *run[at : at + 5], line()])
+        docs[100 + k] = "\n".join([line(), line(), *run, line()])
+        docs[200 + k] = "\n".join([line(), *run, "", line(), *run[2:11]])
+        docs[300 + k] = "\n".join([*run[3:], *runs[k - 1][:9], line(), *run[3:]])
+    return docs
+
+
+@pytest.mark.parametrize("make", ["shared_runs", "corpus"])
+def test_no_repeated_run_is_left(spark, make):
+    d = {"shared_runs": shared_runs, "corpus": corpus}[make]()
+    got = {r.doc_id: r.text for r in linededup.deduplicated(spark, spark.createDataFrame(list(d.items()), "doc_id long, text string").repartition(3)).collect()}
+    want, hit = repeated_lines(d, 2 * linededup.NOISE_WORDS), 0
+    earlier = set()
+    for i in sorted(d):
+        was, now = d[i].split("\n"), iter([*got[i].split("\n"), None])
+        stays, x = [], next(now)
+        for k, y in enumerate(was):  # which lines stayed: what is deleted equals an earlier line, so the first of equal ones stays
+            if x == y and k not in want[i]:
+                stays.append(k)
+                x = next(now)
+        hit += len(want[i])
+        assert x is None, (i, "a line of a repeated run stayed")
+        assert all(was[k] in earlier or was[k] in was[:k] for k in set(range(len(was))) - set(stays)), i
+        earlier |= set(was)
+    assert hit > 50
+
+
 def test_line_dedup_of_edge_cases(spark, docs, none, rows):
     got = linededup.deduplicated(spark, docs)
     assert got.columns == [*docs.columns, "__lines", "__deleted"]
@@ -329,7 +335,7 @@ def test_line_dedup_of_edge_cases(spark, docs, none, rows):
 
 
 def longest_line_dedup(docs, noise, reach):
-    """As plain_line_dedup, but against every earlier place of a mark."""
+    """The definition, against every earlier place of a mark, pair by pair."""
     lines = {i: [(k, x, len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if WORD.search(x)] for i, t in docs.items()}
     h = lambda line: (lambda v: v - 2**64 if v >= 2**63 else v)(xxhash.xxh64(line.encode(), seed=42).intdigest())
     places = defaultdict(list)
@@ -357,7 +363,7 @@ def longest_line_dedup(docs, noise, reach):
 @pytest.mark.parametrize("noise,reach", [(25, 50), (6, 12), (10, 3)])
 def test_line_dedup_finds_the_longest_earlier_run(spark, noise, reach):
     d = corpus()
-    got = linededup.deduplicated(spark, spark.createDataFrame(list(d.items()), "doc_id long, text string").repartition(3), noise=noise, reach=reach, every=True).collect()
+    got = linededup.deduplicated(spark, spark.createDataFrame(list(d.items()), "doc_id long, text string").repartition(3), noise=noise, reach=reach).collect()
     assert {r.doc_id: (r.text, r["__deleted"]) for r in got} == longest_line_dedup(d, noise, reach)
 
 
@@ -369,7 +375,7 @@ def test_line_dedup_beyond_the_earliest_place(spark):
     run = [c1, c2, c3, c4, c5, c6]
     d = {1: "\n".join([x, c3, c4, c5, y]), 2: "\n".join([before[0], *run, pool[32]]), 3: "\n".join([before[1], *run, pool[33]])}
     docs = spark.createDataFrame(list(d.items()), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linededup.deduplicated(spark, docs, every=True).collect()}
+    got = {r.doc_id: r.text for r in linededup.deduplicated(spark, docs).collect()}
     assert got[3] == "\n".join([before[1], pool[33]])
     assert c1 in got[2] and c2 in got[2] and c6 in got[2]
 
@@ -394,7 +400,7 @@ def test_pipeline_keeps_one_of_each_and_packs_whole_texts(spark, tmp_path):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert all(b <= a for a, b in zip(ids, ids[1:], strict=False)) and len(ids[-1]) > 100
     before = {r.doc_id: r.text for r in seen[2].collect()}
-    lines = plain_line_dedup(before, linededup.NOISE_WORDS, linededup.REACH)
+    lines = longest_line_dedup(before, linededup.NOISE_WORDS, linededup.REACH)
     assert {r.doc_id: r.text for r in seen[3].collect()} == {i: t for i, (t, _) in lines.items()}
     comp = plain_components({i: shingles(t, 5) for i, (t, _) in lines.items()})
     assert ids[4] == {i for i, c in comp.items() if i == c}
