@@ -7,7 +7,8 @@ token. Each script has a band for each measure; a text outside a band is rejecte
 script is that of most of the text's letters.
 
 Tokens are looked up by chunk (blanks and the word after them), which neither vocabulary's
-merges cross, in a bounded cache of each Python worker.
+merges cross, in a bounded cache of each Python worker; when it is full, its chunks become the
+older half, from which those still in use come back, so frequent chunks are never looked up anew.
 
 Base counts: words are runs outside space and \\t\\n\\v\\f\\r. base_failed: fewer than 20
 words, or more than 30 % of the words in 8-word windows found twice or more in the text.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from bidlake.llm.common import find_words, hash_words, shingle_hashes, text_slices
 
-MIN_WORDS, REPEAT_PERCENT, WINDOW, MIN_TOKENS, CACHED = 20, 30, 8, 64, 300_000
+MIN_WORDS, REPEAT_PERCENT, WINDOW, MIN_TOKENS, CACHED = 20, 30, 8, 64, 200_000
 #: Bits of token entropy that long texts are held against; shorter ones against the logarithm of their length.
 TOP_BITS = 9.0
 #: First code point of each range and its script.
@@ -72,19 +73,30 @@ class Vocabularies:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.multi = tiktoken.Encoding("multi", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cache: dict[str, tuple[bytes, int]] = {}
+        self.older: dict[str, tuple[bytes, int]] = {}
         self.bytes_ = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
         self.newline = self.sp.piece_to_id("<0x0A>")
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.cache) + len(chunks) > CACHED:
-            self.cache.clear()
+    def learn(self, chunks: list[str]) -> dict:
+        """The chunks' values; those of the older half of the cache that are used again move to the younger."""
+        known, out = self.older, {}
+        new = []
+        for c in chunks:
+            if (x := known.get(c)) is None:
+                new.append(c)
+            else:
+                out[c] = x
         # the library puts a blank before each input; a chunk without one goes behind a line end, whose two tokens are cut off
-        bare = [not c.startswith(" ") for c in chunks]
-        ids = self.sp.encode(["\n" + c if b else c[1:] for c, b in zip(chunks, bare, strict=True)], num_threads=1)
-        for c, b, i in zip(chunks, bare, ids, strict=True):
+        bare = [not c.startswith(" ") for c in new]
+        ids = self.sp.encode(["\n" + c if b else c[1:] for c, b in zip(new, bare, strict=True)], num_threads=1)
+        for c, b, i in zip(new, bare, ids, strict=True):
             if c == " ":
                 i = [self.sp.piece_to_id("▁")]
-            self.cache[c] = np.array(i[2:] if b else i, np.uint16).tobytes(), len(self.multi.encode_ordinary(c))
+            out[c] = np.array(i[2:] if b else i, np.uint16).tobytes(), len(self.multi.encode_ordinary(c))
+        if len(self.cache) + len(out) > CACHED:
+            self.cache, self.older = {}, self.cache
+        self.cache |= out
+        return out
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """Piece ids (without the ids of line ends) and the number of multilingual tokens, for each text."""
@@ -94,10 +106,8 @@ class Vocabularies:
             get = self.cache.get
             found = [get(c) for c in chunks]
             if None in found:
-                self.learn(sorted({c for c, x in zip(chunks, found, strict=True) if x is None}))
-                if any(c not in self.cache for c in chunks):  # the cache was emptied meanwhile
-                    self.learn(sorted({c for c in chunks if c not in self.cache}))
-                found = [self.cache[c] for c in chunks]
+                new = self.learn(sorted({c for c, x in zip(chunks, found, strict=True) if x is None}))
+                found = [x or new[c] for c, x in zip(chunks, found, strict=True)]
             ids = np.frombuffer(b"".join([x[0] for x in found]), np.uint16)
             out.append((ids[ids != self.newline], sum([x[1] for x in found])))
         return out

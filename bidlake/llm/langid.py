@@ -1,7 +1,7 @@
 """Language ID with language-bitmask n-gram filters.
 
 Fit. For each language, character n-grams are counted over a sample of at most
-SAMPLE_DOCS labelled documents (whole texts, chosen by hash). N-grams that are much more
+SAMPLE_DOCS distinct labelled texts (whole, chosen by hash, so copies count once). N-grams that are much more
 frequent in a language than over all languages are put into that language's Bloom filter,
 at most TOP_GRAMS for a language. The filters share their hash functions and are stored
 bit-sliced: slot i is a word whose bit l says whether slot i of language l's filter is set,
@@ -131,12 +131,13 @@ class Model:
 def fit(spark: SparkSession, rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> tuple[Model, str]:
     """Model from labelled rows, and the language with most rows in the sample."""
     labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    # texts are thinned out by hash before any is moved: about twice the sample, of which the window takes the first
-    rows_of = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    shares = {r.lang: min(1.0, 2 * sample_docs / r.n) for r in rows_of}
+    # distinct texts are thinned out by hash before any is moved: about twice the sample, of which the window takes the first
+    labelled = labelled.withColumn("h", F.xxhash64("text"))
+    rows_of = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    shares = {r.lang: min(1.0, 2 * sample_docs / max(r.n, 1)) for r in rows_of}
     share_of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")), F.lit(0.0)) if shares else F.lit(0.0)
-    thin = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * share_of)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    thin = labelled.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share_of).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
     sample = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("text", "lang")
     counts = sample.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("of"))

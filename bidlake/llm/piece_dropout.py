@@ -157,18 +157,19 @@ class Pieces:
                 sym, off, place, piece = sym[:, :full], off[:, :full], place[:, : max(full - 1, 1)], piece[:, : max(full - 1, 1)]
 
     def long_chunk(self, points: np.ndarray, key: np.uint64, rate: int) -> list[int]:
-        """The same agenda on a heap, for one chunk of any length."""
-        sym = self.char[points].tolist()
-        n = len(sym)
-        left, right, heap = list(range(-1, n - 1)), [*range(1, n), -1], []
+        """The same agenda on a heap, for one chunk of any length; the first candidates are looked up and hashed side by side."""
+        symbols = self.char[points]
+        n, own = len(symbols), int(key)
+        place, piece = self._places((symbols[:-1], symbols[1:]), np.arange(n - 1), np.full(n - 1, key, np.uint64), rate) if n > 1 else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        sym, left, right = symbols.tolist(), list(range(-1, n - 1)), [*range(1, n), -1]
+        first = np.flatnonzero(place != _FAR)
+        heap = [(p, i, i + 1, sym[i], sym[i + 1], w) for p, i, w in zip(place[first].tolist(), first.tolist(), piece[first].tolist(), strict=True)]
+        heapq.heapify(heap)
 
         def push(i, j):
-            if i >= 0 and j >= 0 and (p := self.pair.get((sym[i], sym[j]))) is not None:
-                if not rate or not self.skipped(np.array([key]), np.array([i]), np.array([p]), rate)[0]:
-                    heapq.heappush(heap, (int(self.place[p]), i, j, sym[i], sym[j], p))
+            if i >= 0 and j >= 0 and (p := self.pair.get((sym[i], sym[j]))) is not None and not (rate and skipped_one(own, i, p, rate)):
+                heapq.heappush(heap, (int(self.place[p]), i, j, sym[i], sym[j], p))
 
-        for i in range(n - 1):
-            push(i, i + 1)
         while heap:
             _, i, j, a, b, p = heapq.heappop(heap)
             if sym[i] != a or sym[j] != b or right[i] != j:
@@ -241,6 +242,19 @@ class Pieces:
         return b"".join([self.bytes[i] for i in ids])[1:].decode()
 
 
+_WORD = 2**64 - 1
+
+
+def skipped_one(key: int, offset: int, piece: int, rate: int) -> bool:
+    """Pieces.skipped for one candidate, in plain integers."""
+    h = (key + offset * 0xD6E8FEB86659FD93 + piece * 0xA0761D6478BD642F) & _WORD
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & _WORD
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & _WORD
+    return (h ^ (h >> 31)) < rate
+
+
 def pieces(path: str) -> Pieces:
     if path not in _loaded:
         _loaded[path] = Pieces(path)

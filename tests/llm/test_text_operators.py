@@ -68,6 +68,42 @@ def test_heap_and_matrix_agree(monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(a, p.encode(TEXTS, keys(len(TEXTS)), 0.2), strict=True))
 
 
+def plain_dropout(p, text, key, rate):
+    """The agenda by trying every pair again and again: ids of one text, in plain integers."""
+    most = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & most
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & most
+        return x ^ x >> 31
+
+    out = []
+    for ordinal, chunk in enumerate(re.findall(r"\n| +[^ \n]*|[^ \n]+", " " + text if text else "")):
+        own = mixed((key + ordinal * 0x9FB21C651E98DF25) & most)
+        symbols = [(int(p.char[ord(c)]), k) for k, c in enumerate(chunk)]
+        while True:
+            can = []
+            for k, ((a, at), (b, _)) in enumerate(zip(symbols, symbols[1:], strict=False)):
+                piece = p.pair.get((a, b))
+                if piece is not None and mixed((own + at * 0xD6E8FEB86659FD93 + piece * 0xA0761D6478BD642F) & most) >= int(rate * 2**64):
+                    can.append((int(p.place[piece]), k, piece))
+            if not can:
+                break
+            _, k, piece = min(can)
+            symbols[k : k + 2] = [(piece, symbols[k][1])]
+        for s, _ in symbols:
+            out += [s] if s < piece_dropout._UNKNOWN else [int(p.byte_id[b]) for b in chr(s - piece_dropout._UNKNOWN).encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5, 0.9])
+def test_dropout_against_brute_force(rate):
+    p = piece_dropout.pieces(MODEL)
+    texts = [*TEXTS, "supercalifragilisticexpialidociousinternationalisation " * 2, "".join(chr(97 + k * k % 26) for k in range(90)), "日本語の文章です。" * 8, "a\n\nb  c"]
+    got = p.encode(texts, keys(len(texts), 5), rate)
+    assert [g.tolist() for g in got] == [plain_dropout(p, t, int(k), rate) for t, k in zip(texts, keys(len(texts), 5), strict=True)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_comes_back(text):
@@ -174,6 +210,64 @@ def test_cached_tokens_are_the_librarys():
         assert multi > 0 or not t
 
 
+SCRIPTS = {
+    "latin": "The committee will meet again next month to review the proposal and to decide about the budget of the coming year. ", "greek": "Η επιτροπή θα συνεδριάσει ξανά τον επόμενο μήνα για να εξετάσει την πρόταση και να αποφασίσει για τον προϋπολογισμό. ",
+    "cyrillic": "Комитет снова соберётся в следующем месяце, чтобы рассмотреть предложение и принять решение о бюджете на будущий год. ", "hebrew": "הוועדה תתכנס שוב בחודש הבא כדי לבחון את ההצעה ולהחליט על התקציב של השנה הקרובה. ",
+    "arabic": "ستجتمع اللجنة مرة أخرى في الشهر القادم لمراجعة الاقتراح واتخاذ قرار بشأن ميزانية العام المقبل. ", "indic": "समिति अगले महीने फिर बैठेगी ताकि प्रस्ताव की समीक्षा की जा सके और आने वाले वर्ष के बजट पर निर्णय लिया जा सके। ",
+    "thai": "คณะกรรมการ จะประชุม อีกครั้ง ในเดือนหน้า เพื่อทบทวน ข้อเสนอ และตัดสินใจ เกี่ยวกับ งบประมาณ ของปีหน้า ", "hangul": "위원회는 다음 달에 다시 모여 제안을 검토하고 내년 예산에 대해 결정할 예정입니다. ",
+    "kana": "いいんかいは らいげつ ふたたび あつまり ていあんを けんとうし らいねんの よさんについて きめる よていです。 ", "han": "委员会 将于 下个月 再次 开会 审议 这项 提案 并 决定 明年 的 预算 安排 和 具体 计划。 ",
+}
+
+
+def plain_measures(text):
+    """Measures by the libraries over the whole text."""
+    import base64
+    import math
+
+    import tiktoken
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    with open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        multi = tiktoken.Encoding("plain", pat_str=public.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    ids = [i for i in sp.encode(text) if i != sp.piece_to_id("<0x0A>")]
+    chars, n = len(text) - text.count("\n"), len(ids)
+    tokens = sum(len(multi.encode_ordinary(c)) for c in re.findall(r" *[^ \n]+| +|\n", " " + text)) if text else 0
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) if n else None
+    return n, chars / n if n else None, sum(sp.is_byte(i) for i in ids) / n if n else None, chars / tokens if tokens else None, (entropy / min(math.log2(n), fertility.TOP_BITS) if n > 1 else 0.0) if n else None
+
+
+def test_measures_and_verdicts_against_brute_force(spark, rows):
+    """Also every script: prose lies in its band, the same letters as noise of one word or in symbols don't."""
+    texts = [r[1] or "" for r in rows] + list(SCRIPTS.values()) + [" ".join(t.split()[0] for _ in range(200)) for t in SCRIPTS.values()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in fertility.measured(d).collect():
+        n, *want = plain_measures(texts[r.doc_id])
+        assert r.n_tokens == n
+        for x, y in zip((r.chars_per_token, r.byte_share, r.chars_per_multi, r.entropy_share), want, strict=True):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9), (r, want)
+        inside = False
+        if n:
+            lo, hi, share, lo2, hi2, entropy = fertility.BANDS[r.script]
+            inside = lo <= want[0] <= hi and want[1] <= share and lo2 <= want[2] <= hi2 and (n < fertility.MIN_TOKENS or want[3] >= entropy)
+        words, *_, repeated = plain_counts(texts[r.doc_id])
+        assert r.kept == (inside and not (words < 20 or 100 * repeated > 30 * words))
+        k = r.doc_id - len(rows)
+        if 0 <= k < len(SCRIPTS):
+            assert r.script == list(SCRIPTS)[k] and inside, r
+        elif k >= len(SCRIPTS):
+            assert not r.kept
+
+
+def test_small_cache_gives_the_same_tokens(monkeypatch):
+    v = fertility.Vocabularies(MODEL, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    texts = [" ".join(f"word{k % 70} x{(k * i) % 90}" for k in range(100)) for i in range(1, 30)]
+    want = [(i.tolist(), m) for i, m in v.read(texts)]
+    monkeypatch.setattr(fertility, "CACHED", 40)
+    small = fertility.Vocabularies(MODEL, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    assert [(i.tolist(), m) for i, m in small.read(texts)] == want
+    assert len(small.cache) <= 200  # one text's chunks at most beyond the bound
+
+
 def test_noise_is_rejected_and_prose_kept(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id")
     m = fertility.measured(d).join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("NOT base_failed").toPandas()
@@ -233,15 +327,85 @@ def test_license_scan(spark, docs, none, rows):
 def test_licence_texts_get_their_labels():
     text = "x y Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, and sell copies of the Software. z"
     hashes = license_scan._hashes(license_scan.tokens(text))
-    assert license_scan.automaton() and license_scan.scan(hashes)[5] == "mit"
-    assert license_scan.scan(license_scan._hashes(license_scan.tokens("a licence of the software is free of charge to any person")))[5] == ""
+    a = license_scan.automaton()
+    assert license_scan.scan(hashes, a)[5] == "mit"
+    assert license_scan.scan(license_scan._hashes(license_scan.tokens("a licence of the software is free of charge to any person")), a)[5] == ""
+
+
+def plain_spans(words, texts):
+    """By label, the best cover of a chained span: every maximal match by comparing words, chained by trying every predecessor."""
+    told, best = [license_scan.tokens(t) for _, t in texts], {}
+    longest = []
+    held = {tuple(t[j:k]) for t in told for j in range(len(t)) for k in range(j + 1, len(t) + 1)}
+    for i in range(len(words)):
+        longest.append(next((k for k in range(i + 1, 0, -1) if tuple(words[i - k + 1 : i + 1]) in held), 0))
+    runs = [(i - n + 1, n) for i, n in enumerate(longest) if n >= license_scan.MIN_RUN and (i + 1 == len(words) or longest[i + 1] != n + 1)]
+    for (label, _), t in zip(texts, told, strict=True):
+        found = sorted((s, j, n) for s, n in runs for j in range(len(t) - n + 1) if t[j : j + n] == words[s : s + n])
+        value = []
+        for k, (s, j, n) in enumerate(found):
+            most = n
+            for (s0, j0, n0), (v0, first) in zip(found[:k], value, strict=True):
+                over = max(0, s0 + n0 - s)
+                if first <= s and over < n and s + over <= s0 + n0 + license_scan.GAP and j0 + n0 <= j + over <= j0 + n0 + license_scan.GAP:
+                    most = max(most, v0 + n - over)
+            # the first word of the chain, as the operator picks it
+            first = next((f for (s0, j0, n0), (v0, f) in zip(found[:k], value, strict=True) if most > n and f <= s and (o := max(0, s0 + n0 - s)) < n and s + o <= s0 + n0 + license_scan.GAP and j0 + n0 <= j + o <= j0 + n0 + license_scan.GAP and v0 + n - o == most), s)
+            value.append((most, first))
+        best[label] = max([best.get(label, 0), *(v / len(t) for v, _ in value)])
+    return {k: v for k, v in best.items() if v >= license_scan.COVER}
+
+
+def test_labels_against_brute_force():
+    import random
+
+    r = random.Random(12)
+    for trial in range(150):
+        vocab = [f"w{k}" for k in range(r.choice([4, 12, 40]))]
+        texts = [(f"l{k % 4}", " ".join(r.choices(vocab, k=r.randrange(4, 30)))) for k in range(6)]
+        words = []
+        for _ in range(r.randrange(1, 6)):
+            part = license_scan.tokens(r.choice(texts)[1])
+            for _ in range(r.randrange(3)):
+                part[r.randrange(len(part))] = r.choice([*vocab, "zz"])
+            words += part + r.choices([*vocab, "yy"], k=r.randrange(6))
+        got = license_scan.scan(license_scan._hashes(words), license_scan.Automaton(texts))
+        want = plain_spans(words, texts)
+        assert got[5] == ",".join(sorted(want)), (trial, texts, words)
+        assert abs(got[6] - min(1.0, max(want.values(), default=0.0))) < 1e-12
+
+
+def test_twelve_open_chains():
+    """A span is found however many chains of its template are open beside it."""
+    parts = [f"a{k} b{k} c{k} d{k}" for k in range(40)]
+    text = " ".join(parts)
+    # the first part, then twelve later parts that open chains of their own, then the rest of the template, all within GAP words
+    license = license_scan.Automaton([("x", f"{parts[0]} e f g h i j k l m n o p")])
+    words = license_scan.tokens(f"{parts[0]} q e f g h i j k l m n o p")
+    assert license_scan.scan(license_scan._hashes(words), license)[5] == "x"
+    repeated = " ".join(["s t u", *(["v w x"] * 14), text])
+    got = license_scan.scan(license_scan._hashes(license_scan.tokens(f"s t u v w x {text}")), license_scan.Automaton([("y", repeated)]))
+    assert got[5] == "y" and got[6] > 0.75
+
+
+def test_whole_licences():
+    for label, text in license_scan.templates():
+        words = license_scan._hashes(license_scan.tokens(text))
+        got = license_scan.scan(words, license_scan.automaton())
+        assert label in got[5].split(",") and got[6] == 1.0
+    gpl = next(t for x, t in license_scan.templates() if x == "gpl-3.0" and len(t) > 20_000)
+    words = license_scan.tokens(gpl)
+    for k in range(0, len(words), 40):
+        words[k] = "changed"
+    got = license_scan.scan(license_scan._hashes(words), license_scan.automaton())
+    assert "gpl-3.0" in got[5].split(",")
 
 
 def test_every_templates_language_is_found():
     m = langid.Model(["a", "b"], {"a": np.arange(100, dtype=np.uint64), "b": np.arange(50, 150, dtype=np.uint64)}, bits=14)
     found = None
     for s in langid.slots(np.arange(50, 100, dtype=np.uint64), 14):
-        found = m.table[s] if found is None else found & m.table[s]
+        found = m.tables[0][s] if found is None else found & m.tables[0][s]
     assert (found & 3 == 3).all()
 
 
@@ -273,6 +437,19 @@ def test_language_of_held_out_documents(spark, docs, none):
     assert kept.columns == docs.columns and not {2, 3, 4, 19} & {r.doc_id for r in kept.collect()}
 
 
+def test_copies_count_once_in_the_sample(spark):
+    """One text with thousands of copies takes one place of its language's sample."""
+    import random
+
+    r = random.Random(2)
+    word = lambda s: "".join(r.choice(s) for _ in range(r.randrange(2, 8)))
+    text = lambda s: " ".join(word(s) for _ in range(40))
+    rows = [(text("abcdefg"), "xx") for _ in range(60)] + [(text("defghij"), "yy") for _ in range(60)] + [("gg hh ii " * 20, "xx")] * 3000
+    model, _ = langid.fit(spark, spark.createDataFrame(rows, "text string, lang string"), sample_docs=40)
+    got = [model.predict(text(s), "und")[0] for s in ["abcdefg"] * 40 + ["defghij"] * 40]
+    assert got == ["xx"] * 40 + ["yy"] * 40
+
+
 @pytest.mark.parametrize("text,want", [("", 0), ("ab", 3 + 2 + 1), ("a b", 2 * (2 + 1))])
 def test_grams_stay_within_words(text, want):
     assert len(langid.gram_hashes(langid.letters(text))) == want
