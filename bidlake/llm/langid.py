@@ -1,7 +1,8 @@
 """Language ID with language-bitmask n-gram filters.
 
 Fit. For each language, character n-grams are counted over a sample of at most
-SAMPLE_DOCS distinct labelled texts (whole, chosen by hash, so copies count once). N-grams that are much more
+SAMPLE_DOCS labelled texts (whole, chosen by hash; copies only where distinct texts are too
+few, and no text more than LEAST_COUNT times). N-grams that are much more
 frequent in a language than over all languages are put into that language's Bloom filter,
 at most TOP_GRAMS for a language. The filters share their hash functions and are stored
 bit-sliced: slot i is a word whose bit l says whether slot i of language l's filter is set,
@@ -136,9 +137,11 @@ def fit(spark: SparkSession, rows: DataFrame, text_col: str = "text", lang_col:
     rows_of = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     shares = {r.lang: min(1.0, 2 * sample_docs / max(r.n, 1)) for r in rows_of}
     share_of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")), F.lit(0.0)) if shares else F.lit(0.0)
-    thin = labelled.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share_of).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    sample = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("text", "lang")
+    thin = labelled.where(F.col("h").cast("double") / 2.0**64 + 0.5 <= share_of).groupBy("lang", "h").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    # each text once; where that doesn't fill the sample, copies follow, but no text counts more than LEAST_COUNT times
+    times = thin.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(LEAST_COUNT)).cast("int"))))
+    order = Window.partitionBy("lang").orderBy("copy", "h")
+    sample = times.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("text", "lang")
     counts = sample.repartition(max(2, spark.sparkContext.defaultParallelism)).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("of"))
     share = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("of"))
