@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS, TOP_GRAMS, GRAMS, HASHES, SLOT_BITS, WORD_BITS = 2000, 20_000, (2, 3, 4), 3, 20, 64
-LEAST_RATIO, LEAST_COUNT = 1.5, 5
+LEAST_RATIO, LEAST_COUNT, LEAST_COVER = 1.5, 5, 0.2
 _points: dict[str, np.ndarray] = {}
 
 
@@ -111,10 +111,11 @@ class Model:
             self.tables.append(table)
         self.rate = np.array(fill) ** HASHES
 
-    def predict(self, text: str | None, fallback: str) -> tuple[str, float]:
+    def predict(self, text: str | None, fallback: str) -> tuple[str, float, float]:
+        """The language, its share of all counts, and the share of the text's n-grams that it holds."""
         points = letters(text or "")
         if not len(points) or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         h = gram_hashes(points)
         at, hits = list(slots(h, self.bits)), []
         for k, table in enumerate(self.tables):
@@ -125,8 +126,8 @@ class Model:
         hits = np.array(hits, float)
         true = np.maximum((hits - self.rate * len(h)) / np.maximum(1 - self.rate, 1e-9), 0)
         if true.sum() <= 0:
-            return fallback, 0.0
-        return self.langs[int(true.argmax())], float(true.max() / true.sum())
+            return fallback, 0.0, 0.0
+        return self.langs[int(true.argmax())], float(true.max() / true.sum()), float(true.max() / len(h))
 
 
 def fit(spark: SparkSession, rows: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> tuple[Model, str]:
@@ -162,27 +163,33 @@ def _predictor(model, fallback: str, at: int, names: list[str]):
         m = model.value
         for batch in batches:
             got = [m.predict(t, fallback) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())], [*names, "lang_pred", "score", "cover"])
 
     return predict
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model, fallback: str, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score in two further columns; the model is a broadcast of fixed size."""
+    """docs with lang_pred, score and cover in further columns; the model is a broadcast of fixed size."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
     shared = spark.sparkContext.broadcast(model)
-    out = docs.toDF(*names).mapInArrow(_predictor(shared, fallback, docs.columns.index(text_col), names), f"{schema}, lang_pred string, score double")
-    return out.toDF(*docs.columns, "lang_pred", "score")
+    out = docs.toDF(*names).mapInArrow(_predictor(shared, fallback, docs.columns.index(text_col), names), f"{schema}, lang_pred string, score double, cover double")
+    return out.toDF(*docs.columns, "lang_pred", "score", "cover")
 
 
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_score: float = 0.0) -> DataFrame:
-    """The rows of docs whose language can be told, all columns as they were."""
+def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_cover: float = LEAST_COVER) -> DataFrame:
+    """The rows of docs whose language can be told; a null language becomes the predicted one, all else stays as it was.
+
+    A text goes where it has no letter or where its language holds less than least_cover of its
+    n-grams: it is in none of the languages learned.
+    """
     model, fallback = fit(spark, docs, text_col, lang_col)
     names = docs.columns
-    got = predict(spark, docs, model, fallback, text_col).toDF(*[f"c{i}" for i in range(len(names))], "p", "s")
-    return got.where((F.col("p") != "und") & (F.col("s") > 0) & (F.col("s") >= least_score)).select(*[f"c{i}" for i in range(len(names))]).toDF(*names)
+    plain = [f"c{i}" for i in range(len(names))]
+    got = predict(spark, docs, model, fallback, text_col).toDF(*plain, "p", "s", "v").where((F.col("p") != "und") & (F.col("s") > 0) & (F.col("v") >= least_cover))
+    kind = docs.schema[lang_col].dataType
+    return got.select(*(F.coalesce(F.col(c), F.col("p").cast(kind)).alias(c) if n == lang_col else F.col(c) for c, n in zip(plain, names, strict=True))).toDF(*names)

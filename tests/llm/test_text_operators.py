@@ -420,7 +420,13 @@ def test_more_languages_than_a_word_has_bits(spark):
 
 def test_texts_without_a_known_gram_go(spark):
     rows = spark.createDataFrame([("a", "red green blue " * 5)] * 9 + [("b", "rouge vert bleu " * 5)] * 9 + [(None, "\u65e5\u672c\u8a9e"), (None, "red blue green")], "lang string, text string")
-    assert {r.text for r in langid.keep_known(spark, rows).where("lang IS NULL").collect()} == {"red blue green"}
+    assert {r.text for r in langid.keep_known(spark, rows).collect()} == {"red green blue " * 5, "rouge vert bleu " * 5, "red blue green"}
+
+
+def test_texts_in_no_learned_language_go(spark):
+    rows = [("red green blue yellow " * 5, "a")] * 9 + [("rouge vert bleu jaune " * 5, "b")] * 9 + [("красный зелёный синий red " * 5, None), ("blue green yellow", None), ("1 2 3", "a"), (None, "a")]
+    got = {r.text: r.lang for r in langid.keep_known(spark, spark.createDataFrame(rows, "text string, lang string")).collect()}
+    assert got == {rows[0][0]: "a", rows[9][0]: "b", "blue green yellow": "a"}
 
 
 def test_language_of_held_out_documents(spark, docs, none):
