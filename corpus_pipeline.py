@@ -22,22 +22,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents in no language that was learned go; null languages are filled in."""
     ship(spark)
     return langid.keep_known(spark, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go from the texts; n_chars follows."""
-    out = linededup.deduplicated(spark, docs, every=True).drop("__lines", "__deleted")
+    out = linededup.deduplicated(spark, docs).drop("__lines", "__deleted")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     ship(spark)
-    dropped = minhash.near_duplicates(spark, docs.select("doc_id", "text")).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = f"c{names.index('doc_id')}"
+    dropped = minhash.near_duplicates(spark, docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    return rows.join(dropped, F.col(at) == F.col("gone"), "left_anti").toDF(*names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
