@@ -167,17 +167,20 @@ def a20(spark, sf):
     (SELECT code, name, count(*) AS c, row_number() OVER (PARTITION BY code ORDER BY count(*) DESC, name) AS rn FROM (SELECT unnest([substr(good_code, 1, 2), substr(good_code, 1, 5), good_code]) AS code, name FROM good) GROUP BY code, name) GROUP BY code)
     JOIN (SELECT code, count(DISTINCT CASE WHEN {OPEN_SQL} THEN id END) AS n_open FROM (SELECT unnest([substr(good_code, 1, 2), substr(good_code, 1, 5), good_code]) AS code, tender_id FROM good) JOIN tender ON tender_id = id GROUP BY code) USING (code)"""))
 def a21(spark, sf):
-    g = good(spark, sf).select("tender_id", "name", F.explode(code_levels(F.col("good_code"))).alias("code"))
-    by_name = g.groupBy("code", "name").agg(_n("c")).withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("c"), "name")))
+    """Goods are counted once by whole code and name; the shorter codes are sums of that."""
+    g = good(spark, sf)
+    counted = g.groupBy("good_code", "name").agg(_n("c"))
+    by_name = counted.select("name", "c", F.explode(code_levels(F.col("good_code"))).alias("code")).groupBy("code", "name").agg(F.sum("c").alias("c")).withColumn("rn", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("c"), "name")))
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 8, F.struct("rn", "name")))), lambda x: x["name"]), ",")
     dictionary = by_name.groupBy("code").agg(F.sum("c").alias("n_goods"), names.alias("names"))
     t = tender(spark, sf).where(is_open()).select("id")
-    opened = g.join(t, g.tender_id == t.id).groupBy("code").agg(F.countDistinct("id").alias("n_open"))
+    opened = g.select("tender_id", "good_code").join(t, g.tender_id == t.id).select("id", "good_code").distinct()
+    opened = opened.select("id", F.explode(code_levels(F.col("good_code"))).alias("code")).distinct().groupBy("code").agg(_n("n_open"))
     return dictionary.join(opened, "code", "left").select("code", "n_goods", F.coalesce("n_open", F.lit(0)).alias("n_open"), "names")
 
 
-@register("A22_matched_positions", sql("good product tender", f"""SELECT t.id, count(DISTINCT g.good_no) AS n_positions, string_agg(DISTINCT k.code, ',' ORDER BY k.code) AS codes, CAST(sum(g.totalcost_item) AS DOUBLE) AS total FROM tender t JOIN good g ON g.tender_id = t.id
-    JOIN (SELECT DISTINCT substr(code, 1, 5) AS code FROM product WHERE company_id = 1 AND code IS NOT NULL) k ON g.good_code LIKE k.code || '%' WHERE {OPEN_SQL} GROUP BY t.id"""))
+@register("A22_matched_positions", sql("good product tender", f"""SELECT id, count(DISTINCT good_no) AS n_positions, array_to_string(list_sort(list(DISTINCT code)), ',') AS codes, CAST(sum(totalcost_item) AS DOUBLE) AS total FROM
+    (SELECT t.id, g.good_no, g.totalcost_item, substr(g.good_code, 1, 5) AS code FROM good g JOIN tender t ON g.tender_id = t.id WHERE {OPEN_SQL} AND substr(g.good_code, 1, 5) IN (SELECT substr(code, 1, 5) FROM product WHERE company_id = 1 AND code IS NOT NULL)) GROUP BY id"""))
 def a22(spark, sf):
     k = product(spark, sf).where("company_id = 1 AND code IS NOT NULL").select(F.substring("code", 1, 5).alias("code")).distinct()
     hits = code_prefix_join(good(spark, sf), "good_code", k, "code", (5,))

@@ -48,18 +48,16 @@ def j6(spark, sf):
     return tender(spark, sf).join(g, F.col("id") == g.tender_id, "left_anti").select("id")
 
 
-@register("J7_full_outer_state", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS has_doc, l.doc_id IS NOT NULL AS has_label FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id")
+@register("J7_full_outer_state", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS has_doc, l.doc_id IS NOT NULL AS has_label FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id")
 def j7(spark, sf):
-    d = raw(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"))
-    lab = raw(spark, sf, "labels").select(F.col("doc_id").alias("b"))
+    d, lab = raw(spark, sf, "documents").select(F.col("doc_id").alias("a")), raw(spark, sf, "labels").select(F.col("doc_id").alias("b"))
     return d.join(lab, d.a == lab.b, "full_outer").select(F.coalesce("a", "b").alias("doc_id"), F.col("a").isNotNull().alias("has_doc"), F.col("b").isNotNull().alias("has_label"))
 
 
 @register("J7b_full_outer_all", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS has_doc, l.doc_id IS NOT NULL AS has_label FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id")
 def j7b(spark, sf):
-    """J7 over all documents."""
-    d, lab = raw(spark, sf, "documents").select(F.col("doc_id").alias("a")), raw(spark, sf, "labels").select(F.col("doc_id").alias("b"))
-    return d.join(lab, d.a == lab.b, "full_outer").select(F.coalesce("a", "b").alias("doc_id"), F.col("a").isNotNull().alias("has_doc"), F.col("b").isNotNull().alias("has_label"))
+    """J7 under the name it had while J7 took half of the documents."""
+    return j7(spark, sf)
 
 
 def fuse(rankings: list[DataFrame], key: str, k: int = 60) -> DataFrame:
@@ -101,10 +99,10 @@ _TRI = "list_distinct([substr({0}, i, 3) for i in range(1, length({0}) - 1)])"
 
 @register("J11_trigram_similarity", sql("product", f"""SELECT a.name AS a_name, b.name AS b_name, round(len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))), 6) AS sim
     FROM (SELECT DISTINCT name, {_TRI.format("name")} AS ga FROM product) a JOIN (SELECT DISTINCT name, {_TRI.format("name")} AS gb FROM product) b ON a.name < b.name
-    WHERE len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) >= 0.5"""))
+    WHERE len(list_intersect(ga, gb)) / (len(ga) + len(gb) - len(list_intersect(ga, gb))) >= 0.3"""))
 def j11(spark, sf):
     p = product(spark, sf).select("name").distinct()
-    return similar(p, "name", "name", p, "name", "name", 0.5).where("lid < rid").select(F.col("lid").alias("a_name"), F.col("rid").alias("b_name"), F.round("sim", 6).alias("sim"))
+    return similar(p, "name", "name", p, "name", "name", 0.3).where("lid < rid").select(F.col("lid").alias("a_name"), F.col("rid").alias("b_name"), F.round("sim", 6).alias("sim"))
 
 
 def _tri_sim(a: str, b: str) -> str:

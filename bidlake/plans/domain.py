@@ -52,8 +52,21 @@ _BLOB = "lower(title || coalesce(' ' || goods, ''))"
 _HIT = lambda k: f"CASE WHEN regexp_matches({_BLOB}, '(^|[^\\p{{L}}\\p{{N}}_]){k}') THEN 1 ELSE 0 END"
 
 
+def _score_sql(keywords: list[str], regions: list[str], low: float | None, high: float | None, currency: str | None) -> str:
+    """The oracle's counterpart of score()."""
+    hits = " + ".join(map(_HIT, keywords))
+    inside = f"totalcost >= {low or 0} AND totalcost <= {high if high is not None else 1e18}"
+    parts = [
+        f"60.0::DOUBLE * ({hits}) / {len(keywords)}" if keywords else "30.0::DOUBLE",
+        "CASE WHEN " + " OR ".join(f"area_path = '{r}' OR area_path LIKE '{r}.%'" for r in regions) + " THEN 20 ELSE 0 END" if regions else "10",
+        ("7.5" if not currency else f"CASE WHEN currency = '{currency}' AND totalcost IS NOT NULL THEN CASE WHEN {inside} THEN 15 ELSE 0 END ELSE 7.5 END") if low is not None or high is not None else "7.5",
+        f"CASE WHEN currency = '{currency}' THEN 5 ELSE 0 END" if currency else "2.5",
+    ]
+    return "CAST(round_even(" + " + ".join(parts) + ", 0) AS INTEGER)"
+
+
 @register("D1_score_tender", sql("tender good", f""", {_CAND}, m AS (SELECT *, {_HIT("anvil")} + {_HIT("bolt")} + {_HIT("plate")} AS k FROM cand WHERE {OPEN_SQL})
-    SELECT id, CAST(round_even(60.0::DOUBLE * k / 3 + CASE WHEN area_path LIKE '33.1.%' THEN 20 ELSE 0 END + CASE WHEN currency = 'USD' AND totalcost IS NOT NULL THEN CASE WHEN totalcost BETWEEN 50000 AND 300000 THEN 15 ELSE 0 END ELSE 7.5 END + CASE WHEN currency = 'USD' THEN 5 ELSE 0 END, 0) AS INTEGER) AS score,
+    SELECT id, {_score_sql(["anvil", "bolt", "plate"], ["33.1"], 50_000, 300_000, "USD")} AS score,
     concat_ws(',', CASE WHEN k > 0 THEN 'keywords:' || k END, CASE WHEN area_path LIKE '33.1.%' THEN 'region' END, CASE WHEN currency = 'USD' AND totalcost BETWEEN 50000 AND 300000 THEN 'budget' END) AS reasons FROM m"""))
 def d1(spark, sf):
     s = score(["anvil", "bolt", "plate"], ["33.1"], 50_000, 300_000, "USD")
@@ -62,13 +75,14 @@ def d1(spark, sf):
 
 @register("D2_product_matches", sql("good product", """SELECT p.product_id, count(DISTINCT g.tender_id) AS n FROM product p JOIN good g ON (p.code IS NOT NULL AND g.good_code LIKE substr(p.code, 1, 5) || '%') OR (p.code IS NULL AND contains(' ' || g.name || ' ', ' ' || p.name || ' ')) WHERE p.company_id = 4 GROUP BY p.product_id"""))
 def d2(spark, sf):
-    """A confirmed code decides alone; only products without one fall back to text."""
-    p, g = product(spark, sf).where("company_id = 4"), good(spark, sf)
-    coded = code_prefix_join(g, "good_code", p.where("code IS NOT NULL").select("product_id", F.substring("code", 1, 5).alias("p5")), "p5", (5,)).select("product_id", "tender_id")
-    text = p.where("code IS NULL").select("product_id", F.col("name").alias("pattern"))
+    """A confirmed code decides alone; only products without one fall back to text. Tenders are counted once for each code and name, products come last."""
+    p = product(spark, sf).where("company_id = 4").select("product_id", F.when(F.col("code").isNotNull(), F.substring("code", 1, 5)).alias("p5"), "name")
+    g = good(spark, sf).select("tender_id", F.substring("good_code", 1, 5).alias("p5"), "name").distinct()
+    coded = g.join(p.where("p5 IS NOT NULL").select("p5").distinct(), "p5", "left_semi").groupBy("p5").agg(F.countDistinct("tender_id").alias("n"))
+    text = p.where("p5 IS NULL").select("product_id", F.col("name").alias("pattern"))
     names = patterns_in(g.select("name").distinct(), "name", text, "pattern")
-    texts = g.join(names, "name").join(text, "pattern").select("product_id", "tender_id")
-    return coded.union(texts).distinct().groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    texts = g.select("tender_id", "name").distinct().join(names, "name").groupBy("pattern").agg(F.countDistinct("tender_id").alias("n"))
+    return p.join(coded, "p5").select("product_id", "n").union(text.join(texts, "pattern").select("product_id", "n"))
 
 
 @register("D3_candidates", sql("tender good", f", {_CAND} SELECT id, coalesce(goods, '') AS goods FROM cand"))
@@ -89,16 +103,15 @@ def text_match(spark, sf, terms: DataFrame) -> DataFrame:
     return g.join(names, "name", "left_semi").select(F.col("tender_id").alias("id")).distinct()
 
 
-@register("D5_text_match", sql("good product tender", "SELECT DISTINCT tender_id AS id FROM good g WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(keywords) AS term FROM product WHERE company_id = 0 AND code IS NULL AND product_id < 100) x WHERE contains(' ' || g.name || ' ', ' ' || x.term || ' '))"))
+@register("D5_text_match", sql("good product tender", "SELECT DISTINCT tender_id AS id FROM good g WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(keywords) AS term FROM product WHERE company_id = 0 AND code IS NULL) x WHERE contains(' ' || g.name || ' ', ' ' || x.term || ' '))"))
 def d5(spark, sf):
-    terms = product(spark, sf).where("company_id = 0 AND code IS NULL AND product_id < 100").select(F.explode("keywords").alias("term")).distinct()
-    return text_match(spark, sf, terms)
+    return text_match(spark, sf, product(spark, sf).where("company_id = 0 AND code IS NULL").select(F.explode("keywords").alias("term")).distinct())
 
 
 @register("D5b_text_match_all", sql("good product tender", "SELECT DISTINCT tender_id AS id FROM good g WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(keywords) AS term FROM product WHERE company_id = 0 AND code IS NULL) x WHERE contains(' ' || g.name || ' ', ' ' || x.term || ' '))"))
 def d5b(spark, sf):
-    """D5 over all uncoded products of the company."""
-    return text_match(spark, sf, product(spark, sf).where("company_id = 0 AND code IS NULL").select(F.explode("keywords").alias("term")).distinct())
+    """D5 under the name it had while D5 took a part of the products."""
+    return d5(spark, sf)
 
 
 @register("D6_catalog_match", sql("good product tender", f"""SELECT t.id, max(x.score) AS score, NOT bool_or(area_path LIKE '33.2.%') AS outside FROM tender t JOIN (
@@ -115,13 +128,37 @@ def d6(spark, sf):
     return tender(spark, sf).where(is_open()).join(best, F.col("id") == F.col("tender_id")).select("id", "score", (~in_region(F.col("area_path"), ["33.2"])).alias("outside"))
 
 
-@register("D7_notification_score", sql("tender good product", f""", {_CAND} SELECT id, greatest(c, p, s) AS score, CASE WHEN c >= p AND c >= s THEN 'catalog' WHEN p >= s THEN 'profile' ELSE 'search' END AS source FROM (SELECT id, CASE WHEN id IN (SELECT tender_id FROM good WHERE name IN (SELECT name FROM product WHERE company_id = 3)) THEN 60 ELSE 0 END AS c, CASE WHEN area_path LIKE '33.1.%' THEN 70 ELSE 20 END AS p, CASE WHEN currency = 'RUB' THEN 65 ELSE 0 END AS s FROM cand WHERE {OPEN_SQL})"""))
+#: Parameters of the query: a company's profile and its saved searches (keywords, regions, least and most budget, currency).
+PROFILE = (["anvil", "bolt", "plate"], ["33.1"], 50_000, 300_000, "USD")
+SEARCHES = {"red_in_rub": (["red"], ["33.2"], None, 150_000, "RUB"), "gears": (["gear", "gizmo"], [], None, None, "EUR")}
+
+
+def notification(cands: DataFrame, goods: DataFrame, products: DataFrame, profile: tuple, searches: dict[str, tuple]) -> DataFrame:
+    """The best of three scores for each tender, and where it comes from.
+
+    The catalogue gives 100 where a good has a product's confirmed code, 60 where a name without
+    one stands in a good's name; the profile and each saved search give score(). The catalogue wins
+    ties, then the profile, then the search that comes first; nothing found has no source.
+    """
+    codes = products.where("code IS NOT NULL").select("code").distinct()
+    coded = code_prefix_join(goods.select("tender_id", "good_code"), "good_code", codes, "code").select("tender_id", F.lit(100).alias("c"))
+    names = patterns_in(goods.select("name").distinct(), "name", products.where("code IS NULL"), "name").select(goods["name"]).distinct()
+    named = goods.join(names, "name", "left_semi").select("tender_id", F.lit(60).alias("c"))
+    catalogue = coded.unionByName(named).groupBy("tender_id").agg(F.max("c").alias("c"))
+    t = cands.join(catalogue, F.col("id") == F.col("tender_id"), "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("p", score(*profile)["score"])
+    found = F.array(*[F.struct(score(*q)["score"].alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, q) in enumerate(searches.items())])
+    t = t.withColumn("s", F.array_max(found))
+    search = F.col("s.score") > F.col("p")
+    other = F.greatest(F.col("p"), F.col("s.score"))
+    source = F.when((F.col("c") >= other) & (F.col("c") > 0), "catalog").when(F.col("c") >= other, None).when(search, "search").otherwise("profile")
+    return t.select("id", F.greatest("c", other).alias("score"), source.alias("source"), F.when((F.col("c") < other) & search, F.col("s.name")).alias("search"))
+
+
+@register("D7_notification_score", sql("tender good product", f""", {_CAND}, x AS (SELECT id, CASE WHEN id IN (SELECT tender_id FROM good g JOIN (SELECT DISTINCT code FROM product WHERE company_id = 3 AND code IS NOT NULL) k ON starts_with(g.good_code, k.code)) THEN 100
+        WHEN id IN (SELECT tender_id FROM good g JOIN (SELECT DISTINCT name FROM product WHERE company_id = 3 AND code IS NULL) k ON contains(' ' || g.name || ' ', ' ' || k.name || ' ')) THEN 60 ELSE 0 END AS c, {_score_sql(*PROFILE)} AS p, {_score_sql(*SEARCHES["red_in_rub"])} AS s1, {_score_sql(*SEARCHES["gears"])} AS s2 FROM cand WHERE {OPEN_SQL})
+    SELECT id, greatest(c, p, s1, s2) AS score, CASE WHEN c >= greatest(p, s1, s2) THEN CASE WHEN c > 0 THEN 'catalog' END WHEN greatest(s1, s2) > p THEN 'search' ELSE 'profile' END AS source, CASE WHEN c < greatest(p, s1, s2) AND greatest(s1, s2) > p THEN CASE WHEN s1 >= s2 THEN 'red_in_rub' ELSE 'gears' END END AS search FROM x"""))
 def d7(spark, sf):
-    names = product(spark, sf).where("company_id = 3").select("name").distinct()
-    hit = good(spark, sf).join(names, "name", "left_semi").select("tender_id").distinct().withColumn("hit", F.lit(60))
-    t = tender(spark, sf).where(is_open()).join(hit, F.col("id") == F.col("tender_id"), "left")
-    c, p, s = F.coalesce("hit", F.lit(0)), F.when(in_region(F.col("area_path"), ["33.1"]), 70).otherwise(20), F.when(F.col("currency") == "RUB", 65).otherwise(0)
-    return t.select("id", F.greatest(c, p, s).alias("score"), F.when((c >= p) & (c >= s), "catalog").when(p >= s, "profile").otherwise("search").alias("source"))
+    return notification(candidates(spark, sf).where(is_open()), good(spark, sf), product(spark, sf).where("company_id = 3"), PROFILE, SEARCHES)
 
 
 @register("D8_new_candidates", sql("tender", f"SELECT id FROM tender WHERE {OPEN_SQL} AND published_at > $now - INTERVAL '180 days' AND id NOT IN (SELECT event_id FROM events WHERE event_type = 'view') ORDER BY close_at NULLS LAST, id LIMIT 50"))
@@ -165,10 +202,42 @@ def d10(spark, sf):
     return priced(t, "cost", 3.0, 2.0, 15.0, 12.0, "budget").select("id", "cost", "logistics", "risk", "total", "ex_vat", "vat", "final", "profit", "margin", "left")
 
 
-@register("D11_input_precedence", sql("product", "SELECT product_id, coalesce(CASE WHEN product_id % 5 = 0 THEN 25 END, CASE WHEN product_id % 3 = 0 THEN 18 END, 15) AS markup FROM product"))
+#: Inputs of a price where nobody set any.
+DEFAULT_INPUTS = {"markup_percent": 15.0, "risk_percent": 5.0, "logistics_percent": 3.0, "vat_percent": 12.0}
+
+
+def price_inputs(tenders: DataFrame, settings: DataFrame, saved: DataFrame, override: DataFrame) -> DataFrame:
+    """The inputs of each tender's price: what the request says, else the saved estimate, else the company's settings, else the defaults.
+
+    Null says nothing at any level. The currency is the tender's unless an estimate or a request
+    names another; the budget is always the tender's. tenders: id, company_id, currency, totalcost;
+    settings: company_id and inputs; saved and override: id, inputs and currency.
+    """
+    fields = list(DEFAULT_INPUTS)
+    level = lambda df, key, tag: df.select(F.col(key).alias(f"{tag}_key"), *[F.col(c).alias(f"{tag}_{c}") for c in [*fields, "currency"] if c in df.columns])
+    j = tenders.join(level(settings, "company_id", "set"), F.col("company_id") == F.col("set_key"), "left")
+    j = j.join(level(saved, "id", "sav"), F.col("id") == F.col("sav_key"), "left").join(level(override, "id", "ask"), F.col("id") == F.col("ask_key"), "left")
+    return j.select("id", *[F.coalesce(f"ask_{c}", f"sav_{c}", f"set_{c}", F.lit(DEFAULT_INPUTS[c])).alias(c) for c in fields], F.coalesce("ask_currency", "sav_currency", "currency").alias("currency"), F.col("totalcost").cast("double").alias("budget"))
+
+
+def _estimates(spark, sf, kind: str) -> DataFrame:
+    """Saved or asked inputs by tender: an event of the kind is an estimate of the tender of its number."""
+    e = raw(spark, sf, "events").where(F.col("event_type") == kind)
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.col("event_id").alias("id"), F.when(F.col("value") < 40, F.col("value")).alias("markup_percent"), F.when(k < 10, k.cast("double")).alias("risk_percent"), F.when(k > 90, k / 10).alias("logistics_percent"), F.lit(None).cast("double").alias("vat_percent"), F.when(k % 9 == 0, "UZS").alias("currency"))
+
+
+_ESTIMATE = lambda kind: f"SELECT event_id AS id, CASE WHEN value < 40 THEN value END AS m, CASE WHEN k < 10 THEN k::DOUBLE END AS r, CASE WHEN k > 90 THEN k / 10.0::DOUBLE END AS l, CASE WHEN k % 9 = 0 THEN 'UZS' END AS cur FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) WHERE event_type = '{kind}'"
+_SETTINGS = [(0, 20.0, None, None, 12.0), (1, 18.0, 4.0, 2.0, None), (2, None, None, None, 0.0), (3, 25.0, 10.0, 6.0, 15.0)]
+
+
+@register("D11_input_precedence", sql("tender", f""", st AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join("NULL" if x is None else str(x) for x in r) + ")" for r in _SETTINGS)}) v(company_id, m, r, l, v)), sv AS ({_ESTIMATE("purchase")}), ak AS ({_ESTIMATE("click")})
+    SELECT t.id, CAST(coalesce(ak.m, sv.m, st.m, 15) AS DOUBLE) AS markup_percent, CAST(coalesce(ak.r, sv.r, st.r, 5) AS DOUBLE) AS risk_percent, CAST(coalesce(ak.l, sv.l, st.l, 3) AS DOUBLE) AS logistics_percent, CAST(coalesce(st.v, 12) AS DOUBLE) AS vat_percent, coalesce(ak.cur, sv.cur, t.currency) AS currency, CAST(t.totalcost AS DOUBLE) AS budget
+    FROM tender t LEFT JOIN st ON st.company_id = t.buyer_id % 5 LEFT JOIN sv ON sv.id = t.id LEFT JOIN ak ON ak.id = t.id"""))
 def d11(spark, sf):
-    k = F.col("product_id")
-    return product(spark, sf).select("product_id", F.coalesce(F.when(k % 5 == 0, 25), F.when(k % 3 == 0, 18), F.lit(15)).alias("markup"))
+    settings = F.broadcast(spark.createDataFrame(_SETTINGS, "company_id long, markup_percent double, risk_percent double, logistics_percent double, vat_percent double"))
+    t = tender(spark, sf).select("id", (F.col("buyer_id") % 5).alias("company_id"), "currency", "totalcost")
+    return price_inputs(t, settings, _estimates(spark, sf, "purchase"), _estimates(spark, sf, "click"))
 
 
 def stock_check(positions: DataFrame, products: DataFrame) -> DataFrame:
@@ -271,57 +340,156 @@ def d20(spark, sf):
     return j.where(F.col("quality").isNull() | ((F.col("quality") == 0) & (F.col("n_chars") > 500))).select("doc_id")
 
 
-CRITERIA = ["open", "region", "budget", "time", "stock"]
+def qualification(t: DataFrame, at: Column, most: float, regions: list[str]) -> DataFrame:
+    """Each tender's criteria and verdict at a time: any failure is no_go, three good ones without a risk are go, the rest is for review."""
+    left = F.datediff("close_at", at.cast("date"))
+    live = (F.col("status") == "open") & (F.col("close_at").isNull() | (F.col("close_at") > at))
+    c = {
+        "deadline": F.when(F.col("close_at").isNull(), "no_data").when(left < 3, "risk").otherwise("ok"), "open": F.when(live, "ok").otherwise("fail"),
+        "region": F.when(in_region(F.col("area_path"), regions), "ok").otherwise("risk"), "value": F.when(F.col("totalcost").isNull(), "no_data").when(F.col("totalcost") > most, "risk").otherwise("ok"),
+    }
+    count = lambda s: reduce(lambda a, b: a + b, [(x == s).cast("int") for x in c.values()])
+    t = t.select("id", "source_platform", *[x.alias(k) for k, x in c.items()], count("fail").alias("n_fail"), count("ok").alias("n_ok"), count("risk").alias("n_risk"))
+    return t.withColumn("verdict", F.when(F.col("n_fail") > 0, "no_go").when((F.col("n_ok") >= 3) & (F.col("n_risk") == 0), "go").otherwise("review"))
+
+
+def _qualification_sql(at: str, most: int) -> str:
+    """The oracle's counterpart of qualification() in the regions 33.1 and 33.2."""
+    parts = {"deadline": f"CASE WHEN close_at IS NULL THEN 'no_data' WHEN date_diff('day', {at}::DATE, close_at::DATE) < 3 THEN 'risk' ELSE 'ok' END", "open": f"CASE WHEN status = 'open' AND (close_at IS NULL OR close_at > {at}) THEN 'ok' ELSE 'fail' END", "region": "CASE WHEN area_path LIKE '33.1.%' OR area_path LIKE '33.2.%' THEN 'ok' ELSE 'risk' END", "value": f"CASE WHEN totalcost IS NULL THEN 'no_data' WHEN totalcost > {most} THEN 'risk' ELSE 'ok' END"}
+    count = lambda s: " + ".join(f"(\"{k}\" = '{s}')::INT" for k in parts)
+    inner = ", ".join(f'{x} AS "{k}"' for k, x in parts.items())
+    return f"""SELECT *, CASE WHEN n_fail > 0 THEN 'no_go' WHEN n_ok >= 3 AND n_risk = 0 THEN 'go' ELSE 'review' END AS verdict FROM (SELECT *, {count("fail")} AS n_fail, {count("ok")} AS n_ok, {count("risk")} AS n_risk FROM (SELECT id, source_platform, {inner} FROM tender))"""
+
+
+REGIONS, MOST, EARLIER, EARLIER_MOST = ["33.1", "33.2"], 400_000, "1998-04-01 00:00:00", 300_000
 
 
-@register("D22_qualification", sql("tender", f"""SELECT id, n_fail, n_ok, CASE WHEN n_fail > 0 THEN 'no_go' WHEN n_ok >= 3 AND n_risk = 0 THEN 'go' ELSE 'review' END AS verdict FROM (SELECT id, (a = 'fail')::INT + (b = 'fail')::INT + (c = 'fail')::INT + (d = 'fail')::INT AS n_fail, (a = 'ok')::INT + (b = 'ok')::INT + (c = 'ok')::INT + (d = 'ok')::INT AS n_ok, (a = 'risk')::INT + (b = 'risk')::INT + (c = 'risk')::INT + (d = 'risk')::INT AS n_risk FROM
-    (SELECT id, CASE WHEN {OPEN_SQL} THEN 'ok' ELSE 'fail' END AS a, CASE WHEN area_path LIKE '33.1.%' OR area_path LIKE '33.2.%' THEN 'ok' ELSE 'risk' END AS b, CASE WHEN totalcost IS NULL THEN 'no_data' WHEN totalcost > 400000 THEN 'risk' ELSE 'ok' END AS c, CASE WHEN close_at IS NULL THEN 'no_data' WHEN date_diff('day', $now::DATE, close_at::DATE) < 3 THEN 'risk' ELSE 'ok' END AS d FROM tender))"""))
+@register("D22_qualification", sql("tender", f"SELECT id, n_fail, n_ok, verdict FROM ({_qualification_sql('$now', MOST)})"))
 def d22(spark, sf):
-    """Any failure is no_go; three good criteria without a risk are go; the rest is for review."""
-    left = F.datediff("close_at", F.lit("1998-06-01").cast("date"))
-    c = [F.when(is_open(), "ok").otherwise("fail"), F.when(in_region(F.col("area_path"), ["33.1", "33.2"]), "ok").otherwise("risk"), F.when(F.col("totalcost").isNull(), "no_data").when(F.col("totalcost") > 400000, "risk").otherwise("ok"), F.when(F.col("close_at").isNull(), "no_data").when(left < 3, "risk").otherwise("ok")]
-    count = lambda s: reduce(lambda a, b: a + b, [(x == s).cast("int") for x in c])
-    t = tender(spark, sf).select("id", count("fail").alias("n_fail"), count("ok").alias("n_ok"), count("risk").alias("n_risk"))
-    return t.select("id", "n_fail", "n_ok", F.when(F.col("n_fail") > 0, "no_go").when((F.col("n_ok") >= 3) & (F.col("n_risk") == 0), "go").otherwise("review").alias("verdict"))
+    return qualification(tender(spark, sf), now(), MOST, REGIONS).select("id", "n_fail", "n_ok", "verdict")
+
+
+#: The criteria of a go/no-go answer, in their order.
+CRITERIA = ["requirements", "activity", "certificates", "finances", "experience", "deadline", "region", "resources", "safety", "value", "profit"]
+
+
+def normalized(answers: DataFrame) -> DataFrame:
+    """Answers (id, decision, criteria: an array of key and status) as exactly the fixed criteria in their order.
+
+    What an answer leaves out or doesn't know has no data, keys that are none go, of repeated
+    keys the last counts; a decision that is none becomes review.
+    """
+    known = lambda s: F.when(s.isin("ok", "risk", "fail"), s).otherwise("no_data")
+    last = lambda k: F.try_element_at(F.filter("criteria", lambda x: x["key"] == k), F.lit(-1))["status"]
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("criterion"), known(last(k)).alias("status")) for i, k in enumerate(CRITERIA)])
+    decision = F.when(F.col("decision").isin("go", "review", "no_go"), F.col("decision")).otherwise("review")
+    return answers.select("id", decision.alias("decision"), F.explode(rows).alias("x")).select("id", "decision", "x.*")
+
 
+_GIVEN = {"deadline": "deadline", "region": "region", "value": "value", "open": "requirements"}
 
-@register("D23_fixed_criteria", sql("tender", "SELECT s.c AS criterion, coalesce(x.n, 0) AS n FROM (VALUES ('open'), ('region'), ('budget'), ('time'), ('stock')) s(c) LEFT JOIN (SELECT CASE id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'region' WHEN 2 THEN 'budget' ELSE 'other' END AS c, count(*) AS n FROM tender GROUP BY 1) x ON x.c = s.c"))
+
+@register("D23_fixed_criteria", sql("tender good product", f""", q AS ({_qualification_sql('$now', MOST)}), a AS (SELECT DISTINCT tender_id FROM good WHERE name IN (SELECT name FROM product WHERE company_id = 1)),
+    r AS (SELECT q.*, CASE WHEN a.tender_id IS NULL THEN 'risk' ELSE 'ok' END AS activity FROM q LEFT JOIN a ON a.tender_id = q.id),
+    x AS (SELECT id, verdict, unnest({CRITERIA!r}) AS criterion, unnest(range({len(CRITERIA)})) AS pos, r.* EXCLUDE (id, verdict) FROM r)
+    SELECT pos::INTEGER AS pos, criterion, status, decision, count(*) AS n FROM (SELECT pos, criterion, verdict AS decision, CASE criterion WHEN 'activity' THEN activity {" ".join(f"WHEN '{v}' THEN \"{k}\"" for k, v in _GIVEN.items())} ELSE 'no_data' END AS status FROM x) GROUP BY ALL"""))
 def d23(spark, sf):
-    k = F.col("id") % 4
-    got = tender(spark, sf).groupBy(F.when(k == 0, "open").when(k == 1, "region").when(k == 2, "budget").otherwise("other").alias("criterion")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.createDataFrame([(c,) for c in CRITERIA], "criterion string").join(got, "criterion", "left").select("criterion", F.coalesce("n", F.lit(0)).alias("n"))
+    """What is measured here answers five of the criteria, out of order; the others have no data."""
+    named = product(spark, sf).where("company_id = 1").select("name").distinct()
+    active = good(spark, sf).join(named, "name", "left_semi").select("tender_id").distinct()
+    q = qualification(tender(spark, sf), now(), MOST, REGIONS).join(active, F.col("id") == F.col("tender_id"), "left")
+    entry = lambda k, s: F.struct(F.lit(k).alias("key"), s.alias("status"))
+    answers = q.select("id", F.col("verdict").alias("decision"), F.array(*[entry(v, F.col(k)) for k, v in _GIVEN.items()], entry("activity", F.when(F.col("tender_id").isNull(), "risk").otherwise("ok")), entry("unheard_of", F.lit("ok"))).alias("criteria"))
+    return normalized(answers).groupBy("pos", "criterion", "status", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def routed(old: DataFrame, new: DataFrame, people: DataFrame) -> DataFrame:
+    """The rows a new routing writes: those whose verdict or score moved, or that are new.
+
+    old and new: id, verdict, score (old also first_old); people: id, decision. A person's decision
+    goes stale when the machine's verdict moves; the verdict it was made against is kept once.
+    """
+    o = old.select(F.col("id").alias("old_id"), F.col("verdict").alias("old_verdict"), F.col("score").alias("old_score"), "first_old")
+    j = new.join(o, F.col("id") == F.col("old_id"), "left").join(people.select(F.col("id").alias("by_id"), F.col("decision").alias("person")), F.col("id") == F.col("by_id"), "left")
+    moved = F.col("old_verdict").isNotNull() & (F.col("old_verdict") != F.col("verdict"))
+    stale = moved & F.col("person").isNotNull()
+    j = j.where(F.col("old_id").isNull() | moved | ~F.col("old_score").eqNullSafe(F.col("score")))
+    return j.select("id", "verdict", "score", "person", stale.alias("stale"), F.coalesce("first_old", F.when(stale, F.col("old_verdict"))).alias("first_old"))
+
+
+def _routing(q: DataFrame) -> DataFrame:
+    measured = F.col("n_ok") + F.col("n_risk") + F.col("n_fail")
+    return q.select("id", "source_platform", "verdict", F.when(measured > 0, F.round(100.0 * F.col("n_ok") / measured, 1)).alias("score"))
+
 
+def _people(spark, sf) -> DataFrame:
+    """People's decisions: a purchase or a click on a tender of the event's number takes it, an error turns it down."""
+    e = raw(spark, sf, "events").where(F.col("event_type").isin("purchase", "click", "error"))
+    return e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "no_go").otherwise("go").alias("decision"))
 
-@register("D24_routing_upsert", sql("tender", "SELECT id, verdict, person, stale, first_old FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'go' ELSE 'review' END AS old, CASE WHEN id % 7 = 0 THEN 'no_go' WHEN id % 5 = 0 THEN 'go' ELSE 'review' END AS verdict, CASE WHEN id % 3 = 0 THEN 'go' END AS person, CASE WHEN id % 3 = 0 AND id % 7 = 0 THEN true ELSE false END AS stale, CASE WHEN id % 3 = 0 AND id % 7 = 0 THEN CASE WHEN id % 5 = 0 THEN 'go' ELSE 'review' END END AS first_old FROM tender) WHERE old <> verdict"))
+
+_ROUTING_SQL = "SELECT id, source_platform, verdict, CASE WHEN n_ok + n_risk + n_fail > 0 THEN round(100.0::DOUBLE * n_ok / (n_ok + n_risk + n_fail), 1) END AS score FROM ({})"
+_PEOPLE_SQL = "SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'no_go' ELSE 'go' END AS decision FROM events WHERE event_type IN ('purchase', 'click', 'error')"
+
+
+@register("D24_routing_upsert", sql("tender", f""", o AS ({_ROUTING_SQL.format(_qualification_sql("TIMESTAMP '" + EARLIER + "'", EARLIER_MOST))}), n AS ({_ROUTING_SQL.format(_qualification_sql('$now', MOST))}), p AS ({_PEOPLE_SQL})
+    SELECT n.id, n.verdict, n.score, p.decision AS person, o.verdict <> n.verdict AND p.decision IS NOT NULL AS stale, CASE WHEN o.verdict <> n.verdict AND p.decision IS NOT NULL THEN o.verdict END AS first_old FROM n JOIN o ON o.id = n.id LEFT JOIN p ON p.id = n.id WHERE o.verdict <> n.verdict OR o.score IS DISTINCT FROM n.score"""))
 def d24(spark, sf):
-    """Only changed rows are written; a person's decision goes stale when the machine's verdict moves, and the first old one is kept."""
-    k = F.col("id")
-    t = tender(spark, sf).select("id", F.when(k % 5 == 0, "go").otherwise("review").alias("old"), F.when(k % 7 == 0, "no_go").when(k % 5 == 0, "go").otherwise("review").alias("verdict"), F.when(k % 3 == 0, "go").alias("person"))
-    moved = t.where(~F.col("old").eqNullSafe(F.col("verdict")))
-    stale = F.col("person").isNotNull()
-    return moved.select("id", "verdict", "person", stale.alias("stale"), F.when(stale, F.col("old")).alias("first_old"))
+    """Two months on, with a higher limit of value, against the decisions that people made between."""
+    t = tender(spark, sf)
+    old = _routing(qualification(t, F.lit(EARLIER).cast("timestamp"), EARLIER_MOST, REGIONS)).withColumn("first_old", F.lit(None).cast("string"))
+    return routed(old, _routing(qualification(t, now(), MOST, REGIONS)).drop("source_platform"), _people(spark, sf))
 
 
-@register("D25_agreement_report", sql("tender", "SELECT source_platform, verdict, n, CASE WHEN n >= 10 AND verdict <> 'review' THEN round(100.0 * same / n, 1)::DOUBLE END AS pct FROM (SELECT source_platform, CASE WHEN id % 7 = 0 THEN 'no_go' WHEN id % 5 = 0 THEN 'go' ELSE 'review' END AS verdict, count(*) AS n, count(*) FILTER (WHERE id % 5 = 0 AND id % 7 <> 0) AS same FROM tender WHERE id % 3 <> 1 GROUP BY ALL)"))
+def agreement(decided: DataFrame, least: int = 10) -> DataFrame:
+    """How often people followed the machine, by source and verdict; decided: source_platform, verdict, person.
+
+    No percentage for review, where the machine decided nothing, nor under `least` decisions; why says so.
+    """
+    g = decided.groupBy("source_platform", "verdict").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("person") == "go").alias("taken"), F.count_if(F.col("person") == "no_go").alias("refused"))
+    why = F.when(F.col("verdict") == "review", "undecided").when(F.col("n") < least, "few")
+    same = F.when(F.col("verdict") == "go", F.col("taken")).otherwise(F.col("refused"))
+    return g.select("source_platform", "verdict", "n", "taken", "refused", F.when(why.isNull(), F.round(100.0 * same / F.col("n"), 1)).alias("pct"), why.alias("why"))
+
+
+@register("D25_agreement_report", sql("tender", f""", n AS ({_qualification_sql('$now', MOST)}), p AS ({_PEOPLE_SQL}), g AS (SELECT source_platform, verdict, count(*) AS n, count(*) FILTER (WHERE decision = 'go') AS taken, count(*) FILTER (WHERE decision = 'no_go') AS refused FROM n JOIN p ON p.id = n.id GROUP BY ALL)
+    SELECT *, CASE WHEN verdict <> 'review' AND n >= 10 THEN round(100.0::DOUBLE * CASE verdict WHEN 'go' THEN taken ELSE refused END / n, 1) END AS pct, CASE WHEN verdict = 'review' THEN 'undecided' WHEN n < 10 THEN 'few' END AS why FROM g"""))
 def d25(spark, sf):
-    k = F.col("id")
-    v = F.when(k % 7 == 0, "no_go").when(k % 5 == 0, "go").otherwise("review")
-    g = tender(spark, sf).where(k % 3 != 1).groupBy("source_platform", v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), F.count_if((k % 5 == 0) & (k % 7 != 0)).alias("same"))
-    return g.select("source_platform", "verdict", "n", F.when((F.col("n") >= 10) & (F.col("verdict") != "review"), F.round(100.0 * F.col("same") / F.col("n"), 1)).alias("pct"))
+    q = qualification(tender(spark, sf), now(), MOST, REGIONS).select("id", "source_platform", "verdict")
+    return agreement(q.join(_people(spark, sf).withColumnsRenamed({"id": "by_id", "decision": "person"}), F.col("id") == F.col("by_id")))
 
 
 # --- D26-D43: codes and retrieval ---
 
 
-@register("D26_code_suggestion", sql("good", """, lex AS (SELECT code, row_number() OVER (ORDER BY n DESC, code) AS rnk, n FROM (SELECT substr(good_code, 1, 5) AS code, count(*) AS n FROM good WHERE contains(name, 'bolt') GROUP BY 1) ORDER BY n DESC, code LIMIT 50), sem AS (SELECT code, row_number() OVER (ORDER BY a DESC, code) AS rnk FROM (SELECT substr(good_code, 1, 5) AS code, max(amount) AS a FROM good GROUP BY 1) ORDER BY a DESC, code LIMIT 50)
-    SELECT code, round(s, 9) AS score FROM (SELECT coalesce(l.code, e.code) AS code, coalesce(1.0::DOUBLE / (60 + l.rnk), 0) + coalesce(1.0::DOUBLE / (60 + e.rnk), 0) + least(coalesce(l.n, 0), 50) * 1e-5 AS s FROM lex l FULL OUTER JOIN sem e ON l.code = e.code) ORDER BY round(s, 9) DESC, code LIMIT 8"""))
+def suggested_codes(goods: DataFrame, vectors: DataFrame, term: str, known: list[str], k: int = 60, cap: int = 50, top: int = 8) -> DataFrame:
+    """Codes for a term: reciprocal ranks of how often goods of that name have a code and of how near its goods' vectors come to the term's.
+
+    goods: part_id, code, name; vectors: part_id, v. The term's vector is the mean of those of the parts whose
+    name holds it. Families (first two characters) of codes that the company has already get a
+    further 1/(k+1), and evidence counts up to `cap` goods, a hundred-thousandth each.
+    """
+    lex = ranked(goods.where(F.col("name").contains(term)).groupBy("code").agg(F.count(F.lit(1)).alias("n")), cap, F.desc("n"), "code").withColumnRenamed("rn", "rnk")
+    parts = goods.select("part_id", "code", "name").distinct()
+    told = parts.where(F.col("name").contains(term)).select("part_id").distinct().join(vectors, "part_id")
+    mean = told.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.avg(F.col("x").cast("double")).alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda y: y["m"]).alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    near = vectors.crossJoin(F.broadcast(mean)).where(F.size("q") > 0).select("part_id", (dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q"))).alias("s"))
+    best = parts.select("part_id", "code").distinct().join(near, "part_id").groupBy("code").agg(F.round(F.max("s"), 7).alias("s"))
+    sem = ranked(best, cap, F.desc("s"), "code").withColumnRenamed("rn", "rnk")
+    j = fuse([lex, sem], "code", k).join(lex.select("code", "n"), "code", "left")
+    prior = F.when(F.substring("code", 1, 2).isin(known), 1.0 / (k + 1)).otherwise(0.0)
+    s = F.round(F.col("score") + prior + F.least(F.coalesce("n", F.lit(0)), F.lit(cap)) * 1e-5, 9)
+    return j.select("code", s.alias("score")).orderBy(F.desc("score"), "code").limit(top)
+
+
+@register("D26_code_suggestion", sql("good", """, lex AS (SELECT code, row_number() OVER (ORDER BY n DESC, code) AS rnk, n FROM (SELECT substr(good_code, 1, 5) AS code, count(*) AS n FROM good WHERE contains(name, 'bolt') GROUP BY 1) ORDER BY n DESC, code LIMIT 50),
+    pc AS (SELECT DISTINCT part_id, substr(good_code, 1, 5) AS code, name FROM good), v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT list(m ORDER BY p) AS q FROM (SELECT p, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS p FROM v WHERE vec_id IN (SELECT part_id FROM pc WHERE contains(name, 'bolt'))) GROUP BY p)),
+    sem AS (SELECT code, row_number() OVER (ORDER BY s DESC, code) AS rnk FROM (SELECT code, round(max(list_cosine_similarity(v, q)), 7) AS s FROM (SELECT DISTINCT part_id, code FROM pc) JOIN v ON vec_id = part_id CROSS JOIN q GROUP BY code) ORDER BY s DESC, code LIMIT 50)
+    SELECT code, round(s, 9) AS score FROM (SELECT coalesce(l.code, e.code) AS code, coalesce(1.0::DOUBLE / (60 + l.rnk), 0) + coalesce(1.0::DOUBLE / (60 + e.rnk), 0) + CASE WHEN substr(coalesce(l.code, e.code), 1, 2) IN ('12', '34') THEN 1.0::DOUBLE / 61 ELSE 0 END + least(coalesce(l.n, 0), 50) * 1e-5 AS s FROM lex l FULL OUTER JOIN sem e ON l.code = e.code) ORDER BY round(s, 9) DESC, code LIMIT 8"""))
 def d26(spark, sf):
-    g = good(spark, sf).select(F.substring("good_code", 1, 5).alias("code"), "name", "amount")
-    lex = ranked(g.where(F.col("name").contains("bolt")).groupBy("code").agg(F.count(F.lit(1)).alias("n")), 50, F.desc("n"), "code").withColumnRenamed("rn", "rnk")
-    sem = ranked(g.groupBy("code").agg(F.max("amount").alias("a")), 50, F.desc("a"), "code").withColumnRenamed("rn", "rnk")
-    j = fuse([lex, sem], "code").join(lex.select("code", "n"), "code", "left")
-    s = F.round(F.col("score") + F.least(F.coalesce("n", F.lit(0)), F.lit(50)) * 1e-5, 9)
-    return j.select("code", s.alias("score")).orderBy(F.desc("score"), "code").limit(8)
+    g = good(spark, sf).select("part_id", F.substring("good_code", 1, 5).alias("code"), "name")
+    return suggested_codes(g, raw(spark, sf, "embeddings").select(F.col("vec_id").alias("part_id"), F.col("embedding").alias("v")), "bolt", ["12", "34"])
 
 
 def centred(df: DataFrame, vec: str) -> DataFrame:
@@ -351,14 +519,38 @@ def d27b(spark, sf):
     return top_per(j, ["vec_id"], 10, F.desc("s"), "o").groupBy("vec_id").agg(F.round(F.avg("s"), 6).alias("hub"))
 
 
-@register("D28_evidence_classifier", sql("product good", """, ev AS (SELECT p.name, substr(g.good_code, 1, 2) AS fam, count(*) AS n FROM (SELECT DISTINCT name FROM product WHERE code IS NULL) p JOIN good g ON g.name = p.name GROUP BY ALL), top AS (SELECT DISTINCT ON (name) name, fam, n, sum(n) OVER (PARTITION BY name) AS total FROM ev ORDER BY name, n DESC, fam)
-    SELECT p.name, CASE WHEN t.name IS NULL THEN 'no_evidence' WHEN t.n < 2 THEN 'weak' WHEN t.n * 100 >= t.total * 20 THEN 'code' ELSE 'mixed' END AS reason, t.fam FROM (SELECT DISTINCT name FROM product WHERE code IS NULL) p LEFT JOIN top t ON t.name = p.name"""))
+TOKENS, EVIDENCE, SHARE = 4, 2, 75
+
+
+def code_evidence(products: DataFrame, goods: DataFrame) -> DataFrame:
+    """What goods say about the code of each product name: name, reason, code.
+
+    A name's tokens are its first TOKENS words. Goods whose words are all among them are evidence
+    for their whole code; it is the product's code where EVIDENCE goods or more, and SHARE percent
+    of all, have it, its family where only the first five characters reach that. products: name; goods: name, good_code.
+    """
+    words = lambda c: F.array_distinct(F.split(F.trim(F.lower(c)), r"\s+"))
+    p = products.select("name").distinct().withColumn("words", F.filter(F.slice(words(F.col("name")), 1, TOKENS), lambda w: w != ""))
+    seen = goods.groupBy(F.col("name").alias("good"), "good_code").agg(F.count(F.lit(1)).alias("n"))
+    lots = seen.select("good").distinct().withColumn("size", F.size(words(F.col("good"))))
+    pairs = p.select("name", F.explode("words").alias("w")).join(lots.select("good", "size", F.explode(words(F.col("good"))).alias("w")), "w").groupBy("name", "good", "size").agg(F.count(F.lit(1)).alias("k")).where("k = size")
+    ev = pairs.join(seen, "good").groupBy("name", "good_code").agg(F.sum("n").alias("n"))
+    first = lambda n, code: F.min(F.struct((-F.col(n)).alias("n"), F.col(code).alias("code")))
+    families = ev.groupBy("name", F.substring("good_code", 1, 5).alias("family")).agg(F.sum("n").alias("m"), first("n", "good_code").alias("t"))
+    top = families.groupBy("name").agg(F.sum("m").alias("total"), first("m", "family").alias("f"), F.min("t").alias("t"))
+    enough = lambda x: -F.col(f"{x}.n") * 100 >= F.col("total") * SHARE
+    reason = F.when(F.size("words") == 0, "no_tokens").when(F.col("total").isNull(), "no_evidence").when(-F.col("t.n") < EVIDENCE, "weak").when(enough("t"), "code").when(enough("f"), "family").otherwise("mixed")
+    out = p.join(top, "name", "left").withColumn("reason", reason)
+    return out.select("name", "reason", F.when(F.col("reason") == "code", F.col("t.code")).when(F.col("reason") == "family", F.col("f.code")).alias("code"))
+
+
+@register("D28_evidence_classifier", sql("product good", f""", p AS (SELECT DISTINCT name, list_distinct(string_split(lower(name), ' ')) AS w FROM product WHERE code IS NULL), g AS (SELECT name AS good, good_code, list_distinct(string_split(lower(name), ' ')) AS gw, count(*) AS n FROM good GROUP BY ALL),
+    ev AS (SELECT p.name, good_code, sum(n) AS n FROM p JOIN g ON list_has_all(p.w[1:{TOKENS}], g.gw) GROUP BY ALL), tot AS (SELECT name, sum(n) AS total FROM ev GROUP BY name), t AS (SELECT DISTINCT ON (name) name, good_code, n FROM ev ORDER BY name, n DESC, good_code),
+    f AS (SELECT DISTINCT ON (name) name, fam, n FROM (SELECT name, substr(good_code, 1, 5) AS fam, sum(n) AS n FROM ev GROUP BY ALL) ORDER BY name, n DESC, fam),
+    r AS (SELECT p.name, CASE WHEN tot.total IS NULL THEN 'no_evidence' WHEN t.n < {EVIDENCE} THEN 'weak' WHEN t.n * 100 >= total * {SHARE} THEN 'code' WHEN f.n * 100 >= total * {SHARE} THEN 'family' ELSE 'mixed' END AS reason, t.good_code, f.fam FROM p LEFT JOIN tot USING (name) LEFT JOIN t USING (name) LEFT JOIN f USING (name))
+    SELECT name, reason, CASE reason WHEN 'code' THEN good_code WHEN 'family' THEN fam END AS code FROM r"""))
 def d28(spark, sf):
-    p = product(spark, sf).where("code IS NULL").select("name").distinct()
-    ev = good(spark, sf).join(p, "name", "left_semi").groupBy("name", F.substring("good_code", 1, 2).alias("fam")).agg(F.count(F.lit(1)).alias("n"))
-    top = ev.groupBy("name").agg(F.sum("n").alias("total"), F.max(F.struct("n", F.translate("fam", "0123456789", "9876543210").alias("r"), "fam")).alias("t"))
-    reason = F.when(F.col("total").isNull(), "no_evidence").when(F.col("t.n") < 2, "weak").when(F.col("t.n") * 100 >= F.col("total") * 20, "code").otherwise("mixed")
-    return p.join(top, "name", "left").select("name", reason.alias("reason"), F.col("t.fam").alias("fam"))
+    return code_evidence(product(spark, sf).where("code IS NULL"), good(spark, sf))
 
 
 @register("D29_policy_gate", sql("good", "SELECT name, CASE WHEN fams = 1 AND n >= 5 THEN 'auto' WHEN n >= 2 THEN 'queue' ELSE 'none' END AS decision FROM (SELECT name, count(DISTINCT substr(good_code, 1, 2)) AS fams, count(*) AS n FROM good GROUP BY name)"))
@@ -420,19 +612,18 @@ def d37(spark, sf):
     return sem.join(lex, "id", "full_outer").select("id", F.when(F.col("s").isNotNull() & F.col("l").isNotNull(), 0).when(F.col("s").isNotNull(), 1).otherwise(2).alias("class"))
 
 
-@register("D38_reuse_by_hash", "SELECT a.doc_id, b.donor FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 2 = 1) a JOIN (SELECT sha256(coalesce(text, '')) AS h, min(doc_id) AS donor FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) b USING (h)")
+@register("D38_reuse_by_hash", "SELECT doc_id, donor FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS donor FROM documents) WHERE doc_id <> donor")
 def d38(spark, sf):
+    """The first document of each text is the donor of all others."""
     d = raw(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    donors = d.where("doc_id % 2 = 0").groupBy("h").agg(F.min("doc_id").alias("donor"))
-    return d.where("doc_id % 2 = 1").join(donors, "h").select("doc_id", "donor")
+    donors = d.groupBy("h").agg(F.min("doc_id").alias("donor"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return d.join(donors, "h").where("doc_id <> donor").select("doc_id", "donor")
 
 
 @register("D38b_reuse_by_hash_all", "SELECT doc_id, donor FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS donor FROM documents) WHERE doc_id <> donor")
 def d38b(spark, sf):
-    """The first document of each text is the donor of all others."""
-    d = raw(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    donors = d.groupBy("h").agg(F.min("doc_id").alias("donor"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return d.join(donors, "h").where("doc_id <> donor").select("doc_id", "donor")
+    """D38 under the name it had while D38 took donors and receivers from different halves."""
+    return d38(spark, sf)
 
 
 @register("D39_text_for_vectors", sql("good", "SELECT tender_id, left(string_agg(name, '; ' ORDER BY rn), 1200) AS txt FROM (SELECT tender_id, name, row_number() OVER (PARTITION BY tender_id ORDER BY totalcost_item DESC, good_no, part_id) AS rn FROM good) WHERE rn <= 5 GROUP BY tender_id"))

@@ -38,16 +38,23 @@ def code_prefix_join(left: DataFrame, code: str, right: DataFrame, prefix: str,
 def similar(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str, least: float) -> DataFrame:
     """Pairs whose trigram sets have at least the Jaccard similarity: (lid, rid, common, sim).
 
-    Equal texts are joined once, then spread: texts, not rows, are compared. A join on
-    trigrams counts the common ones; sets too different in size are left out before it.
+    Equal texts are joined once, then spread: texts, not rows, are compared. A set that shares
+    `least` of all with another holds one of its rarest trigrams, as many as it can miss and one
+    more; only these are joined, so common trigrams bring nobody together by themselves.
     """
-    a = left.select(F.col(ltext).alias("lt")).distinct().select("lt", trigrams("lt").alias("lg"))
-    b = right.select(F.col(rtext).alias("rt")).distinct().select("rt", trigrams("rt").alias("rg"))
-    la = a.select("lt", F.size("lg").alias("ln"), F.explode("lg").alias("g"))
-    rb = b.select("rt", F.size("rg").alias("rn"), F.explode("rg").alias("g"))
-    fits = F.least("ln", "rn") >= least * F.greatest("ln", "rn")
-    pairs = la.join(rb, "g").where(fits).groupBy("lt", "rt", "ln", "rn").agg(F.count(F.lit(1)).alias("common"))
-    pairs = pairs.withColumn("sim", F.col("common") / (F.col("ln") + F.col("rn") - F.col("common"))).where(F.col("sim") >= least)
+    a = left.select(F.col(ltext).alias("t")).distinct().withColumn("g", trigrams("t"))
+    b = right.select(F.col(rtext).alias("t")).distinct().withColumn("g", trigrams("t"))
+    count = a.select(F.explode("g").alias("x")).unionAll(b.select(F.explode("g").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(texts: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        rare = texts.select("t", "g", F.explode("g").alias("x")).join(count, "x").groupBy("t").agg(F.first("g").alias("g"), F.array_sort(F.collect_list(F.struct("df", "x"))).alias("by"))
+        n = F.size("g")
+        return rare.select("t", "g", F.explode(F.slice("by", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("y")).select("t", "g", "y.x").toDF(*names)
+
+    la, rb = prefix(a, ("lt", "lg", "x")), prefix(b, ("rt", "rg", "x"))
+    fits = F.least(F.size("lg"), F.size("rg")) >= least * F.greatest(F.size("lg"), F.size("rg"))
+    met = la.join(rb, "x").where(fits).groupBy("lt", "rt").agg(F.first("lg").alias("lg"), F.first("rg").alias("rg"))
+    pairs = met.withColumn("common", F.size(F.array_intersect("lg", "rg")).cast("long")).withColumn("sim", F.col("common") / (F.size("lg") + F.size("rg") - F.col("common"))).where(F.col("sim") >= least)
     out = pairs.join(left.select(F.col(lid).alias("lid"), F.col(ltext).alias("lt")), "lt").join(right.select(F.col(rid).alias("rid"), F.col(rtext).alias("rt")), "rt")
     return out.select("lid", "rid", "common", "sim")
 

@@ -28,9 +28,9 @@ def percent(part, whole, least: int = 1):
     return F.when(whole >= least, F.round(100.0 * part / whole, 2))
 
 
-def document_state(spark, sf, which: str = "doc_id % 10 <> 9") -> DataFrame:
+def document_state(spark, sf) -> DataFrame:
     """Documents beside their processing state: full outer, so that orphans on either side show."""
-    d = raw(spark, sf, "documents").where(which).select(F.col("doc_id").alias("a"), "lang", "source", "n_chars")
+    d = raw(spark, sf, "documents").select(F.col("doc_id").alias("a"), "lang", "source", "n_chars")
     t = raw(spark, sf, "labels").select(F.col("doc_id").alias("b"), "quality", "toxic")
     j = d.join(t, d.a == t.b, "full_outer")
     state = F.when(F.col("a").isNull(), "orphan").when(F.col("b").isNull(), "pending").when(F.col("toxic") == 1, "blocked").when(F.col("quality") == 0, "unreadable").otherwise("ok")
@@ -38,8 +38,7 @@ def document_state(spark, sf, which: str = "doc_id % 10 <> 9") -> DataFrame:
 
 
 _STATE = """state AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, CASE WHEN d.doc_id IS NULL THEN 'orphan' WHEN l.doc_id IS NULL THEN 'pending' WHEN toxic = 1 THEN 'blocked' WHEN quality = 0 THEN 'unreadable' ELSE 'ok' END AS state
-    FROM (SELECT * FROM documents WHERE doc_id % 10 <> 9) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id)"""
-_STATE_ALL = _STATE.replace("(SELECT * FROM documents WHERE doc_id % 10 <> 9)", "documents")
+    FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id)"""
 STATES = ["ok", "pending", "blocked", "unreadable", "orphan"]
 
 
@@ -59,15 +58,15 @@ def v2b(spark, sf):
     return document_state(spark, sf).where("state = 'orphan'").select("doc_id")
 
 
-@register("V2c_document_coverage_all", f"WITH {_STATE_ALL} SELECT coalesce(lang, '?') AS lang, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS n_{s}" for s in STATES) + ", 0::BIGINT AS not_accounted FROM state GROUP BY 1")
+@register("V2c_document_coverage_all", f"WITH {_STATE} SELECT coalesce(lang, '?') AS lang, count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS n_{s}" for s in STATES) + ", 0::BIGINT AS not_accounted FROM state GROUP BY 1")
 def v2c(spark, sf):
-    """V2 over all documents."""
-    return coverage(document_state(spark, sf, "true").withColumn("lang", F.coalesce("lang", F.lit("?"))), ["lang"], "state", STATES)
+    """V2 under the name it had while V2 left documents out."""
+    return coverage(document_state(spark, sf).withColumn("lang", F.coalesce("lang", F.lit("?"))), ["lang"], "state", STATES)
 
 
-@register("V2d_orphans_all", f"WITH {_STATE_ALL} SELECT doc_id FROM state WHERE state = 'orphan'")
+@register("V2d_orphans_all", f"WITH {_STATE} SELECT doc_id FROM state WHERE state = 'orphan'")
 def v2d(spark, sf):
-    return document_state(spark, sf, "true").where("state = 'orphan'").select("doc_id")
+    return document_state(spark, sf).where("state = 'orphan'").select("doc_id")
 
 
 @register("V3_evidence_inconsistent", "SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS label_without_doc, count(*) FILTER (WHERE d.n_chars <> length(d.text)) AS wrong_length, count(*) FILTER (WHERE l.quality = 1 AND l.toxic = 1) AS good_and_toxic FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id")
