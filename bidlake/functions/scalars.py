@@ -1,28 +1,23 @@
-"""Scalar functions (X1-X34): Columns where Catalyst has the pieces, vectorised UDFs where it hasn't."""
+"""Scalar functions (X1-X34), all of Catalyst's own pieces."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from itertools import product as cartesian
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bidlake.catalog import register
 from bidlake.functions.text import fold, jaccard, trigrams, word_starts
-from bidlake.session import ship
 from bidlake.sources.procurement import product, raw, sql, tender
 
 # --- transliteration ---
 
-#: Cyrillic to Latin, longest first.
-LATIN = {"щ": "sh", "ш": "sh", "ч": "ch", "ю": "yu", "я": "ya", "ё": "yo", "ж": "j", "ў": "o'", "ғ": "g'", "ц": "ts", "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "x", "ҳ": "h", "қ": "q", "э": "e", "ы": "i", "ъ": "", "ь": ""}
-#: Latin spellings with their possible Cyrillic letters; the first is the usual one.
-CYRILLIC = {"sh": "ш", "ch": "ч", "yu": "ю", "ya": "я", "yo": "ё", "ts": "ц", "o'": "ў", "g'": "ғ", "c": "цк", "a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "e": "е", "j": "ж", "z": "з", "i": "и", "y": "й", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "f": "ф", "x": "х", "h": "ҳ", "q": "қ"}
-MOST_VARIANTS = 6
+#: Cyrillic to Latin.
+LATIN = {"щ": "sh", "ш": "sh", "ч": "ch", "ж": "j", "ц": "ts", "я": "ya", "ю": "yu", "ё": "yo", "ў": "o", "ғ": "g", "қ": "q", "ҳ": "h", "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "э": "e", "з": "z", "и": "i", "й": "y", "ы": "y", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "x", "ь": "", "ъ": ""}
+#: Latin spellings with their Cyrillic readings.
+CYRILLIC = {"sch": "ш", "sh": "ш", "ch": "ч", "zh": "ж", "kh": "х", "ya": "я", "yu": "ю", "yo": "е", "o'": "у", "g'": "г", "o‘": "у", "g‘": "г", "oʻ": "у", "gʻ": "г", "a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "e": "е", "j": "ж", "z": "з", "i": "и", "y": "и", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у", "f": "ф", "x": "х", "h": "х", "q": "к", "w": "в"}
+#: Spellings with several readings, and Cyrillic letters that look like Latin ones.
+SEVERAL, LOOKALIKE = {"ts": ["ц", "тс"], "c": ["ц", "к"]}, ("аеорсух", "aeopcyx")
+MOST_VARIANTS, MOST_READINGS = 6, 16
 
 
 def to_latin(c: Column) -> Column:
@@ -36,46 +31,37 @@ def to_latin(c: Column) -> Column:
     return F.translate(c, "".join(one) + gone, "".join(one.values()))
 
 
-def spellings(query: str) -> list[str]:
-    """The query itself and its other spellings, at most six; derived ones of a single letter are left out."""
-    q = query.strip().lower()
-    if not q:
-        return []
-    out = [q]
-    cyr = any("а" <= x <= "я" or x in "ўғқҳё" for x in q)
-    if cyr:
-        out.append("".join(LATIN.get(x, x) for x in q))
-    else:
-        parts, at = [], 0
-        while at < len(q):
-            k = next((q[at : at + n] for n in (2, 1) if q[at : at + n] in CYRILLIC), None)
-            parts.append(CYRILLIC[k] if k else q[at])
-            at += len(k) if k else 1
-        out += ["".join(x) for _, x in zip(range(MOST_VARIANTS), cartesian(*parts), strict=False)]
-    return list(dict.fromkeys(x for i, x in enumerate(out) if i == 0 or len(x) > 1))[:MOST_VARIANTS]
-
-
-#: Inflection endings taken off terms, longest first; a stem keeps four letters.
-ENDINGS = ["larning", "larini", "lardan", "larga", "lari", "lar", "ning", "dan", "ga", "ni", "ov", "ami", "ah", "y", "i", "a", "s"]
-
-
-def canonical(term: str | None) -> str | None:
-    """A term in Latin letters and digits, endings taken off word by word."""
-    if term is None:
-        return None
-    t = "".join(LATIN.get(x, x) for x in unicodedata.normalize("NFKC", term).lower())
-    words = []
-    for w in re.findall(r"[a-z0-9]+", t):
-        cut = True
-        while cut:
-            cut = next((e for e in ENDINGS if w.endswith(e) and len(w) - len(e) >= 4), None)
-            w = w[: len(w) - len(cut)] if cut else w
-        words.append(w)
-    return " ".join(words)
-
-
-def canonical_udf():
-    return F.pandas_udf(lambda s: s.map(canonical), T.StringType())
+def readings(c: Column) -> Column:
+    """All Cyrillic readings of a Latin word, folded: each spelling's readings follow each of those so far, at most sixteen."""
+    known = {**{k: [v] for k, v in CYRILLIC.items()}, **SEVERAL}
+    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    longest = "|".join(sorted((k for k in known if len(k) > 1), key=len, reverse=True))
+    parts = F.transform(F.regexp_extract_all(c, F.lit(rf"({longest}|[\s\S])"), F.lit(1)), lambda t: F.coalesce(F.element_at(table, t), F.array(t)))
+    grown = lambda acc, more: F.slice(F.flatten(F.transform(acc, lambda r: F.transform(more, lambda o: F.concat(r, o)))), 1, MOST_READINGS)
+    return F.transform(F.aggregate(parts, F.array(F.lit("")), grown), fold)
+
+
+def spellings(c: Column) -> Column:
+    """The query itself and its other spellings, folded, at most six; derived ones of a single letter are left out."""
+    q = F.lower(F.trim(c))
+    latin, cyrillic = q.rlike("[a-z'‘ʻ]"), q.rlike("[\\u0400-\\u04FF]")
+    none = F.array().cast("array<string>")
+    lat = to_latin(q)
+    derived = F.concat(F.when(cyrillic, F.concat(F.array(lat), readings(lat), F.array(F.translate(q, *LOOKALIKE)))).otherwise(none), F.when(latin, F.concat(readings(q), F.array(q))).otherwise(none))
+    every = F.concat(F.array(fold(q)), F.filter(derived, lambda x: F.length(x) > 1))
+    return F.when(F.coalesce(q, F.lit("")) == "", none).otherwise(F.slice(F.array_distinct(every), 1, MOST_VARIANTS))
+
+
+#: Inflection endings taken off terms; a stem keeps four letters.
+ENDINGS = ["laridan", "larida", "lariga", "larini", "lardagi", "lardan", "larga", "lari", "lar", "ning", "niki", "dagi", "dan", "ga", "ni", "ami", "yah", "ov", "om", "ax", "y", "i", "a", "e", "u"]
+_STEM = f"^(.{{4,}}?)(?:{'|'.join(ENDINGS)})$"
+
+
+def canonical(c: Column) -> Column:
+    """A term in Latin letters and digits, endings taken off word by word, the longest first, until none is left to take."""
+    words = F.filter(F.split(F.regexp_replace(to_latin(c), "[^0-9a-z]+", " "), " "), lambda w: w != "")
+    stem = lambda w: F.aggregate(F.sequence(F.lit(1), F.length(w)), w, lambda acc, _: F.regexp_replace(acc, _STEM, "$1"))
+    return F.array_join(F.transform(words, stem), " ")
 
 
 def over_distinct(df: DataFrame, column: str, out: str, f) -> DataFrame:
@@ -179,55 +165,86 @@ def ids_in(c: Column) -> Column:
 
 
 CHUNK, OVERLAP, LOOK_BACK, LEAST = 1000, 150, 250, 80
+#: What a piece ends behind, the best first: a paragraph, a sentence, a clause, a line, a word.
+BLANK = r"[ \t\n\r\f\x0B\xA0]"
+BREAKS = [rf"\n{BLANK}*\n", rf"[.!?…]{BLANK}", rf"[;:]{BLANK}", r"\n", BLANK]
 
 
-def chunks(text: str | None, size: int = CHUNK, overlap: int = OVERLAP, back: int = LOOK_BACK, least: int = LEAST) -> list[dict]:
-    """Overlapping pieces that end at a paragraph, sentence or word where one is near: text[start:end] is the piece."""
-    out, at = [], 0
-    text = text or ""
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            for mark in ("\n\n", "\n", ". ", " "):
-                cut = text.rfind(mark, max(at + 1, end - back), end)
-                if cut > at:
-                    end = cut + len(mark)
-                    break
-        if text[at:end].strip() and (end - at >= least or not out):
-            out.append({"start": at, "end": end, "text": text[at:end]})
-        elif out and end == len(text):
-            out[-1] = {"start": out[-1]["start"], "end": end, "text": text[out[-1]["start"] : end]}
-        if end >= len(text):
-            break
-        at = max(end - overlap, at + 1)
-    return out
+def _reach(window: Column, mark: str) -> Column:
+    """How far into the window its last mark ends; 0 without one."""
+    return F.length(F.regexp_extract(window, rf"^[\s\S]*{mark}", 0))
+
+
+def chunks(c: Column, size: int = CHUNK, overlap: int = OVERLAP, back: int = LOOK_BACK, least: int = LEAST) -> Column:
+    """Overlapping pieces of a text as an array of (start, end, text): text[start:end] is the piece.
+
+    A piece ends behind the best kind of mark that its last `back` characters hold, and behind the
+    last of that kind, else after `size` characters; the next one begins `overlap` before its end. Texts up
+    to `size` are one piece. Blank pieces, and those under `least` behind a longer one, are left out.
+    """
+    if size <= overlap + back or size <= least:
+        raise ValueError("pieces must be longer than what they share and look back at")
+    n = F.length(c)
+
+    def cut(at: Column) -> Column:
+        low = F.greatest(at + least, at + size - back)
+        window = F.substring(c, low + 1, at + size - low)
+        good = F.coalesce(*[F.nullif(_reach(window, m), F.lit(0)) for m in BREAKS])
+        return F.when(at + size >= n, n).otherwise(F.coalesce(low + good, at + size))
+
+    def step(acc: Column, _) -> Column:
+        at = F.when(F.size(acc) == 0, 0).otherwise(F.element_at(acc, -1)["end"] - overlap)
+        over = (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= n)
+        return F.when(over, acc).otherwise(F.concat(acc, F.array(F.struct(at.alias("start"), cut(at).alias("end")))))
+
+    most = F.ceil(n / (size - overlap - back)).cast("int") + 1
+    spans = F.aggregate(F.sequence(F.lit(1), most), F.array().cast("array<struct<start:int,end:int>>"), step)
+    pieces = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(c, x["start"] + 1, x["end"] - x["start"]).alias("text")))
+    kept = F.filter(pieces, lambda x: x["text"].rlike(r"[^ \t\n\r\f\x0B\xA0]") & ((F.length(x["text"]) >= least) | (n <= size)))
+    return F.when(n > 0, kept).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+
+
+def places(c: Column, terms: list[str]) -> Column:
+    """Where any of the literal terms begins, in order."""
+
+    def of(term: str) -> Column:
+        parts = F.split(c, "".join("\\" + x if not x.isalnum() and not x.isspace() else x for x in term), -1)
+        lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.length)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, start, lambda acc, x: F.struct((acc["at"] + x + len(term)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")))["out"]
+
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*map(of, terms)))))
 
 
-def chunks_udf(size: int = CHUNK, overlap: int = OVERLAP):
-    return F.pandas_udf(lambda s: s.map(lambda t: chunks(t, size, overlap)), T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
-
-
-def excerpts(text: str | None, terms: list[str], pad: int = 70, budget: int = 600) -> list[dict]:
-    """Windows around the terms' places, merged where they touch, first ones first while the budget lasts."""
-    text = text or ""
-    low, spans, out, used = text.lower(), [], [], 0
-    for t in terms:
-        at = low.find(t)
-        while at >= 0:
-            spans.append((max(0, at - pad), min(len(text), at + len(t) + pad)))
-            at = low.find(t, at + 1)
-    for a, b in sorted(spans):
-        if out and a <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], b)
-        else:
-            out.append({"start": a, "end": b})
-    kept = []
-    for x in out:
-        if used + x["end"] - x["start"] > budget and kept:
-            break
-        used += x["end"] - x["start"]
-        kept.append(x)
-    return kept
+def tidy(c: Column) -> Column:
+    """Without runs of blanks and of empty lines, and blanks at either end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t\xA0]+", " "), r"\n{3,}", "\n\n"), rf"^{BLANK}+|{BLANK}+$", "")
+
+
+def excerpts(c: Column, terms: list[str], pad: int = 70, budget: int = 600) -> Column:
+    """(used, text): windows around the terms' places, merged where they touch, tidied, first ones first while the budget lasts.
+
+    The last window is cut to what the budget has left; without a place the text's beginning counts.
+    """
+    n = F.length(c)
+
+    def merge(acc: Column, at: Column) -> Column:
+        low, high = F.greatest(at - pad, F.lit(0)), F.least(at + pad, n)
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], high).alias("end"))))
+        return F.when((F.size(acc) > 0) & (low <= last["end"]), joined).otherwise(F.concat(acc, F.array(F.struct(low.alias("start"), high.alias("end")))))
+
+    def take(acc: Column, x: Column) -> Column:
+        piece = tidy(F.substring(c, x["start"] + 1, F.least(x["end"] - x["start"], budget - acc["used"])))
+        shown = F.concat(F.when(x["start"] > 0, "…").otherwise(""), piece, F.when(x["end"] < n, "…").otherwise(""))
+        more = F.struct((acc["used"] + F.length(piece)).alias("used"), F.concat(acc["parts"], F.array(shown)).alias("parts"))
+        return F.when((acc["used"] >= budget) | (piece == ""), acc).otherwise(more)
+
+    spans = F.aggregate(places(F.lower(c), terms), F.array().cast("array<struct<start:int,end:int>>"), merge)
+    found = F.aggregate(spans, F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("parts")), take)
+    head = tidy(F.substring(c, 1, budget))
+    alone = F.struct(F.length(head).alias("used"), head.alias("text"))
+    return F.when(n > 0, F.when(F.size(spans) > 0, F.struct(found["used"].alias("used"), F.array_join(found["parts"], "\n---\n").alias("text"))).otherwise(alone)).otherwise(F.struct(F.lit(0).alias("used"), F.lit("").alias("text")))
 
 
 def source_url(platform: Column, ident: Column) -> Column:
@@ -273,28 +290,36 @@ def x2(spark, sf):
     return _names(spark).select("i", to_latin(F.col("t")).alias("latin"))
 
 
-@register("X3_spellings")
+_OPTIONS = "CASE t " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN {v!r}" for k, v in {**{k: [v] for k, v in CYRILLIC.items()}, **SEVERAL}.items()) + " ELSE [t] END"
+_SPELT = "regexp_extract_all({0}, '" + "|".join(sorted((k.replace("'", "''") for k in [*CYRILLIC, *SEVERAL] if len(k) > 1), key=len, reverse=True)) + "|.')"
+
+
+@register("X3_spellings", sql("product", f"""SELECT product_id, name, array_to_string(s, '|') AS spellings FROM product JOIN (SELECT name AS k, u[1:6] AS s FROM (SELECT name, list_reduce(list_transform(x, lambda y: [y]), lambda acc, y: CASE WHEN list_contains(acc, y[1]) THEN acc ELSE acc || y END, []::VARCHAR[]) AS u FROM
+    (SELECT name, [translate(q, 'эёыйщьъ', 'ееииш')] || list_filter(list_transform(list_reduce(list_transform({_SPELT.format("q")}, lambda t: {_OPTIONS}), lambda acc, o: flatten(list_transform(acc, lambda r: list_transform(o, lambda y: r || y)))[1:16], ['']), lambda y: translate(y, 'эёыйщьъ', 'ееииш')) || [q], lambda y: length(y) > 1) AS x FROM (SELECT DISTINCT name, lower(trim(name)) AS q FROM product)))) ON k = name"""))
 def x3(spark, sf):
-    ship(spark)
-    f = F.pandas_udf(lambda s: s.map(lambda t: spellings(t or "")), T.ArrayType(T.StringType()))
-    return over_distinct(product(spark, sf).select("product_id", "name"), "name", "spellings", f)
+    return over_distinct(product(spark, sf).select("product_id", "name"), "name", "spellings", lambda c: F.array_join(spellings(c), "|"))
 
 
-@register("X4_norm_text", "SELECT doc_id, translate(lower(left(text, 80)), 'эёыйщьъ', 'ееииш') AS t FROM documents")
+@register("X4_norm_text", "SELECT doc_id, translate(lower(text), 'эёыйщьъ', 'ееииш') AS t FROM documents")
 def x4(spark, sf):
-    return raw(spark, sf, "documents").select("doc_id", fold(F.substring("text", 1, 80)).alias("t"))
+    return raw(spark, sf, "documents").select("doc_id", fold("text").alias("t"))
 
 
 @register("X4b_norm_text_whole", "SELECT doc_id, translate(lower(text), 'эёыйщьъ', 'ееииш') AS t FROM documents")
 def x4b(spark, sf):
-    """X4 cuts texts as its SQL does; this takes them whole."""
-    return raw(spark, sf, "documents").select("doc_id", fold("text").alias("t"))
+    """X4 under the name it had while X4 cut texts."""
+    return x4(spark, sf)
+
+
+def _stems(word: str, times: int) -> str:
+    for _ in range(times):
+        word = f"regexp_replace({word}, '{_STEM}', '\\1')"
+    return word
 
 
-@register("X5_canonical_terms")
+@register("X5_canonical_terms", sql("product", f"""SELECT product_id, name, array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {_stems("w", 12)}), ' ') AS term FROM product"""))
 def x5(spark, sf):
-    ship(spark)
-    return over_distinct(product(spark, sf).select("product_id", "name"), "name", "term", canonical_udf())
+    return over_distinct(product(spark, sf).select("product_id", "name"), "name", "term", canonical)
 
 
 @register("X7_term_query", "SELECT doc_id, len(list_filter(['the', 'and', 'de'], lambda w: list_contains(string_split(lower(text), ' '), w))) AS hits FROM documents WHERE list_contains(string_split(lower(text), ' '), 'the') AND list_contains(string_split(lower(text), ' '), 'and')")
@@ -381,18 +406,38 @@ def x23(spark, sf):
     return raw(spark, sf, "documents").select("doc_id", F.length(clean(F.col("text"))).cast("long").alias("n"))
 
 
-@register("X24_chunks")
+def _reach_sql(mark: str) -> str:
+    return f"length(regexp_extract(w, '^(?s:.*){mark}'))"
+
+
+_MARKS = [m.replace("\\xA0", "\\x{A0}") for m in BREAKS]
+_NOT_BLANK = r"[^ \t\n\r\f\x0B\x{A0}]"
+_CUT = f"CASE WHEN pos + {CHUNK} >= n THEN n ELSE coalesce(" + ", ".join(f"pos + {CHUNK - LOOK_BACK} + nullif({_reach_sql(m)}, 0)" for m in _MARKS) + f", pos + {CHUNK}) END"
+
+
+@register("X24_chunks", f"""WITH RECURSIVE c AS (SELECT doc_id, text, n, pos, {_CUT} AS "end" FROM (SELECT doc_id, text, length(text)::INTEGER AS n, 0 AS pos, substr(text, {CHUNK - LOOK_BACK + 1}, {LOOK_BACK}) AS w FROM documents WHERE length(text) > 0)
+    UNION ALL SELECT doc_id, text, n, pos, {_CUT} FROM (SELECT doc_id, text, n, "end" - {OVERLAP} AS pos, substr(text, "end" - {OVERLAP} + {CHUNK - LOOK_BACK} + 1, {LOOK_BACK}) AS w FROM c WHERE "end" < n))
+    SELECT doc_id, pos AS start, "end", sha256(t) AS sha FROM (SELECT *, substr(text, pos + 1, "end" - pos) AS t FROM c) WHERE regexp_matches(t, '{_NOT_BLANK}') AND ("end" - pos >= {LEAST} OR n <= {CHUNK})""")
 def x24(spark, sf):
-    ship(spark)
-    d = raw(spark, sf, "documents").select("doc_id", F.explode(chunks_udf()("text")).alias("c"))
+    d = raw(spark, sf, "documents").select("doc_id", F.explode(chunks(F.col("text"))).alias("c"))
     return d.select("doc_id", "c.start", "c.end", F.sha2("c.text", 256).alias("sha"))
 
 
-@register("X25_excerpts")
+_TERMS, _PAD, _BUDGET = ["licensed", "rights reserved"], 70, 600
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace({0}, '[ \t\x{{A0}}]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \t\n\r\f\x0B\x{{A0}}]+|[ \t\n\r\f\x0B\x{{A0}}]+$', '', 'g')"
+_PLACES = " UNION ".join(f"SELECT doc_id, text, sum(length(part) + {len(t)}) OVER (PARTITION BY doc_id ORDER BY k) - {len(t)} AS pos FROM (SELECT doc_id, text, unnest(string_split(lower(text), '{t}')[:-2]) AS part, generate_subscripts(string_split(lower(text), '{t}')[:-2], 1) AS k FROM documents WHERE contains(lower(text), '{t}'))" for t in _TERMS)
+
+
+@register("X25_excerpts", f"""WITH RECURSIVE h AS ({_PLACES}), w AS (SELECT doc_id, text, pos, greatest(pos - {_PAD}, 0) AS lo, least(pos + {_PAD}, length(text)) AS hi FROM h), m AS (SELECT *, lo > coalesce(max(hi) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM w),
+    g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM m), sp AS (SELECT doc_id, any_value(text) AS text, grp, min(lo)::INTEGER AS lo, max(hi)::INTEGER AS hi FROM g GROUP BY doc_id, grp),
+    r AS (SELECT doc_id, 1::HUGEINT AS grp, 0::BIGINT AS used, []::VARCHAR[] AS parts FROM (SELECT DISTINCT doc_id FROM sp) UNION ALL
+      SELECT doc_id, grp + 1, CASE WHEN used >= {_BUDGET} OR p = '' THEN used ELSE used + length(p) END, CASE WHEN used >= {_BUDGET} OR p = '' THEN parts ELSE parts || [CASE WHEN lo > 0 THEN '…' ELSE '' END || p || CASE WHEN hi < n THEN '…' ELSE '' END] END FROM
+      (SELECT r.doc_id, r.grp, used, parts, lo, hi, length(text) AS n, {_TIDY.format(f"substr(text, lo + 1, least(hi - lo, {_BUDGET} - used)::BIGINT)")} AS p FROM r JOIN sp ON sp.doc_id = r.doc_id AND sp.grp = r.grp)),
+    f AS (SELECT doc_id, max(grp) AS grp FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(r.used, length(head))::INTEGER AS used, sha256(coalesce(array_to_string(r.parts, chr(10) || '---' || chr(10)), head)) AS sha FROM (SELECT doc_id, {_TIDY.format(f"coalesce(left(text, {_BUDGET}), '')")} AS head FROM documents) d LEFT JOIN (SELECT r.* FROM r JOIN f ON f.doc_id = r.doc_id AND f.grp = r.grp) r ON r.doc_id = d.doc_id""")
 def x25(spark, sf):
-    ship(spark)
-    f = F.pandas_udf(lambda s: s.map(lambda t: excerpts(t, ["licensed", "rights reserved"])), "array<struct<start:int,end:int>>")
-    return raw(spark, sf, "documents").select("doc_id", F.explode(f("text")).alias("x")).select("doc_id", "x.start", "x.end")
+    x = raw(spark, sf, "documents").select("doc_id", excerpts(F.col("text"), _TERMS, _PAD, _BUDGET).alias("x"))
+    return x.select("doc_id", "x.used", F.sha2("x.text", 256).alias("sha"))
 
 
 @register("X26_same_value", sql("good", "SELECT count(*) FILTER (WHERE CAST(amount AS VARCHAR) <> CAST(CAST(amount AS INTEGER) AS VARCHAR)) AS texts_differ, 0::BIGINT AS values_differ FROM good"))

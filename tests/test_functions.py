@@ -17,27 +17,34 @@ def one(spark, col):
     return spark.range(1).select(col.alias("x")).first().x
 
 
-def test_spellings_and_terms():
-    assert scalars.spellings("kabel")[:2] == ["kabel", "кабел"]
-    assert scalars.spellings("стол") == ["стол", "stol"]
-    assert len(scalars.spellings("cccccc")) == 6 and scalars.spellings(" ") == []
-    assert scalars.canonical("Kabellar") == scalars.canonical("кабеллар") == scalars.canonical("kabel")
-    assert scalars.canonical("stolb") != scalars.canonical("stul") and scalars.canonical(None) is None
+def test_spellings_and_terms(spark):
+    spelt, term = lambda t: one(spark, scalars.spellings(F.lit(t))), lambda t: one(spark, scalars.canonical(F.lit(t).cast("string")))
+    assert spelt("kabel")[:2] == ["kabel", "кабел"]
+    assert spelt("стол") == ["стол", "stol", "cтoл"] and spelt("tsc") == ["tsc", "цц", "цк", "тсц", "тск"]
+    assert len(spelt("cccccc")) == 6 and spelt(" ") == [] and spelt("5") == ["5"]
+    assert term("Kabellar") == term("кабеллар") == term("kabel") and term("Коммутаторы") == term("Kommutatorlar") == term("kommutator")
+    assert term("stolb") != term("stul") and term("monitor") != term("monitoring") and term(None) is None
 
 
-def test_chunks_cover_the_text_and_point_into_it():
+def test_chunks_cover_the_text_and_point_into_it(spark):
+    cut = lambda t: one(spark, scalars.chunks(F.lit(t).cast("string")))
     text = ("A sentence of some length. " * 30 + "\n\n") * 8
-    parts = scalars.chunks(text)
-    assert all(text[c["start"] : c["end"]] == c["text"] and len(c["text"]) <= scalars.CHUNK for c in parts[:-1])
+    parts = cut(text)
+    assert all(text[c["start"] : c["end"]] == c["text"] and len(c["text"]) <= scalars.CHUNK for c in parts)
     assert parts[0]["start"] == 0 and parts[-1]["end"] == len(text)
-    assert all(b["start"] <= a["end"] for a, b in zip(parts, parts[1:], strict=False))
-    assert scalars.chunks(None) == [] and [c["text"] for c in scalars.chunks("tiny")] == ["tiny"]
-
-
-def test_excerpts_merge_and_keep_the_budget():
-    text = "x" * 100 + "key" + "y" * 30 + "key" + "z" * 500 + "key"
-    assert scalars.excerpts(text, ["key"], pad=40) == [{"start": 60, "end": 176}, {"start": 596, "end": 639}]
-    assert len(scalars.excerpts(text, ["key"], pad=40, budget=120)) == 1 and scalars.excerpts(None, ["a"]) == []
+    assert all(b["start"] == a["end"] - scalars.OVERLAP for a, b in zip(parts, parts[1:], strict=False))
+    assert parts[0]["text"].endswith("\n\n") and parts[1]["text"].endswith((". ", "\n\n"))
+    assert cut(None) == [] and cut("") == [] and cut(" \n ") == [] and [c["text"] for c in cut("tiny")] == ["tiny"]
+    assert [(c["start"], c["end"]) for c in cut("x" * 2000)] == [(0, 1000), (850, 1850), (1700, 2000)]
+
+
+def test_excerpts_merge_and_keep_the_budget(spark):
+    take = lambda t, **k: one(spark, scalars.excerpts(F.lit(t).cast("string"), ["key", "zz zz"], pad=40, **k))
+    text = "x" * 100 + "key" + "y" * 30 + "key" + "w" * 500 + "key"
+    got = take(text)
+    assert got.text == f"…{text[60:173]}…\n---\n…{text[596:639]}" and got.used == 113 + 43
+    assert take(text, budget=120).text == f"…{text[60:173]}…\n---\n…{text[596:603]}" and take(text, budget=100).used == 100
+    assert tuple(take(None)) == (0, "") and tuple(take("a  b\n\n\n\nc ")) == (6, "a b\n\nc")
 
 
 @pytest.mark.parametrize("text,want", [("3 000.00 t", 3000.0), ("12,5 kg", 12.5), ("10-15", None), ("2x3", None), ("", None), ("abc", None), ("7", 7.0)])
