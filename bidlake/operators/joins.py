@@ -123,10 +123,23 @@ def j11b(spark, sf):
 
 @register("J12_lateral_topk", sql("tender", "SELECT id, other, rn FROM (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.totalcost - b.totalcost), b.id) AS rn FROM tender a JOIN tender b ON a.buyer_id = b.buyer_id AND a.id <> b.id AND b.totalcost IS NOT NULL WHERE a.totalcost IS NOT NULL) WHERE rn <= 2"))
 def j12(spark, sf):
-    t = tender(spark, sf).where("totalcost IS NOT NULL").select("id", "buyer_id", "totalcost")
-    o = t.select(F.col("id").alias("other"), F.col("buyer_id").alias("b"), F.col("totalcost").alias("c"))
-    near = Window.partitionBy("id").orderBy(F.abs(F.col("totalcost") - F.col("c")), "other")
-    return t.join(o, (t.buyer_id == o.b) & (t.id != o.other)).withColumn("rn", F.row_number().over(near)).where("rn <= 2").select("id", "other", "rn")
+    return nearest(tender(spark, sf).where("totalcost IS NOT NULL"), "buyer_id", "id", "totalcost", 2)
+
+
+def nearest(df: DataFrame, group: str, key: str, value: str, k: int) -> DataFrame:
+    """The k rows of the same group whose value is nearest, ties by key: (key, other, rn).
+
+    They are among the k rows before and behind in the order of values and the first k + 1 of the same
+    value, so windows do and no pairs are made.
+    """
+    up, down = Window.partitionBy(group).orderBy(F.col(value), F.col(key)), Window.partitionBy(group).orderBy(F.col(value), F.desc(key))
+    same = Window.partitionBy(group, value).orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct(F.col(key).alias("other"), F.col(value).alias("v"))
+    found = [F.lead(row, n).over(up) for n in range(1, k + 1)] + [F.lag(row, n).over(down) for n in range(1, k + 1)] + [F.nth_value(row, n).over(same) for n in range(1, k + 2)]
+    near = df.select(key, value, F.array(*found).alias("x"))
+    others = F.filter(F.array_distinct(F.array_compact("x")), lambda x: x["other"] != F.col(key))
+    best = F.slice(F.array_sort(F.transform(others, lambda x: F.struct(F.abs(x["v"] - F.col(value)).alias("d"), x["other"].alias("other")))), 1, k)
+    return near.select(key, F.posexplode(best).alias("p", "x")).select(key, "x.other", (F.col("p") + 1).alias("rn"))
 
 
 @register("J13_lateral_unnest", sql("product", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(name, ' ')) AS w FROM product) GROUP BY w"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +53,25 @@ def s1(spark, sf):
     return latest(o, ["buyer"], (F.col("orderkey") % 10).desc(), F.desc("orderkey"))
 
 
+#: A list record of the second portal.
+PORTAL_B = "id long, name string, start_date string, end_date string, cost decimal(18,2), currency_codeabc string, seller_id long, seller_name string, region_name string"
+
+
+def range_pages(records: DataFrame, id_col: str, size: int) -> DataFrame:
+    """The pages a From/To source answers with: both ends count, so a page's last record is the next one's first."""
+    k = F.floor(F.col(id_col) / size)
+    return records.withColumn("page", F.explode(F.when((F.col(id_col) % size == 0) & (k > 0), F.array(k - 1, k)).otherwise(F.array(k))))
+
+
+@register("S2_range_pages", "SELECT o_orderkey AS id, o_orderkey // 50 AS page, c_name AS seller_name, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS cost, CAST(o_orderdate AS DATE) AS start_date FROM orders JOIN customer ON o_custkey = c_custkey")
+def s2(spark, sf):
+    """The second portal's list: JSON records by its own schema, read in overlapping ranges, the last answer of each id."""
+    o, c = raw(spark, sf, "orders"), raw(spark, sf, "customer")
+    sent = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("k"), F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("start_date"), F.col("o_totalprice").cast("decimal(18,2)").alias("cost"), F.col("c_custkey").alias("seller_id"), F.col("c_name").alias("seller_name"))).alias("body"))
+    pages = range_pages(sent, "k", 50).select("page", F.from_json("body", PORTAL_B).alias("r")).select("page", "r.*")
+    return latest(pages, ["id"], F.desc("page")).select("id", "page", "seller_name", F.col("cost").cast("double").alias("cost"), F.to_date("start_date", "dd.MM.yyyy").alias("start_date"))
+
+
 @register("S3_json_in_string", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def s3(spark, sf):
     return raw(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
@@ -198,11 +220,38 @@ def extracted(files: DataFrame) -> DataFrame:
     return f.select("path", "kind", "text", outcome(F.col("text"), F.col("kind"), F.col("length")).alias("state"))
 
 
-@register("S9_html_text")
+#: Tags that begin a line, and named characters.
+LINE_TAGS, NAMED = ["p", "br", "div", "li", "tr", "h1", "h2", "h3", "title"], {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "middot": "·", "copy": "©", "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "amp": "&"}
+_STRIPPED = [r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"]
+_LINE, _TAG = rf"(?i)<(?:{'|'.join(LINE_TAGS)})\b[^>]*>", r"<[!/?A-Za-z][^>]*>"
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page, of built-in functions: tags that begin a line are line ends, others go, characters by name or number are themselves."""
+    t = F.coalesce(html, F.lit(""))
+    for pattern in _STRIPPED:
+        t = F.regexp_replace(t, pattern, "")
+    t = F.regexp_replace(F.regexp_replace(t, _LINE, "\n"), _TAG, "")
+    numbers = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(\d{1,7});"), F.lit(1))), lambda n: n.cast("int").between(1, 0xD7FF) | n.cast("int").between(0xE000, 0x10FFFF))
+    t = F.aggregate(numbers, t, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")))
+    for name, char in NAMED.items():
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f\n]*\n[ \t\r\f\n]*", "\n"), r"^[ \t\r\f\n]+|[ \t\r\f\n]+$", "")
+
+
+def _page_sql() -> str:
+    t = "coalesce(html, '')"
+    for pattern in _STRIPPED:
+        t = f"regexp_replace({t}, '{pattern}', '', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '{_LINE}', chr(10), 'g'), '{_TAG}', '', 'g')"
+    for name, char in NAMED.items():
+        t = f"replace({t}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace(regexp_replace({t}, '[ \\t\\r\\f\\n]*\\n[ \\t\\r\\f\\n]*', chr(10), 'g'), '^[ \\t\\r\\f\\n]+|[ \\t\\r\\f\\n]+$', '', 'g')"
+
+
+@register("S9_html_text", f"SELECT page_id, length(t)::INTEGER AS n_chars, sha256(t) AS sha FROM (SELECT page_id, {_page_sql()} AS t FROM pages)")
 def s9(spark, sf):
-    ship(spark)
-    f = F.pandas_udf(lambda s: s.map(html_text), "string")
-    return raw(spark, sf, "pages").select("page_id", f("html").alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
+    return raw(spark, sf, "pages").select("page_id", page_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
 @register("S10_sniff", "SELECT page_id, CASE WHEN regexp_matches(url, '\\.[A-Za-z0-9]{1,5}$') THEN lower(regexp_extract(url, '\\.([A-Za-z0-9]{1,5})$', 1)) ELSE 'html' END AS kind FROM pages")
@@ -232,26 +281,102 @@ def columns_of(cells: list[str]) -> dict[str, int]:
     return {k: i for k, (_, i) in found.items()}
 
 
-def header_row(lines: list[str], sep: str, limit: int = 10) -> tuple[int, dict[str, int]] | None:
-    """The first of the leading rows that names two columns or more."""
-    for i, line in enumerate(lines[:limit]):
-        cols = columns_of(line.split(sep))
+def header_row(rows: list[tuple[int, list[str]]], limit: int = 10) -> tuple[int, dict[str, int]] | None:
+    """The place of the first of the leading rows that names two columns or more, and its columns."""
+    for i, (_, cells) in enumerate(rows[:limit]):
+        cols = columns_of(cells)
         if len(cols) >= 2:
             return i, cols
     return None
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> list[tuple[int, list[str]]]:
+    """Row numbers and cells of a workbook's first sheet."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        text = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")] if "xl/sharedStrings.xml" in names else []
+        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        out = []
+        for k, row in enumerate(ElementTree.fromstring(z.read(sheet)).iter(f"{_SHEET}row"), 1):
+            cells: dict[int, str] = {}
+            for c in row.iter(f"{_SHEET}c"):
+                letters = re.match("[A-Z]+", c.get("r", ""))
+                at = 0
+                for x in letters[0] if letters else "":
+                    at = at * 26 + ord(x) - 64
+                value = c.find(f"{_SHEET}v")
+                said = value.text or "" if value is not None else ""
+                cells[at - 1 if at else len(cells)] = shared[int(said)] if c.get("t") == "s" else text(c) if c.get("t") == "inlineStr" else said
+            out.append((int(row.get("r", k)), [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]))
+        return out
+
+
+def text_rows(content: bytes) -> list[tuple[int, list[str]]]:
+    """Line numbers and cells of a delimited file: UTF-8, else Windows Cyrillic, else Latin 1; the commonest delimiter of its head."""
+    for encoding in ("utf-8-sig", "cp1251", "latin-1"):
+        try:
+            text = content.decode(encoding)
+            break
+        except UnicodeDecodeError:
+            continue
+    head = text.split("\n", 10)[:10]
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=max(";,\t|", key=lambda s: sum(line.count(s) for line in head)))
+    out, before = [], 0
+    for cells in reader:
+        out.append((before + 1, cells))  # a quoted cell may hold line ends: a row is where it begins
+        before = reader.line_num
+    return out
+
+
+def catalogue_rows(files: DataFrame) -> DataFrame:
+    """Rows of catalogue files (path, content) by their own headings: path, row (the file's own number), the known columns, and error where a file is none.
+
+    A file is read whole by one task: catalogues are uploads of at most MEMBER_BYTES, larger ones are errors.
+    """
+    names = list(HEADINGS)
+
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                content, error, found, table = bytes(content or b""), None, None, []
+                try:
+                    table = [] if len(content) > MEMBER_BYTES else sheet_rows(content) if content[:4] == b"PK\x03\x04" else text_rows(content)
+                    found = header_row(table)
+                    error = "too_large" if len(content) > MEMBER_BYTES else None if found else "no_header"
+                except (zipfile.BadZipFile, KeyError, ValueError, ElementTree.ParseError, csv.Error):
+                    error = "unreadable"
+                if error:
+                    rows.append((path, None, *[None] * len(names), error))
+                    continue
+                at, cols = found
+                for number, cells in table[at + 1 :]:
+                    if any(c.strip() for c in cells):
+                        rows.append((path, number, *[(cells[cols[n]].strip() or None) if n in cols and cols[n] < len(cells) else None for n in names], None))
+            yield pd.DataFrame(rows, columns=["path", "row", *names, "error"]).astype({"row": "Int64"})
+
+    return files.select("path", "content").mapInPandas(read, "path string, row long, " + ", ".join(f"{n} string" for n in names) + ", error string")
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a catalogue file by its own headings, with the file's row numbers; the head alone is looked at on the driver."""
-    head = [r.value for r in spark.read.text(path).limit(10).collect()]
-    sep = max(";,\t", key=lambda s: sum(line.count(s) for line in head))
-    found = header_row(head, sep)
-    if found is None:
-        raise ValueError("no header row in the first ten")
-    at, cols = found
-    lines = spark.read.text(path).withColumn("row", F.monotonically_increasing_id() + 1).where((F.col("row") > at + 1) & (F.trim("value") != ""))
-    cells = F.split("value", "\\" + sep if sep != "\t" else "\t", -1)
-    return lines.select("row", *[F.nullif(F.trim(F.get(cells, i)), F.lit("")).alias(c) for c, i in cols.items()])
+    """Rows of the catalogue files at a path; ValueError where one has no header row in its first ten."""
+    ship(spark)
+    return catalogue_rows(spark.read.format("binaryFile").load(path))
+
+
+@register("S12_catalogue_files", sql("product", """SELECT 'catalogue-' || (product_id // 1000) || '.csv' AS path, row_number() OVER (PARTITION BY product_id // 1000 ORDER BY product_id) + 2 AS "row", name, CAST(price AS VARCHAR) AS price, category FROM product"""))
+def s12(spark, sf):
+    """Products as the delimited files of a thousand rows that companies upload: a comment, a heading, and the rows."""
+    ship(spark)
+    line = F.concat_ws(";", F.concat(F.lit('"'), F.col("name"), F.lit('"')), F.col("price").cast("string"), "category")
+    lines = product(spark, sf).select(F.floor(F.col("product_id") / 1000).alias("k"), F.struct("product_id", line.alias("line")).alias("x")).groupBy("k").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    content = F.concat(F.lit("uploaded catalogue\nNomi;Sotuv narxi, so'm;Kategoriya\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n"))
+    files = lines.select(F.concat(F.lit("catalogue-"), F.col("k").cast("string"), F.lit(".csv")).alias("path"), content.cast("binary").alias("content"))
+    return catalogue_rows(files).select("path", "row", "name", "price", "category")
 
 
 def validated(rows: DataFrame, categories: list[str]) -> DataFrame:
@@ -351,5 +476,37 @@ def ready(spark: SparkSession, table: str, columns: list[str]) -> bool:
     return spark.catalog.tableExists(table) and set(columns) <= set(spark.table(table).columns)
 
 
+#: The tables and columns that optional features of the query need.
+FEATURES = {"stock": ("part", ["p_partkey", "p_size"]), "chat": ("conversations", ["conv_id", "turn", "text"]), "quality": ("labels", ["doc_id", "reviewer"]), "erp": ("erp_stock", ["product_id", "qty"])}
+
+
+def readiness(spark: SparkSession, sf: str, features: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """feature, ready: whether the folder has each feature's table with its columns; schemas alone are read."""
+    rows = []
+    for feature, (table, columns) in features.items():
+        try:
+            have = set(raw(spark, sf, table).columns)
+        except AnalysisException:
+            have = set()
+        rows.append((feature, set(columns) <= have))
+    return spark.createDataFrame(rows, "feature string, ready boolean")
+
+
+@register("S19_readiness", " UNION ALL ".join(f"SELECT '{f}' AS feature, (SELECT count(DISTINCT column_name) FROM information_schema.columns WHERE table_name = '{t}' AND column_name IN ({', '.join(repr(c) for c in cols)})) = {len(cols)} AS ready" for f, (t, cols) in FEATURES.items()))
+def s19(spark, sf):
+    return readiness(spark, sf, FEATURES)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def csv_lines(df: DataFrame) -> Column:
+    """A row as a line of the export, quoted where it must be."""
+    return F.to_csv(F.struct(*df.columns))
+
+
+@register("S20_csv_lines", sql("product", "SELECT product_id, product_id || ',' || name || ',' || CASE WHEN product_id % 2 = 0 THEN '\"' || category || ', no. ' || product_id || '\"' ELSE category END || ',' || coalesce(CAST(stock_qty AS VARCHAR), '') || ',' || CAST(price AS VARCHAR) AS line FROM product"))
+def s20(spark, sf):
+    p = product(spark, sf).select("product_id", "name", F.when(F.col("product_id") % 2 == 0, F.concat("category", F.lit(", no. "), F.col("product_id").cast("string"))).otherwise(F.col("category")).alias("category"), "stock_qty", "price")
+    return p.select("product_id", csv_lines(p).alias("line"))

@@ -5,7 +5,7 @@ Each takes a DataFrame that may be a stream; a batch gives the same rows as the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidlake.catalog import register
@@ -68,17 +68,52 @@ def run_available(df: DataFrame, table: str, checkpoint: str, mode: str = "appen
     return df.sparkSession.table(table)
 
 
-def upsert_batches(df: DataFrame, path: str, key: list[str], checkpoint: str):
-    """Each micro-batch is merged into a Parquet table by key: written beside the old one and then put in its place."""
+BUCKETS = 64
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that upsert_batches keeps: each bucket's newest version."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
+    newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("bucket", "version")  # at most BUCKETS rows
+
+
+def _drop_superseded(spark: SparkSession, path: str) -> None:
+    """Remove the versions of each bucket before its last two: the one before the newest may still be read."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen: dict[str, int] = {}
+    versions = sorted((int(x.getPath().getName().split("=")[1]), x.getPath()) for x in files.listStatus(place) if x.getPath().getName().startswith("version=")) if files.exists(place) else []
+    for _, version in reversed(versions):
+        for x in files.listStatus(version):
+            name = x.getPath().getName()
+            if name.startswith("bucket="):
+                seen[name] = seen.get(name, 0) + 1
+                if seen[name] > 2:
+                    files.delete(x.getPath(), True)
+
+
+def upsert_batches(df: DataFrame, path: str, key: list[str], checkpoint: str, buckets: int = BUCKETS):
+    """Each micro-batch is merged into a Parquet table by key: the buckets its keys fall in are written anew as a version of their own.
+
+    A batch that is run again writes the same version again. Rows of other buckets are not touched;
+    current() reads the table.
+    """
     from bidlake.sources.ingest import upserted
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        place = f"{path}/v{number}"
-        old = f"{path}/v{number - 1}"
-        new = batch.dropDuplicates(key)
-        rows = upserted(spark.read.parquet(old), new, key) if number else new
-        rows.write.mode("overwrite").parquet(place)
+        new = batch.dropDuplicates(key).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        rows = new
+        if number:
+            old = spark.read.option("basePath", path).parquet(f"{path}/version=*").where((F.col("version") < number) & F.col("bucket").isin(touched))
+            newest = old.groupBy("bucket").agg(F.max("version").alias("version"))
+            rows = upserted(old.join(F.broadcast(newest), ["bucket", "version"], "left_semi").select(*new.columns), new, key)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        new.unpersist()
+        _drop_superseded(spark, path)
 
     return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -108,6 +143,50 @@ def r4(spark, sf):
     return raw(spark, sf, "events").where("event_type = 'error'").select("event_id", next_attempt((k % 6).cast("int"), F.col("ts"), error).alias("next_at"))
 
 
+#: What a run reports: all done, stopped with work left, or stopped by its circuit breaker.
+DONE, PARTIAL, BUSY = 0, 7, 8
+
+
+def budgeted(work: DataFrame, group: list[str], order: list[str], cost: str, failed: Column, budget: float, most_failures: int) -> DataFrame:
+    """What a run within a budget does of each group's work list, in order: n_done, n_left, code.
+
+    An item begins while the cost of those before it is below the budget, unless `most_failures` in a
+    row have failed by then.
+    """
+    w = Window.partitionBy(*group).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    recent = F.sum(failed.cast("int")).over(w.rowsBetween(-most_failures + 1, 0)) == most_failures
+    x = work.withColumn("spent", F.coalesce(F.sum(cost).over(before), F.lit(0))).withColumn("broken", recent.cast("int"))
+    x = x.withColumn("stopped", F.coalesce(F.max("broken").over(before), F.lit(0)) == 1).withColumn("out", F.col("spent") >= budget)
+    g = x.groupBy(*group).agg(F.count_if(~F.col("stopped") & ~F.col("out")).alias("n_done"), F.count_if(F.col("stopped") | F.col("out")).alias("n_left"), F.bool_or(F.col("stopped") & ~F.col("out")).alias("tripped"))
+    return g.select(*group, "n_done", "n_left", F.when(F.col("tripped"), BUSY).when(F.col("n_left") > 0, PARTIAL).otherwise(DONE).alias("code"))
+
+
+@register("R5_budgeted_run", """WITH x AS (SELECT *, coalesce(sum(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS broken FROM events),
+    y AS (SELECT *, coalesce(max(broken::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS stopped, spent >= 5000 AS out FROM x)
+    SELECT user_id, count(*) FILTER (WHERE NOT stopped AND NOT out) AS n_done, count(*) FILTER (WHERE stopped OR out) AS n_left, CASE WHEN bool_or(stopped AND NOT out) THEN 8 WHEN count(*) FILTER (WHERE stopped OR out) > 0 THEN 7 ELSE 0 END AS code FROM y GROUP BY user_id""")
+def r5(spark, sf):
+    e = raw(spark, sf, "events").withColumn("cost", F.col("value").cast("decimal(18,4)"))
+    return budgeted(e, ["user_id"], ["ts", "event_id"], "cost", F.col("event_type") == "error", 5000, 3)
+
+
+def change_feed(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """What subscribers are told: key, op (insert, update, delete) and the names of the fields that moved."""
+    o = old.select(F.col(key).alias("ok"), *[F.col(f).alias(f"o_{f}") for f in fields])
+    j = o.join(new.select(F.col(key).alias("nk"), *[F.col(f).alias(f"n_{f}") for f in fields]), F.col("ok") == F.col("nk"), "full_outer")
+    moved = F.array_compact(F.array(*[F.when(~F.col(f"o_{f}").eqNullSafe(F.col(f"n_{f}")), f) for f in fields]))
+    op = F.when(F.col("ok").isNull(), "insert").when(F.col("nk").isNull(), "delete").when(F.size(moved) > 0, "update")
+    return j.select(F.coalesce("ok", "nk").alias(key), op.alias("op"), F.when(op == "update", F.array_join(moved, ",")).otherwise("").alias("fields")).where("op IS NOT NULL")
+
+
+@register("R9_change_feed", "SELECT coalesce(o.event_id, n.event_id) AS event_id, CASE WHEN o.event_id IS NULL THEN 'insert' WHEN n.event_id IS NULL THEN 'delete' ELSE 'update' END AS op, CASE WHEN o.event_id IS NULL OR n.event_id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN o.event_type IS DISTINCT FROM n.event_type THEN 'event_type' END, CASE WHEN o.value IS DISTINCT FROM n.value THEN 'value' END) END AS fields FROM (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00') o FULL OUTER JOIN (SELECT event_id, CASE event_type WHEN 'signup' THEN 'view' ELSE event_type END AS event_type, CASE WHEN value > 100 THEN 100 ELSE value END AS value FROM events WHERE event_type <> 'error') n ON o.event_id = n.event_id WHERE o.event_id IS NULL OR n.event_id IS NULL OR o.event_type IS DISTINCT FROM n.event_type OR o.value IS DISTINCT FROM n.value")
+def r9(spark, sf):
+    """A state of the table against a later one in which values are capped, a type is renamed and errors are gone."""
+    e = raw(spark, sf, "events").select("event_id", "event_type", "value", "ts")
+    new = e.where("event_type <> 'error'").select("event_id", F.when(F.col("event_type") == "signup", "view").otherwise(F.col("event_type")).alias("event_type"), F.least("value", F.lit(100.0)).alias("value"))
+    return change_feed(e.where(F.col("ts") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")), new, "event_id", ["event_type", "value"])
+
+
 @register("R6_sessions", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s""")
 def r6(spark, sf):
     return sessions(raw(spark, sf, "events")).select("user_id", F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "n")

@@ -121,6 +121,36 @@ def test_catalogue_file(tmp_path, spark):
     assert [(r.row, r.errors, r.warnings) for r in got] == [(3, [], []), (4, ["name_missing"], []), (5, ["price_range", "category_unknown"], []), (6, [], ["name_repeated"])]
 
 
+def test_workbooks_and_encodings(tmp_path, spark):
+    cell = lambda ref, v: f'<c r="{ref}" t="s"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{ref}"><v>{v}</v></c>'
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{t}</t></si>" for t in ["note", "Nomi", "Narx", "bolt &amp; nut"]) + "<si><r><t>ri</t></r><r><t>ch</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1">{cell("A1", 0)}</row><row r="2">{cell("B2", 1)}{cell("D2", 2)}</row><row r="5">{cell("B5", 3)}{cell("D5", "12.5")}</row><row r="6">{cell("B6", 4)}</row></sheetData></worksheet>')
+    (tmp_path / "b.csv").write_bytes("Наименование,Цена\n\"стол, большой\nвторой\",5\nстул,6\n".encode("cp1251"))
+    (tmp_path / "c.csv").write_text("nothing\nhere\n")
+    (tmp_path / "d.xlsx").write_bytes(b"PK\x03\x04 broken")
+    got = sorted((r.path.rpartition("/")[2], r.row, r.name, r.price, r.error) for r in ingest.read_catalogue(spark, str(tmp_path)).collect())
+    assert got == [("a.xlsx", 5, "bolt & nut", "12.5", None), ("a.xlsx", 6, "rich", None, None), ("b.csv", 2, "стол, большой\nвторой", "5", None), ("b.csv", 4, "стул", "6", None), ("c.csv", None, None, None, "no_header"), ("d.xlsx", None, None, None, "unreadable")]
+
+
+def test_page_text(spark):
+    html = "<title>T</title><style>x{}</style><SCRIPT>var a='</p>'</SCRIPT><p class='a'>one &amp;lt; &#8364;&#65; two</p><!-- no --><br/>three  <b>bold</b> 1 < 2"
+    assert one(spark, ingest.page_text(F.lit(html))) == "T\none &lt; €A two\nthree  bold 1 < 2" and one(spark, ingest.page_text(F.lit(None).cast("string"))) == ""
+
+
+def test_nearest_is_brute_force(spark):
+    import random
+
+    from bidlake.operators.joins import nearest
+
+    r = random.Random(6)
+    rows = [(i, r.randrange(4), r.choice([1, 1, 2, 3, 5, 8, 8, 8, 9])) for i in range(60)]
+    for k in (1, 2, 3):
+        got = {(x.i, x.other, x.rn) for x in nearest(spark.createDataFrame(rows, "i int, g int, v int"), "g", "i", "v", k).collect()}
+        assert got == {(i, o, n + 1) for i, g, v in rows for n, (_, o) in enumerate(sorted((abs(v - w), j) for j, h, w in rows if h == g and j != i)[:k])}
+
+
 def test_portal_records(tmp_path, spark):
     rec = '{"id":1,"name":"%s","meta":{"lots":[{"lot_id":1}],"good_maps":[{"lot_id":1,"id":"g","name":"a","totalcost_item":5,"category":{"code":"c","title":"t"}},{"lot_id":1,"id":"g","name":"b","totalcost_item":9}]}}\n'
     (tmp_path / "p1.json").write_text(rec % "first")
@@ -152,4 +182,8 @@ def test_micro_batches_are_merged_once(tmp_path, spark):
     incremental.upsert_batches(stream(), str(tmp_path / "out"), ["id"], str(tmp_path / "ck")).awaitTermination()
     spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     incremental.upsert_batches(stream(), str(tmp_path / "out"), ["id"], str(tmp_path / "ck")).awaitTermination()
-    assert {(r.id, r.v) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert {(r.id, r.v) for r in incremental.current(spark, str(tmp_path / "out")).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    spark.createDataFrame([(3, "e")], "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    incremental.upsert_batches(stream(), str(tmp_path / "out"), ["id"], str(tmp_path / "ck")).awaitTermination()
+    assert {(r.id, r.v) for r in incremental.current(spark, str(tmp_path / "out")).collect()} == {(1, "a"), (2, "c"), (3, "e")}
+    assert len(list((tmp_path / "out/version=2").glob("bucket=*"))) == 1  # other buckets are as they were
