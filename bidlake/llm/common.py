@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. One of our own where it is unset and the session is a single process."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bidlake-shared-"))
-        path = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bidlake-shared-"))
+        path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
@@ -35,24 +38,31 @@ def _remove(files, place) -> None:
 
 
 class Workspace:
-    """Intermediate tables of one run, in the shared folder; they are removed as the driver ends.
+    """Intermediate tables of one run, in the shared folder.
 
     A table cut here is read back from files, so a lost executor costs the tasks
-    it ran and not the lineage behind them.
+    it ran and not the lineage behind them. Tables that later ones have taken in are dropped
+    on the way; those that a result still reads go as the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/bidlake-{label}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        atexit.register(_remove, files, place)
+        self._place = jvm.org.apache.hadoop.fs.Path
+        place = self._place(self.path)
+        self._files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(_remove, self._files, place)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in names:
+            self._files.delete(self._place(f"{self.path}/{name}"), True)
+
 
 # --- words of UTF-8 bytes, hashed without a Python string for each --------------------------------
 

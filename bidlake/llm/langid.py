@@ -148,7 +148,8 @@ def fit(spark: SparkSession, rows: DataFrame, text_col: str = "text", lang_col:
     share = counts.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("of"))
     mean = share.withColumn("mean", F.sum("share").over(Window.partitionBy("gram")))
     langs = [r.lang for r in total.orderBy(F.desc("of"), "lang").collect()]
-    telling = mean.where((F.col("n") >= LEAST_COUNT) & (F.col("share") * len(langs) >= LEAST_RATIO * F.col("mean")))
+    apart = F.lit(len(langs) == 1) | (F.col("share") * len(langs) >= LEAST_RATIO * F.col("mean"))  # a single language is told from none
+    telling = mean.where((F.col("n") >= LEAST_COUNT) & apart)
     best = telling.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).where(F.col("k") <= top_grams)
     grams: dict[str, list[int]] = {}
     for r in best.select("lang", "gram").collect():  # at most top_grams rows a language

@@ -77,6 +77,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     ext = own.select("mark", "id", "spot", "p", "len", "b", "a", _common("b", F.col("b0")).alias("back"), _common("a", F.col("a0")).alias("ahead"))
     rest = lambda c, n: F.slice(c, F.col(n) + 1, F.lit(reach))
     ext = ws.cut(ext.select("mark", "id", "spot", "p", "len", "back", "ahead", rest("b", "back").alias("b"), rest("a", "ahead").alias("a")), "ext")
+    ws.drop("prints", "near")
     gone = ext.select("id", "spot", F.explode(F.sequence(F.col("p") - F.col("back"), F.col("p") + F.col("len") + F.col("ahead") - 1)).alias("p"))
     gone = gone.unionByName(_further(ws, ext)).distinct()
     # back from numbers among the lines with words to numbers of lines; what stays of each document that changes

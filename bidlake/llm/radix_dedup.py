@@ -52,6 +52,7 @@ def radix_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         groups = ws.cut(groups.withColumn("name", F.monotonically_increasing_id()), f"groups{level}")
         named = groups.select(*(F.col(c).alias(c + "_") for c in on), "name", "keep", "size")
         state = ws.cut(members.join(named.hint("merge"), [members[c] == named[c + "_"] for c in on]).select("id", "spot", "n", F.col("name").alias("grp"), "keep", "size").distinct(), f"state{level}")
+        ws.drop(f"members{level}", f"groups{level}")
         start, width, level = start + width, width * widen, level + 1
         done.append(state.where(F.col("n") <= start).select("id", "spot", "keep", "size"))
         live = state.where(F.col("n") > start)

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from bidlake.llm import chat, linededup, minhash, radix_dedup, warc
+from bidlake.llm import chat, fertility, linededup, minhash, radix_dedup, warc
 from bidlake.llm.common import Workspace, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -407,3 +407,53 @@ def test_pipeline_keeps_one_of_each_and_packs_whole_texts(spark, tmp_path):
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     total = sum(len(tok.encode(lines[i][0], add_special_tokens=False).ids) + 1 for i in ids[4])
     assert seen[-1].selectExpr("sum(length) AS n").first().n == total
+
+
+def stage_by_stage(spark, docs):
+    """What each stage of the pipeline returns on a table of edge cases."""
+    import corpus_pipeline
+
+    ws, out = Workspace(spark, "stages"), [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        out.append(ws.cut(stage(spark, out[-1], ""), name))
+    return out
+
+
+def test_stages_on_edge_cases(spark, docs, rows):
+    """Nulls, repeated rows and extra columns with clashing names; every stage keeps the columns."""
+    texts = [x.text for x in fertility.keep_good(table(spark, "/root/testdata/sf0.001", "documents")).where("length(text) BETWEEN 500 AND 1500 AND NOT text LIKE '%\\n%' AND lang = 'en'").orderBy("doc_id").collect()]
+    first, other = texts[0], next(t for t in texts[1:] if not shingles(t, 5) & shingles(texts[0], 5))
+    more = [(None, first, "en", "s", 1), (50, first, "en", "s", 1), (50, first, "en", "t", 1), (51, first, None, "s", 1), (52, other + " end", "en", "s", 1), (53, other, "en", None, 1), (54, "short tail", "en", "s", 1)]
+    table_ = docs.unionByName(spark.createDataFrame([(*x, 99, "g", 1, 2, "l", "c") for x in more], docs.schema))
+    quality, language, lines, near, packed = stage_by_stage(spark, table_)[1:]
+    for d in (quality, language, lines, near):
+        assert d.columns == docs.columns
+    kept = Counter(x.doc_id for x in quality.collect())
+    assert {50: 2, 51: 1, None: 1}.items() <= kept.items() and not {2, 3, 4, 18} & set(kept)
+    assert {x.doc_id: x.lang for x in language.collect()}[51] == "en"
+    assert lines.count() == language.count()
+    assert {x.doc_id: x.text for x in lines.collect()}[51] == ""  # its one line is a later copy; the row stays
+    ids = Counter(x.doc_id for x in near.collect())
+    assert max(n for i, n in ids.items() if i is not None) == 1 and ids[None] == 1 and {50, 51} <= set(ids) and len({52, 53} & set(ids)) == 1
+    assert {x.doc_id for x in packed.select("doc_id").distinct().collect()} == set(ids)
+
+
+def test_stages_on_nothing(spark, none):
+    for d in stage_by_stage(spark, none):
+        assert d.count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from bidlake.llm import common
+
+    def session(master, conf=None, checkpoint=None):
+        sc = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: conf), sparkContext=sc)
+
+    assert common.shared_dir(session("yarn", conf="hdfs:///x/")) == "hdfs:///x"
+    assert common.shared_dir(session("spark://h:7077", checkpoint="s3a://b/c")) == "s3a://b/c"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))
