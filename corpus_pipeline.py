@@ -34,13 +34,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One row of each group of near duplicates stays; of rows that share the id that stays, one. Rows without an id stay."""
     ship(spark)
     names = docs.columns
-    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    at = f"c{names.index('doc_id')}"
+    rows, at = docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index('doc_id')}"
     dropped = minhash.near_duplicates(spark, docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return rows.join(dropped, F.col(at) == F.col("gone"), "left_anti").toDF(*names)
+    stays = rows.join(dropped, F.col(at) == F.col("gone"), "left_anti")
+    # ids are unique but for damaged tables: only rows whose id repeats are shuffled whole
+    again = rows.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again")
+    if again.isEmpty():
+        return stays.toDF(*names)
+    once = stays.join(again, F.col(at) == F.col("again"), "left_semi").dropDuplicates([at])
+    return stays.join(again, F.col(at) == F.col("again"), "left_anti").unionByName(once).toDF(*names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
