@@ -277,7 +277,7 @@ def d13(spark, sf):
     return product(spark, sf).crossJoin(F.broadcast(used)).join(q, F.col("product_id") == F.col("l_partkey"), "left").select("product_id", F.when(F.col("used"), F.col("q")).otherwise(F.col("stock_qty")).cast("double").alias("stock"))
 
 
-#: Required documents by words that stand near each other in a text.
+#: Kinds of documents that the driver's texts speak of, by their words.
 REQUIRED = {"licence": r"licen[sc]ed? ", "reserved_rights": r"rights reserved", "public_licence": r"public license", "creative": r"cc by"}
 
 
@@ -288,11 +288,6 @@ def required_documents(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("x", F.explode(F.filter(found, lambda x: x["at"] > 0))).select(*df.columns, "x.kind", "x.at")
 
 
-@register("D14_required_documents", "SELECT doc_id, kind FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(lower(text), '{p}')" for k, p in REQUIRED.items()) + ")")
-def d14(spark, sf):
-    return required_documents(raw(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "kind")
-
-
 @register("D15_checklist", """WITH need AS (SELECT doc_id, kind FROM (VALUES ('licence', 'licen[sc]ed? '), ('creative', 'cc by'), ('reserved_rights', 'rights reserved'), ('public_licence', 'public license')) k(kind, p) JOIN documents ON regexp_matches(lower(text), p)), own AS (SELECT * FROM (VALUES ('licence', 'valid', 3), ('licence', 'soon', 2), ('creative', 'expired', 1)) o(kind, state, r))
     SELECT n.doc_id, count(*) AS needed, count(o.kind) FILTER (WHERE o.state <> 'expired') AS ready, count(*) FILTER (WHERE o.kind IS NULL) AS missing FROM need n LEFT JOIN (SELECT DISTINCT ON (kind) * FROM own ORDER BY kind, r DESC) o ON n.kind = o.kind GROUP BY n.doc_id""")
 def d15(spark, sf):
@@ -305,12 +300,6 @@ def d15(spark, sf):
 # --- D16-D25: requirements, qualification, routing ---
 
 
-@register("D17_rule_extraction", "SELECT doc_id, CAST(regexp_extract(text, 'version ([0-9]+)', 1) AS INTEGER) AS value FROM documents WHERE regexp_matches(text, 'version [0-9]+')")
-def d17(spark, sf):
-    d = raw(spark, sf, "documents")
-    return d.where(F.col("text").rlike("version [0-9]+")).select("doc_id", F.regexp_extract("text", "version ([0-9]+)", 1).cast("int").alias("value"))
-
-
 @register("D18_chunk_rank", "SELECT doc_id, hits, total FROM (SELECT doc_id, (length(text) - length(replace(text, ' the ', '    ')))::BIGINT AS x, (len(string_split(text, ' the ')) - 1)::BIGINT AS hits, count(*) OVER () AS total FROM documents WHERE contains(text, ' the ')) ORDER BY hits DESC, doc_id LIMIT 30")
 def d18(spark, sf):
     d = raw(spark, sf, "documents").where(F.col("text").contains(" the ")).select("doc_id", (F.size(F.split("text", " the ", -1)) - 1).cast("long").alias("hits"))
