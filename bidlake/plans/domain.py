@@ -14,6 +14,7 @@ from bidlake.operators.filters import in_region, is_open
 from bidlake.operators.joins import fuse
 from bidlake.operators.ordering import _QUERY, _QUERY_SQL, cosine_distance, ranked, top_per
 from bidlake.plans.rewrites import code_prefix_join, patterns_in
+from bidlake.session import ship
 from bidlake.sources.procurement import good, now, product, raw, sql, tender
 
 OPEN_SQL = "status = 'open' AND (close_at IS NULL OR close_at > $now)"
@@ -500,12 +501,45 @@ def d27(spark, sf):
 @register("D27b_hub_bias", """WITH n AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) AS k FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, round(avg(s), 6) AS hub FROM s WHERE k <= 10 GROUP BY vec_id""")
 def d27b(spark, sf):
     """Mean similarity to the ten nearest vectors of the same label; the label bounds what is compared."""
-    e = raw(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    e = e.withColumn("n", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    b = e.select(F.col("vec_id").alias("o"), "label", F.col("v").alias("w"), F.col("n").alias("m"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    j = e.join(b, "label").where("vec_id <> o").select("vec_id", "o", (dot / (F.col("n") * F.col("m"))).alias("s"))
-    return top_per(j, ["vec_id"], 10, F.desc("s"), "o").groupBy("vec_id").agg(F.round(F.avg("s"), 6).alias("hub"))
+    ship(spark)
+    near = nearest_vectors(raw(spark, sf, "embeddings"), "vec_id", "label", "embedding", 10)
+    return near.groupBy(F.col("id").alias("vec_id")).agg(F.round(F.avg("s"), 6).alias("hub"))
+
+
+BLOCK = 512
+
+
+def nearest_vectors(df: DataFrame, key: str, group: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
+    """The k rows of the same group whose vectors have the greatest cosine, ties by key: (id, other, s).
+
+    Each group is dealt into blocks of about `block` vectors, and blocks, not vectors, are paired: a
+    pair of blocks is one matrix product and gives k rows for each of its vectors, of which the best k of all
+    blocks stay. The products still grow with the square of a group, what is moved with its square over `block`.
+    """
+    rows = df.select(F.col(key).alias("id"), F.col(group).alias("g"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocks = dealt.groupBy("g", "b").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    pairs = blocks.join(blocks.select("g", F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2")), "g")
+
+    def compare(batches):
+        import numpy as np
+        import pandas as pd
+
+        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+        for pdf in batches:
+            for ids, vs, ids2, vs2 in zip(pdf["ids"], pdf["vs"], pdf["ids2"], pdf["vs2"], strict=True):
+                ids, ids2 = np.asarray(ids), np.asarray(ids2)
+                s = unit(np.stack(vs)) @ unit(np.stack(vs2)).T
+                s[ids[:, None] == ids2[None, :]] = -2.0
+                order = np.lexsort((np.broadcast_to(ids2, s.shape), -s))[:, :k]
+                best = np.take_along_axis(s, order, axis=1)
+                out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": ids2[order].ravel(), "s": best.ravel()})
+                yield out[out["s"] > -2.0]
+
+    kind = df.schema[key].dataType.simpleString()
+    found = pairs.select("ids", "vs", "ids2", "vs2").repartition("ids", "ids2").mapInPandas(compare, f"id {kind}, other {kind}, s double")
+    return top_per(found, ["id"], k, F.desc("s"), "other").select("id", "other", "s")
 
 
 TOKENS, EVIDENCE, SHARE = 4, 2, 75
