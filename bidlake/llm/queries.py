@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlake.llm import chat, fertility, langid, license_scan, linededup, minhash, packing, piece_dropout, radix_dedup, warc
+from bidlake.llm import chat, delta_lloyd, fertility, heap_lloyd, langid, license_scan, linededup, minhash, packing, piece_dropout, radix_dedup, recursive_bpe, warc
 from bidlake.llm.common import table
 from bidlake.session import ship
 
@@ -64,9 +64,28 @@ def op9_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows, centroids = delta_lloyd.clustered(spark, table(spark, sf_dir, "embeddings"))
+    return delta_lloyd.with_inertia(spark, rows, centroids).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = recursive_bpe.decoded(recursive_bpe.encoded(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows, books, _ = heap_lloyd.compressed(spark, table(spark, sf_dir, "embeddings"))
+    out = heap_lloyd.with_label_error(spark, rows)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(heap_lloyd.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_piece_merge_dropout, op2_hierarchical_packing, op3_chat_round_trip, op4_warc_splittable, op5_minhash_near_dedup, op6_radix_exact_dedup, op7_tokeniser_fertility, op8_winnowed_line_dedup, op9_license_automaton, op10_language_bitmask)
+    for f in (op1_piece_merge_dropout, op2_hierarchical_packing, op3_chat_round_trip, op4_warc_splittable, op5_minhash_near_dedup, op6_radix_exact_dedup, op7_tokeniser_fertility, op8_winnowed_line_dedup, op9_license_automaton, op10_language_bitmask, op11_delta_lloyd, op12_recursive_bpe, op13_heap_lloyd)
 }
 
 
