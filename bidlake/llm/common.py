@@ -64,6 +64,37 @@ class Workspace:
             self._files.delete(self._place(f"{self.path}/{name}"), True)
 
 
+# --- byte-level vocabularies in the fast library -------------------------------------------------
+
+#: Unicode's white space, as a class of a regular expression.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LONG_RUN = 1000
+_RUN = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+
+
+def library_ids(enc, text: str) -> np.ndarray:
+    """Ids of a text by an encoding of the public pattern, strings of its special tokens as those tokens.
+
+    The library's pattern goes back over a run of white space blank by blank and gives up beyond some hundred
+    thousand. Such runs are cut out first: what stands before one always ends a word; the run but for its last
+    blank is one word if anything but a special token follows, all of it at the end; and the last blank begins anew.
+    """
+    if _RUN.search(text) is None:
+        return enc.encode_to_numpy(text, allowed_special="all")
+    special, out = sorted(enc.special_tokens_set, key=len, reverse=True), []
+    for k, part in enumerate(re.split(f"({'|'.join(map(re.escape, special))})", text) if special else [text]):
+        if k % 2:
+            out.append([enc.encode_single_token(part)])
+            continue
+        at = 0
+        for m in _RUN.finditer(part):
+            end = m.end() - (m.end() < len(part))
+            out += [enc.encode_to_numpy(part[at : m.start()], disallowed_special=()), enc._encode_single_piece(part[m.start() : end])]
+            at = end
+        out.append(enc.encode_to_numpy(part[at:], disallowed_special=()))
+    return np.concatenate([np.asarray(x, np.uint32) for x in out])
+
+
 # --- words of UTF-8 bytes, hashed without a Python string for each --------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20240601))

@@ -6,9 +6,11 @@ tokens; the multilingual byte-level vocabulary gives a second figure of characte
 token. Each script has a band for each measure; a text outside a band is rejected. The
 script is that of most of the text's letters.
 
-Tokens are looked up by chunk (blanks and the word after them), which neither vocabulary's
-merges cross, in a bounded cache of each Python worker; when it is full, its chunks become the
-older half, from which those still in use come back, so frequent chunks are never looked up anew.
+Tokens are looked up by chunk (white space and what stands after it up to the next), which neither
+vocabulary's merges cross, in a bounded cache of each Python worker; when it is full, its chunks become the
+older half, from which those still in use come back, so frequent chunks are never looked up anew. Chunks of more
+than LONG characters are not kept. The piece vocabulary puts a blank before a text, the other one doesn't: a
+text's first chunk is looked up both ways.
 
 Base counts: words are runs outside space and \\t\\n\\v\\f\\r. base_failed: fewer than 20
 words, or more than 30 % of the words in 8-word windows found twice or more in the text.
@@ -26,9 +28,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidlake.llm.common import find_words, hash_words, shingle_hashes, text_slices
+from bidlake.llm.common import WHITE, find_words, hash_words, library_ids, shingle_hashes, text_slices
 
-MIN_WORDS, REPEAT_PERCENT, WINDOW, MIN_TOKENS, CACHED = 20, 30, 8, 64, 200_000
+MIN_WORDS, REPEAT_PERCENT, WINDOW, MIN_TOKENS, CACHED, LONG = 20, 30, 8, 64, 200_000, 1000
 #: Bits of token entropy that long texts are held against; shorter ones against the logarithm of their length.
 TOP_BITS = 9.0
 #: First code point of each range and its script.
@@ -52,7 +54,9 @@ BANDS = {
     "none": (0.5, 7.0, 0.30, 0.5, 7.5, 0.40),
 }
 MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, chars_per_multi double, entropy_share double"
-_CHUNK = re.compile(r" *[^ \n]+| +|\n")
+#: Chunks end before a space or line end that follows something else; other white space may stand inside pieces.
+_ODD = WHITE.replace("\\t-\\r ", "\\t\\x0b-\\r")
+_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+(?:[{_ODD}][{WHITE}]*[^{WHITE}]+)*(?:[{_ODD}][{WHITE}]*)?|[{WHITE}]+")
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 _LEAD = (np.arange(256) & 0xC0) != 0x80
@@ -92,24 +96,25 @@ class Vocabularies:
         for c, b, i in zip(new, bare, ids, strict=True):
             if c == " ":
                 i = [self.sp.piece_to_id("▁")]
-            out[c] = np.array(i[2:] if b else i, np.uint16).tobytes(), len(self.multi.encode_ordinary(c))
+            out[c] = np.array(i[2:] if b else i, np.uint16).tobytes(), len(library_ids(self.multi, c))
         if len(self.cache) + len(out) > CACHED:
             self.cache, self.older = {}, self.cache
-        self.cache |= out
+        self.cache |= {c: x for c, x in out.items() if len(c) <= LONG}
         return out
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """Piece ids (without the ids of line ends) and the number of multilingual tokens, for each text."""
         out = []
         for text in texts:
-            chunks = _CHUNK.findall(" " + text) if text else []
+            chunks = _CHUNK.findall(text)
+            chunks += [" " + c for c in chunks[:1]]
             get = self.cache.get
             found = [get(c) for c in chunks]
             if None in found:
                 new = self.learn(sorted({c for c, x in zip(chunks, found, strict=True) if x is None}))
                 found = [x or new[c] for c, x in zip(chunks, found, strict=True)]
-            ids = np.frombuffer(b"".join([x[0] for x in found]), np.uint16)
-            out.append((ids[ids != self.newline], sum([x[1] for x in found])))
+            ids = np.frombuffer(b"".join([x[0] for x in [*found[-1:], *found[1:-1]]]), np.uint16)
+            out.append((ids[ids != self.newline], sum([x[1] for x in found[:-1]])))
         return out
 
 

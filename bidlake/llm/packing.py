@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidlake.llm.common import library_ids
+
 WINDOW, TIERS, BLOCK_TOKENS, STEP_TOKENS = 1024, (1024, 512, 256, 128), 4_000_000, 16_384
 PIECES = "id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _encoders: dict = {}
@@ -202,7 +204,7 @@ def _packer(path: str, pattern: str):
             id_type = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                ids = np.concatenate([enc.encode_to_numpy(text, allowed_special="all").astype(np.uint32), closing]) if text else closing
+                ids = np.concatenate([library_ids(enc, text).astype(np.uint32), closing]) if text else closing
                 docs.append((i, ids))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:

@@ -210,6 +210,57 @@ def test_cached_tokens_are_the_librarys():
         assert multi > 0 or not t
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\r\n", ";\r", "\u3000", "\xa0", "\x1c", "word", "'s", "12", "日本", "!", "é", " the"]), max_size=12).map("".join))
+def test_chunks_give_both_libraries_counts(text):
+    import tiktoken
+
+    from bidlake.llm.recursive_bpe import read_ranks
+
+    if "fertility" not in _kept:
+        path = public.path("byte_bpe_multi_50k.tiktoken")
+        _kept["fertility"] = fertility.Vocabularies(MODEL, path, public.PATTERN), sentencepiece.SentencePieceProcessor(model_file=MODEL), tiktoken.Encoding("m", pat_str=public.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    v, sp, multi = _kept["fertility"]
+    ((ids, n),) = v.read([text])
+    assert ids.tolist() == [i for i in sp.encode(text) if i != v.newline]
+    assert n == len(multi.encode_ordinary(text))
+
+
+_kept: dict = {}
+BLANKS = [" ", "\t", "\n", " \n", "\u3000"]
+
+
+@pytest.mark.parametrize("blank", BLANKS)
+def test_long_blank_runs_give_the_librarys_ids(blank, monkeypatch):
+    """Texts that the library can still encode, with the bound for cutting far below."""
+    enc = packing.encoder(public.path("byte_bpe_50k.json"), public.PATTERN)
+    run = blank * 1500
+    for text in (run, run + "a b", "a b" + run, f"x{run}y {run}<|endoftext|>{run}z'{run}", run + "<|endoftext|>", f"<|endoftext|>{run}\r"):
+        assert common.library_ids(enc, text).tolist() == enc.encode(text, allowed_special="all")
+
+
+@pytest.mark.parametrize("blank", BLANKS[:3])
+def test_three_million_blanks_are_packed_and_measured(spark, blank):
+    n = 3_000_000
+    texts = ["Some words. " + blank * n + "and the end of it", blank * n, "plain text of a few words"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    path = public.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    want = []
+    for t in texts:  # by the file's own library, run by run: it keeps to the pattern's words in any length
+        want.append([*tok.encode(t, add_special_tokens=False).ids, 0])
+    got = {}
+    for r in packing.packed(d).collect():
+        got.setdefault(r.doc_id, {})[r.start] = bytes(r.ids)
+    for k, ids in enumerate(want):
+        assert b"".join(got[k][at] for at in sorted(got[k])) == np.array(ids, "<u4").tobytes()
+    m = {r.doc_id: r for r in fertility.measured(d).collect()}
+    assert [m[k].n_words for k in range(3)] == [7, 0, 6] and not any(m[k].kept for k in range(3))
+    small = fertility.Vocabularies(MODEL, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    short = small.read([texts[0].replace(blank * n, blank * 2000)])[0]
+    assert m[0].n_tokens >= len(short[0]) and fertility.keep_good(d).count() == 0
+
+
 SCRIPTS = {
     "latin": "The committee will meet again next month to review the proposal and to decide about the budget of the coming year. ", "greek": "Η επιτροπή θα συνεδριάσει ξανά τον επόμενο μήνα για να εξετάσει την πρόταση και να αποφασίσει για τον προϋπολογισμό. ",
     "cyrillic": "Комитет снова соберётся в следующем месяце, чтобы рассмотреть предложение и принять решение о бюджете на будущий год. ", "hebrew": "הוועדה תתכנס שוב בחודש הבא כדי לבחון את ההצעה ולהחליט על התקציב של השנה הקרובה. ",
@@ -231,7 +282,7 @@ def plain_measures(text):
         multi = tiktoken.Encoding("plain", pat_str=public.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     ids = [i for i in sp.encode(text) if i != sp.piece_to_id("<0x0A>")]
     chars, n = len(text) - text.count("\n"), len(ids)
-    tokens = sum(len(multi.encode_ordinary(c)) for c in re.findall(r" *[^ \n]+| +|\n", " " + text)) if text else 0
+    tokens = len(multi.encode_ordinary(text))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values()) if n else None
     return n, chars / n if n else None, sum(sp.is_byte(i) for i in ids) / n if n else None, chars / tokens if tokens else None, (entropy / min(math.log2(n), fertility.TOP_BITS) if n > 1 else 0.0) if n else None
 
