@@ -72,7 +72,7 @@ def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = recursive_bpe.decoded(recursive_bpe.encoded(table(spark, sf_dir, "documents")))
+    out = recursive_bpe.round_trip(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from bidlake.llm.common import hash_words, text_slices
 
 #: Bytes of text handled together, bytes of a word beyond which it is wide, words kept, tokens decoded together.
-SLICE, WIDE, CACHED, DECODED = 1 << 20, 256, 1_000_000, 1 << 20
+SLICE, WIDE, CACHED, DECODED = 1 << 19, 256, 800_000, 1 << 19
 LETTER, NUMBER, BLANK = 1, 2, 3
 _tools: dict = {}
 
@@ -173,7 +173,7 @@ class Merger:
 
         ranks = read_ranks(path)
         self.con = duckdb.connect()
-        self.con.execute("SET threads = 1; SET memory_limit = '700MB'; SET preserve_insertion_order = false")
+        self.con.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
         self.con.register("given", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.con.execute(VOCAB)
         self.con.execute(MERGES)
@@ -380,6 +380,16 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     return rows.mapInArrow(_encoder(path or public.path("byte_bpe_50k.tiktoken")), f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """`encoded` and then `decoded` in one worker with one database."""
+    import public_tokenizers as public
+
+    path = path or public.path("byte_bpe_50k.tiktoken")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind, encode, decode = rows.schema["id"].dataType.simpleString(), _encoder(path), _decoder(path)
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), f"id {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
+
+
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of `encoded` with a column `decoded`, the bytes of their ids."""
     import public_tokenizers as public

@@ -319,6 +319,7 @@ def test_a_small_cache_gives_the_same_ids(monkeypatch):
 
 def test_encoded_and_decoded_tables(spark, docs, none, rows):
     got = recursive_bpe.decoded(recursive_bpe.encoded(docs)).collect()
+    assert Counter(map(repr, got)) == Counter(map(repr, recursive_bpe.round_trip(docs).collect()))
     want = Counter((r[0], tuple(_library(PATHS[0]).encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in rows)
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in got) == want
     assert all(r.n_tokens == len(r.ids) // 4 for r in got)
