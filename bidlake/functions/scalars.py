@@ -293,9 +293,15 @@ def x2(spark, sf):
 _OPTIONS = "CASE t " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN {v!r}" for k, v in {**{k: [v] for k, v in CYRILLIC.items()}, **SEVERAL}.items()) + " ELSE [t] END"
 _SPELT = "regexp_extract_all({0}, '" + "|".join(sorted((k.replace("'", "''") for k in [*CYRILLIC, *SEVERAL] if len(k) > 1), key=len, reverse=True)) + "|.')"
 
+def SPELLINGS_SQL(source: str, key: str) -> str:  # noqa: N802
+    """The oracle's counterpart of spellings() for Latin words: key, s, for the rows (name) of a query."""
+    readings_ = f"list_transform(list_reduce(list_transform({_SPELT.format('q')}, lambda t: {_OPTIONS}), lambda acc, o: flatten(list_transform(acc, lambda r: list_transform(o, lambda y: r || y)))[1:16], ['']), lambda y: translate(y, 'эёыйщьъ', 'ееииш'))"
+    derived = f"CASE WHEN regexp_matches(q, '[a-z''‘ʻ]') THEN list_filter({readings_} || [q], lambda y: length(y) > 1) ELSE [] END"
+    unique = "list_reduce(list_transform(x, lambda y: [y]), lambda acc, y: CASE WHEN list_contains(acc, y[1]) THEN acc ELSE acc || y END, []::VARCHAR[])"
+    return f"SELECT name AS {key}, ({unique})[1:6] AS s FROM (SELECT name, [translate(q, 'эёыйщьъ', 'ееииш')] || {derived} AS x FROM (SELECT name, lower(trim(name)) AS q FROM ({source})))"
 
-@register("X3_spellings", sql("product", f"""SELECT product_id, name, array_to_string(s, '|') AS spellings FROM product JOIN (SELECT name AS k, u[1:6] AS s FROM (SELECT name, list_reduce(list_transform(x, lambda y: [y]), lambda acc, y: CASE WHEN list_contains(acc, y[1]) THEN acc ELSE acc || y END, []::VARCHAR[]) AS u FROM
-    (SELECT name, [translate(q, 'эёыйщьъ', 'ееииш')] || list_filter(list_transform(list_reduce(list_transform({_SPELT.format("q")}, lambda t: {_OPTIONS}), lambda acc, o: flatten(list_transform(acc, lambda r: list_transform(o, lambda y: r || y)))[1:16], ['']), lambda y: translate(y, 'эёыйщьъ', 'ееииш')) || [q], lambda y: length(y) > 1) AS x FROM (SELECT DISTINCT name, lower(trim(name)) AS q FROM product)))) ON k = name"""))
+
+@register("X3_spellings", sql("product", f"""SELECT product_id, name, array_to_string(s, '|') AS spellings FROM product JOIN ({SPELLINGS_SQL("SELECT DISTINCT name FROM product", "k")}) ON k = name"""))
 def x3(spark, sf):
     return over_distinct(product(spark, sf).select("product_id", "name"), "name", "spellings", lambda c: F.array_join(spellings(c), "|"))
 
@@ -322,13 +328,6 @@ def x5(spark, sf):
     return over_distinct(product(spark, sf).select("product_id", "name"), "name", "term", canonical)
 
 
-@register("X7_term_query", "SELECT doc_id, len(list_filter(['the', 'and', 'de'], lambda w: list_contains(string_split(lower(text), ' '), w))) AS hits FROM documents WHERE list_contains(string_split(lower(text), ' '), 'the') AND list_contains(string_split(lower(text), ' '), 'and')")
-def x7(spark, sf):
-    d = raw(spark, sf, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
-    has = lambda t: F.array_contains("w", t)
-    return d.where(has("the") & has("and")).select("doc_id", sum((has(t).cast("long") for t in ("the", "and", "de")), F.lit(0).cast("long")).alias("hits"))
-
-
 @register("X8_word_start", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])thre')")
 def x8(spark, sf):
     return raw(spark, sf, "documents").where(word_starts(F.lower("text"), "thre")).select("doc_id")

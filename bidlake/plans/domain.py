@@ -301,13 +301,6 @@ def d15(spark, sf):
 # --- D16-D25: requirements, qualification, routing ---
 
 
-@register("D18_chunk_rank", "SELECT doc_id, hits, total FROM (SELECT doc_id, (length(text) - length(replace(text, ' the ', '    ')))::BIGINT AS x, (len(string_split(text, ' the ')) - 1)::BIGINT AS hits, count(*) OVER () AS total FROM documents WHERE contains(text, ' the ')) ORDER BY hits DESC, doc_id LIMIT 30")
-def d18(spark, sf):
-    d = raw(spark, sf, "documents").where(F.col("text").contains(" the ")).select("doc_id", (F.size(F.split("text", " the ", -1)) - 1).cast("long").alias("hits"))
-    total = d.agg(F.count(F.lit(1)).alias("total"))
-    return d.orderBy(F.desc("hits"), "doc_id").limit(30).crossJoin(F.broadcast(total))
-
-
 def merged_requirements(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by id: a person's verdict survives unless the value changed, which reopens it and notes old and new."""
     j = old.select("id", F.col("value").alias("ov"), "status").join(new.select("id", F.col("value").alias("nv")), "id", "full_outer")
@@ -614,27 +607,6 @@ def d34(spark, sf):
     return good(spark, sf).select("tender_id", category_of(F.col("good_code")).alias("category")).distinct()
 
 
-@register("D35_hybrid_retrieval", f"""WITH sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY s, vec_id) AS rnk FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_QUERY_SQL}), 9) AS s FROM embeddings) ORDER BY s, vec_id LIMIT 50), lex AS (SELECT id, row_number() OVER (ORDER BY h DESC, id) AS rnk FROM (SELECT doc_id AS id, (len(string_split(text, ' the ')) - 1) AS h FROM documents WHERE contains(text, ' the ')) ORDER BY h DESC, id LIMIT 50)
-    SELECT id, round(s, 9) AS score FROM (SELECT coalesce(a.id, b.id) AS id, coalesce(1.0::DOUBLE / (60 + a.rnk), 0) + coalesce(1.0::DOUBLE / (60 + b.rnk), 0) AS s FROM sem a FULL OUTER JOIN lex b ON a.id = b.id) ORDER BY round(s, 9) DESC, id LIMIT 10""")
-def d35(spark, sf):
-    sem = ranked(raw(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.round(cosine_distance("embedding", _QUERY), 9).alias("d")), 50, "d", "id").withColumnRenamed("rn", "rnk")
-    lex = ranked(raw(spark, sf, "documents").where(F.col("text").contains(" the ")).select(F.col("doc_id").alias("id"), F.size(F.split("text", " the ", -1)).alias("h")), 50, F.desc("h"), "id").withColumnRenamed("rn", "rnk")
-    return fuse([sem, lex], "id").select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(10)
-
-
-@register("D36_exact_within_key", f"SELECT vec_id FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_QUERY_SQL}), 9) AS d FROM embeddings WHERE label = 3) ORDER BY d, vec_id LIMIT 8")
-def d36(spark, sf):
-    return raw(spark, sf, "embeddings").where("label = 3").select("vec_id", F.round(cosine_distance("embedding", _QUERY), 9).alias("d")).orderBy("d", "vec_id").limit(8).select("vec_id")
-
-
-@register("D37_class_order", f"""WITH sem AS (SELECT vec_id AS id FROM (SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {_QUERY_SQL}), 9) AS d FROM embeddings) ORDER BY d, vec_id LIMIT 40), lex AS (SELECT doc_id AS id FROM documents WHERE contains(text, ' thre') ORDER BY n_chars DESC, doc_id LIMIT 40)
-    SELECT coalesce(s.id, l.id) AS id, CASE WHEN s.id IS NOT NULL AND l.id IS NOT NULL THEN 0 WHEN s.id IS NOT NULL THEN 1 ELSE 2 END AS class FROM sem s FULL OUTER JOIN lex l ON s.id = l.id""")
-def d37(spark, sf):
-    sem = raw(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.round(cosine_distance("embedding", _QUERY), 9).alias("d")).orderBy("d", "id").limit(40).select("id", F.lit(1).alias("s"))
-    lex = raw(spark, sf, "documents").where(F.col("text").contains(" thre")).orderBy(F.desc("n_chars"), "doc_id").limit(40).select(F.col("doc_id").alias("id"), F.lit(1).alias("l"))
-    return sem.join(lex, "id", "full_outer").select("id", F.when(F.col("s").isNotNull() & F.col("l").isNotNull(), 0).when(F.col("s").isNotNull(), 1).otherwise(2).alias("class"))
-
-
 @register("D38_reuse_by_hash", "SELECT doc_id, donor FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS donor FROM documents) WHERE doc_id <> donor")
 def d38(spark, sf):
     """The first document of each text is the donor of all others."""
@@ -736,9 +708,3 @@ def d58(spark, sf):
     sent = raw(spark, sf, "events").where("event_type = 'click'").select("event_id")
     t = tender(spark, sf).where(is_open()).join(sent, F.col("id") == F.col("event_id"), "left_anti")
     return top_per(t.join(F.broadcast(subs), F.col("currency") == F.col("cur")), ["sub"], 10, F.asc_nulls_last("close_at"), "id").select("sub", "id")
-
-
-@register("D59_cited_answers", "SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) AS cite, doc_id, confirmed FROM (SELECT doc_id, n_chars, contains(text, ' and ') AS confirmed FROM documents WHERE contains(text, ' the ') ORDER BY n_chars DESC, doc_id LIMIT 12)")
-def d59(spark, sf):
-    d = raw(spark, sf, "documents").where(F.col("text").contains(" the ")).select("doc_id", "n_chars", F.col("text").contains(" and ").alias("confirmed"))
-    return ranked(d, 12, F.desc("n_chars"), "doc_id").select(F.col("rn").alias("cite"), "doc_id", "confirmed")

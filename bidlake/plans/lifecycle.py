@@ -16,24 +16,6 @@ OPEN_SQL = "status = 'open' AND (close_at IS NULL OR close_at > $now)"
 
 # --- texts ---
 
-#: Bilingual groups of terms; the first names the group.
-TERM_GROUPS = [["bolt", "болт", "vint"], ["anvil", "наковальня", "sandon"], ["plate", "плита", "plita"], ["gear", "шестерня", "tishli"], ["ring", "кольцо", "halqa"]]
-
-
-def term_group(word: Column) -> Column:
-    """The group whose longest member the word begins with."""
-    members = sorted(((m, g[0]) for g in TERM_GROUPS for m in g), key=lambda x: len(x[0]))
-    out = F.lit(None).cast("string")
-    for m, name in members:  # the longest is looked at first, as it is put outermost
-        out = F.when(word.startswith(m), name).otherwise(out)
-    return out
-
-
-@register("X6_term_groups", sql("product", "SELECT product_id, CASE WHEN h LIKE 'bolt%' THEN 'bolt' WHEN h LIKE 'anvil%' THEN 'anvil' WHEN h LIKE 'plate%' THEN 'plate' WHEN h LIKE 'gear%' THEN 'gear' WHEN h LIKE 'ring%' THEN 'ring' END AS grp FROM (SELECT product_id, keywords[-1] AS h FROM product)"))
-def x6(spark, sf):
-    return product(spark, sf).select("product_id", term_group(fold(F.element_at("keywords", -1))).alias("grp"))
-
-
 def canon(c: Column) -> Column:
     """Lower case with every blank one character, so that places are those of the raw text."""
     return F.translate(F.lower(c), "\t\n\r ", "    ")
