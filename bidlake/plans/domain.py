@@ -278,26 +278,6 @@ def d13(spark, sf):
     return product(spark, sf).crossJoin(F.broadcast(used)).join(q, F.col("product_id") == F.col("l_partkey"), "left").select("product_id", F.when(F.col("used"), F.col("q")).otherwise(F.col("stock_qty")).cast("double").alias("stock"))
 
 
-#: Kinds of documents that the driver's texts speak of, by their words.
-REQUIRED = {"licence": r"licen[sc]ed? ", "reserved_rights": r"rights reserved", "public_licence": r"public license", "creative": r"cc by"}
-
-
-def required_documents(df: DataFrame, text: str) -> DataFrame:
-    """A row for each kind of document that a text asks for, with the place of the first evidence."""
-    low = F.lower(F.col(text))
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_instr(low, F.lit(p)).alias("at")) for k, p in REQUIRED.items()])
-    return df.withColumn("x", F.explode(F.filter(found, lambda x: x["at"] > 0))).select(*df.columns, "x.kind", "x.at")
-
-
-@register("D15_checklist", """WITH need AS (SELECT doc_id, kind FROM (VALUES ('licence', 'licen[sc]ed? '), ('creative', 'cc by'), ('reserved_rights', 'rights reserved'), ('public_licence', 'public license')) k(kind, p) JOIN documents ON regexp_matches(lower(text), p)), own AS (SELECT * FROM (VALUES ('licence', 'valid', 3), ('licence', 'soon', 2), ('creative', 'expired', 1)) o(kind, state, r))
-    SELECT n.doc_id, count(*) AS needed, count(o.kind) FILTER (WHERE o.state <> 'expired') AS ready, count(*) FILTER (WHERE o.kind IS NULL) AS missing FROM need n LEFT JOIN (SELECT DISTINCT ON (kind) * FROM own ORDER BY kind, r DESC) o ON n.kind = o.kind GROUP BY n.doc_id""")
-def d15(spark, sf):
-    need = required_documents(raw(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "kind")
-    own = spark.createDataFrame([("licence", "valid", 3), ("licence", "soon", 2), ("creative", "expired", 1)], "kind string, state string, r int")
-    best = top_per(own, ["kind"], 1, F.desc("r")).select("kind", "state")
-    return need.join(F.broadcast(best), "kind", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("needed"), F.count_if(F.col("state") != "expired").alias("ready"), F.count_if(F.col("state").isNull()).alias("missing"))
-
-
 # --- D16-D25: requirements, qualification, routing ---
 
 

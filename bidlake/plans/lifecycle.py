@@ -9,34 +9,12 @@ from bidlake.catalog import register
 from bidlake.functions.text import fold
 from bidlake.operators.filters import is_open
 from bidlake.operators.ordering import ranked, top_per
-from bidlake.plans.domain import REQUIRED, required_documents
 from bidlake.sources.procurement import good, now, product, raw, sql, tender
 
 OPEN_SQL = "status = 'open' AND (close_at IS NULL OR close_at > $now)"
 
 # --- texts ---
 
-def canon(c: Column) -> Column:
-    """Lower case with every blank one character, so that places are those of the raw text."""
-    return F.translate(F.lower(c), "\t\n\r ", "    ")
-
-
-@register("X10_canonical_places", "SELECT doc_id, instr(translate(lower(text), chr(9) || chr(10), '  '), ' licensed under') AS at FROM documents")
-def x10(spark, sf):
-    return raw(spark, sf, "documents").select("doc_id", F.instr(canon(F.col("text")), F.lit(" licensed under")).cast("long").alias("at"))
-
-
-def near(c: Column, first: str, second: str, within: int) -> Column:
-    """Whether two stems stand in this order with at most so many characters between."""
-    return c.rlike(rf"(?s){first}.{{0,{within}}}{second}")
-
-
-@register("X11_stem_proximity", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'licens(?s:.{0,80})version') AND NOT regexp_matches(lower(text), 'not(?s:.{0,40})licens')")
-def x11(spark, sf):
-    low = F.lower("text")
-    return raw(spark, sf, "documents").where(near(low, "licens", "version", 80) & ~near(low, "not", "licens", 40)).select("doc_id")
-
-
 @register("X19_region_alias", "SELECT n_nationkey, '33.' || n_regionkey || '.' || n_nationkey AS area_id FROM nation")
 def x19(spark, sf):
     """Names are matched without case and with one kind of apostrophe."""
@@ -194,8 +172,3 @@ def d45(spark, sf):
 def d47(spark, sf):
     e = raw(spark, sf, "events").where("event_type = 'purchase'").select("event_id").distinct().withColumn("x", F.lit(True))
     return tender(spark, sf).join(e, F.col("id") == F.col("event_id"), "left").select("id", F.coalesce("x", F.lit(False)).alias("in_erp"))
-
-
-@register("D15b_required_kinds", "SELECT kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind FROM documents WHERE regexp_matches(lower(text), '{p}')" for k, p in REQUIRED.items()) + ") GROUP BY kind")
-def d15b(spark, sf):
-    return required_documents(raw(spark, sf, "documents").select("text"), "text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
