@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bidlake.llm.common import WHITE, find_words, hash_words, library_ids, shingle_hashes, text_slices
 
-MIN_WORDS, REPEAT_PERCENT, WINDOW, MIN_TOKENS, CACHED, LONG = 20, 30, 8, 64, 200_000, 1000
+MIN_WORDS, REPEAT_PERCENT, WINDOW, MIN_TOKENS, CACHED, LONG, TOGETHER = 20, 30, 8, 64, 300_000, 1000, 1 << 18
 #: Bits of token entropy that long texts are held against; shorter ones against the logarithm of their length.
 TOP_BITS = 9.0
 #: First code point of each range and its script.
@@ -96,7 +96,7 @@ class Vocabularies:
         for c, b, i in zip(new, bare, ids, strict=True):
             if c == " ":
                 i = [self.sp.piece_to_id("▁")]
-            out[c] = np.array(i[2:] if b else i, np.uint16).tobytes(), len(library_ids(self.multi, c))
+            out[c] = np.array(i[2:] if b else i, np.uint16).tobytes(), len(self.multi.encode_ordinary(c) if len(c) <= LONG else library_ids(self.multi, c))
         if len(self.cache) + len(out) > CACHED:
             self.cache, self.older = {}, self.cache
         self.cache |= {c: x for c, x in out.items() if len(c) <= LONG}
@@ -104,17 +104,28 @@ class Vocabularies:
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
         """Piece ids (without the ids of line ends) and the number of multilingual tokens, for each text."""
-        out = []
-        for text in texts:
-            chunks = _CHUNK.findall(text)
-            chunks += [" " + c for c in chunks[:1]]
-            get = self.cache.get
-            found = [get(c) for c in chunks]
-            if None in found:
-                new = self.learn(sorted({c for c, x in zip(chunks, found, strict=True) if x is None}))
-                found = [x or new[c] for c, x in zip(chunks, found, strict=True)]
-            ids = np.frombuffer(b"".join([x[0] for x in [*found[-1:], *found[1:-1]]]), np.uint16)
-            out.append((ids[ids != self.newline], sum([x[1] for x in found[:-1]])))
+        out, first, size = [], 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= TOGETHER or k == len(texts) - 1:
+                out += self._read(texts[first : k + 1])
+                first, size = k + 1, 0
+        return out
+
+    def _read(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """Some texts together: their unknown chunks are looked up at once."""
+        get, out = self.cache.get, []
+        chunks = [_CHUNK.findall(text) for text in texts]
+        for c in chunks:
+            c += [" " + x for x in c[:1]]
+        found = [list(map(get, c)) for c in chunks]
+        new = {c for cs, xs in zip(chunks, found, strict=True) if None in xs for c, x in zip(cs, xs, strict=True) if x is None}
+        learnt = self.learn(sorted(new)) if new else {}
+        for cs, xs in zip(chunks, found, strict=True):
+            if None in xs:
+                xs = [x or learnt[c] for c, x in zip(cs, xs, strict=True)]
+            ids = np.frombuffer(b"".join([x[0] for x in [*xs[-1:], *xs[1:-1]]]), np.uint16)
+            out.append((ids[ids != self.newline], sum([x[1] for x in xs[:-1]])))
         return out
 
 
