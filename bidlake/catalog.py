@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ["operators.filters", "operators.joins", "operators.aggregates", "operators.ordering", "functions.scalars", "plans.views", "plans.domain", "plans.requirements", "plans.lifecycle", "plans.lexical", "sources.ingest", "streaming.incremental"]
+MODULES = ["operators.filters", "operators.joins", "operators.aggregates", "operators.ordering", "functions.scalars", "plans.views", "plans.domain", "plans.requirements", "plans.lifecycle", "plans.lexical", "plans.percolate", "plans.containment", "plans.cells", "sources.ingest", "streaming.incremental"]
 
 
 def _load() -> None:

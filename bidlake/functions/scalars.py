@@ -323,7 +323,12 @@ def _stems(word: str, times: int) -> str:
     return word
 
 
-@register("X5_canonical_terms", sql("product", f"""SELECT product_id, name, array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(name), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {_stems("w", 12)}), ' ') AS term FROM product"""))
+def CANONICAL_SQL(name: str) -> str:  # noqa: N802
+    """The oracle's counterpart of canonical() for Latin text."""
+    return f"array_to_string(list_transform(list_filter(string_split(regexp_replace(lower({name}), '[^0-9a-z]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: {_stems('w', 12)}), ' ')"
+
+
+@register("X5_canonical_terms", sql("product", f"""SELECT product_id, name, {CANONICAL_SQL("name")} AS term FROM product"""))
 def x5(spark, sf):
     return over_distinct(product(spark, sf).select("product_id", "name"), "name", "term", canonical)
 

@@ -18,6 +18,11 @@ def fold(c) -> Column:
     return F.translate(F.lower(_col(c)), FOLD_FROM, FOLD_TO)
 
 
+def words(c) -> Column:
+    """The words of a text in their order: runs of letters, digits and underscores, folded."""
+    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
 def contains_any(c: Column, needles: list[str]) -> Column:
     """Whether a text holds one of the literals; no pattern, so nothing to escape."""
     out = F.lit(False)

@@ -172,9 +172,12 @@ def j16(spark, sf):
     (SELECT p.code, g.name AS g_name, p.name, len(list_intersect({_TRI.format("g.name")}, {_TRI.format("p.name")})) / len(list_distinct(list_concat({_TRI.format("g.name")}, {_TRI.format("p.name")}))) AS sim
      FROM (SELECT DISTINCT substr(good_code, 1, 2) AS code, name FROM good) g JOIN (SELECT DISTINCT substr(code, 1, 2) AS code, name FROM product WHERE company_id = 2 AND code IS NOT NULL) p ON g.code = p.code) WHERE sim >= 0.05) WHERE r = 1 GROUP BY code, g_name"""))
 def j17(spark, sf):
+    """Names are compared once, whatever codes they share, and only those that share rare trigrams; the codes are joined on afterwards."""
     g = good(spark, sf).select(F.substring("good_code", 1, 2).alias("code"), F.col("name").alias("g_name")).distinct()
     p = product(spark, sf).where("company_id = 2 AND code IS NOT NULL").select(F.substring("code", 1, 2).alias("code"), "name").distinct()
-    j = g.join(p, "code").withColumn("sim", jaccard(trigrams("g_name"), trigrams("name"))).where("sim >= 0.05")
+    names = lambda df, c: df.select(c).distinct().withColumn("id", F.col(c))
+    near = similar(names(g, "g_name"), "id", "g_name", names(p, "name"), "id", "name", 0.05).select(F.col("lid").alias("g_name"), F.col("rid").alias("name"), "sim")
+    j = g.join(near, "g_name").join(p, ["code", "name"])
     return j.groupBy("code", "g_name").agg(F.max(F.struct("sim", "name"))["name"].alias("product"))
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.catalog import register
-from bidlake.functions.scalars import category_of, round2
-from bidlake.functions.text import fold, word_starts
+from bidlake.functions.scalars import category_of, over_distinct, round2, spellings
+from bidlake.functions.text import fold, word_starts, words
 from bidlake.operators.filters import in_region, is_open
 from bidlake.operators.joins import fuse
 from bidlake.operators.ordering import _QUERY, _QUERY_SQL, cosine_distance, ranked, top_per
-from bidlake.plans.rewrites import code_prefix_join, patterns_in
+from bidlake.plans.rewrites import code_prefix_join, patterns_in, terms_in
 from bidlake.session import ship
 from bidlake.sources.procurement import good, now, product, raw, sql, tender
 
@@ -26,13 +26,13 @@ POINTS = {"keywords": 60.0, "region": 20.0, "budget": 15.0, "currency": 5.0}
 
 
 def score(keywords: list[str], regions: list[str], low: float | None, high: float | None, currency: str | None) -> Column:
-    """A struct of a tender's points and reasons against a profile; unset parts give half their points."""
+    """A struct of a tender's points and reasons against a profile; of unset parts keywords give nothing, the others half their points."""
     text = fold(F.concat_ws(" ", "title", "goods"))
     hits = [word_starts(text, k).cast("int") for k in keywords]
     matched = reduce(lambda a, b: a + b, hits, F.lit(0))
-    kw = POINTS["keywords"] * matched / len(keywords) if keywords else F.lit(POINTS["keywords"] / 2)
+    kw = POINTS["keywords"] * matched / len(keywords) if keywords else F.lit(0.0)
     region = F.when(in_region(F.col("area_path"), regions), POINTS["region"]).otherwise(0.0) if regions else F.lit(POINTS["region"] / 2)
-    comparable = (F.col("currency") == currency) & F.col("totalcost").isNotNull() if currency else F.lit(False)
+    comparable = F.col("totalcost").isNotNull() & (F.coalesce(F.col("currency") == currency, F.lit(False)) if currency else F.lit(True))
     inside = (F.col("totalcost") >= (low or 0)) & (F.col("totalcost") <= (high if high is not None else 1e18))
     budget = F.when(comparable, F.when(inside, POINTS["budget"]).otherwise(0.0)).otherwise(POINTS["budget"] / 2) if low is not None or high is not None else F.lit(POINTS["budget"] / 2)
     cur = F.when(F.col("currency") == currency, POINTS["currency"]).otherwise(0.0) if currency else F.lit(POINTS["currency"] / 2)
@@ -58,9 +58,9 @@ def _score_sql(keywords: list[str], regions: list[str], low: float | None, high:
     hits = " + ".join(map(_HIT, keywords))
     inside = f"totalcost >= {low or 0} AND totalcost <= {high if high is not None else 1e18}"
     parts = [
-        f"60.0::DOUBLE * ({hits}) / {len(keywords)}" if keywords else "30.0::DOUBLE",
+        f"60.0::DOUBLE * ({hits}) / {len(keywords)}" if keywords else "0.0::DOUBLE",
         "CASE WHEN " + " OR ".join(f"area_path = '{r}' OR area_path LIKE '{r}.%'" for r in regions) + " THEN 20 ELSE 0 END" if regions else "10",
-        ("7.5" if not currency else f"CASE WHEN currency = '{currency}' AND totalcost IS NOT NULL THEN CASE WHEN {inside} THEN 15 ELSE 0 END ELSE 7.5 END") if low is not None or high is not None else "7.5",
+        f"CASE WHEN {f'currency = {currency!r} AND ' if currency else ''}totalcost IS NOT NULL THEN CASE WHEN {inside} THEN 15 ELSE 0 END ELSE 7.5 END" if low is not None or high is not None else "7.5",
         f"CASE WHEN currency = '{currency}' THEN 5 ELSE 0 END" if currency else "2.5",
     ]
     return "CAST(round_even(" + " + ".join(parts) + ", 0) AS INTEGER)"
@@ -129,37 +129,17 @@ def d6(spark, sf):
     return tender(spark, sf).where(is_open()).join(best, F.col("id") == F.col("tender_id")).select("id", "score", (~in_region(F.col("area_path"), ["33.2"])).alias("outside"))
 
 
-#: Parameters of the query: a company's profile and its saved searches (keywords, regions, least and most budget, currency).
+#: Parameters of the query: a company's profile (keywords, regions, least and most budget, currency).
 PROFILE = (["anvil", "bolt", "plate"], ["33.1"], 50_000, 300_000, "USD")
-SEARCHES = {"red_in_rub": (["red"], ["33.2"], None, 150_000, "RUB"), "gears": (["gear", "gizmo"], [], None, None, "EUR")}
 
 
-def notification(cands: DataFrame, goods: DataFrame, products: DataFrame, profile: tuple, searches: dict[str, tuple]) -> DataFrame:
-    """The best of three scores for each tender, and where it comes from.
-
-    The catalogue gives 100 where a good has a product's confirmed code, 60 where a name without
-    one stands in a good's name; the profile and each saved search give score(). The catalogue wins
-    ties, then the profile, then the search that comes first; nothing found has no source.
-    """
+def catalogue_scores(goods: DataFrame, products: DataFrame) -> DataFrame:
+    """tender_id, c: 100 where a good has a product's confirmed code, 60 where the name of a product without one stands in a good's name."""
     codes = products.where("code IS NOT NULL").select("code").distinct()
     coded = code_prefix_join(goods.select("tender_id", "good_code"), "good_code", codes, "code").select("tender_id", F.lit(100).alias("c"))
     names = patterns_in(goods.select("name").distinct(), "name", products.where("code IS NULL"), "name").select(goods["name"]).distinct()
     named = goods.join(names, "name", "left_semi").select("tender_id", F.lit(60).alias("c"))
-    catalogue = coded.unionByName(named).groupBy("tender_id").agg(F.max("c").alias("c"))
-    t = cands.join(catalogue, F.col("id") == F.col("tender_id"), "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("p", score(*profile)["score"])
-    found = F.array(*[F.struct(score(*q)["score"].alias("score"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, q) in enumerate(searches.items())])
-    t = t.withColumn("s", F.array_max(found))
-    search = F.col("s.score") > F.col("p")
-    other = F.greatest(F.col("p"), F.col("s.score"))
-    source = F.when((F.col("c") >= other) & (F.col("c") > 0), "catalog").when(F.col("c") >= other, None).when(search, "search").otherwise("profile")
-    return t.select("id", F.greatest("c", other).alias("score"), source.alias("source"), F.when((F.col("c") < other) & search, F.col("s.name")).alias("search"))
-
-
-@register("D7_notification_score", sql("tender good product", f""", {_CAND}, x AS (SELECT id, CASE WHEN id IN (SELECT tender_id FROM good g JOIN (SELECT DISTINCT code FROM product WHERE company_id = 3 AND code IS NOT NULL) k ON starts_with(g.good_code, k.code)) THEN 100
-        WHEN id IN (SELECT tender_id FROM good g JOIN (SELECT DISTINCT name FROM product WHERE company_id = 3 AND code IS NULL) k ON contains(' ' || g.name || ' ', ' ' || k.name || ' ')) THEN 60 ELSE 0 END AS c, {_score_sql(*PROFILE)} AS p, {_score_sql(*SEARCHES["red_in_rub"])} AS s1, {_score_sql(*SEARCHES["gears"])} AS s2 FROM cand WHERE {OPEN_SQL})
-    SELECT id, greatest(c, p, s1, s2) AS score, CASE WHEN c >= greatest(p, s1, s2) THEN CASE WHEN c > 0 THEN 'catalog' END WHEN greatest(s1, s2) > p THEN 'search' ELSE 'profile' END AS source, CASE WHEN c < greatest(p, s1, s2) AND greatest(s1, s2) > p THEN CASE WHEN s1 >= s2 THEN 'red_in_rub' ELSE 'gears' END END AS search FROM x"""))
-def d7(spark, sf):
-    return notification(candidates(spark, sf).where(is_open()), good(spark, sf), product(spark, sf).where("company_id = 3"), PROFILE, SEARCHES)
+    return coded.unionByName(named).groupBy("tender_id").agg(F.max("c").alias("c"))
 
 
 @register("D8_new_candidates", sql("tender", f"SELECT id FROM tender WHERE {OPEN_SQL} AND published_at > $now - INTERVAL '180 days' AND id NOT IN (SELECT event_id FROM events WHERE event_type = 'view') ORDER BY close_at NULLS LAST, id LIMIT 50"))
@@ -169,16 +149,6 @@ def d8(spark, sf):
     return t.join(sent, F.col("id") == F.col("event_id"), "left_anti").orderBy(F.asc_nulls_last("close_at"), "id").limit(50).select("id")
 
 
-@register("D9_saved_search_counts", sql("tender", "SELECT s.sid, count(t.id) AS n, count(t.id) FILTER (WHERE t.published_at > TIMESTAMP '1998-01-01 00:00:00') AS n_new FROM (VALUES (1, 'USD', '33.1'), (2, 'EUR', '33.3'), (3, 'XXX', '33.0')) s(sid, cur, reg) LEFT JOIN tender t ON t.currency = s.cur AND t.area_path LIKE s.reg || '.%' GROUP BY s.sid"))
-def d9(spark, sf):
-    from bidlake.plans.rewrites import prefix_join
-
-    s = spark.createDataFrame([(1, "USD", "33.1"), (2, "EUR", "33.3"), (3, "XXX", "33.0")], "sid int, cur string, reg string")
-    hits = prefix_join(tender(spark, sf).select("id", "currency", "area_path", "published_at"), "area_path", F.broadcast(s), "reg").where("currency = cur")
-    got = hits.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("published_at") > F.lit("1998-01-01").cast("timestamp")).alias("n_new"))
-    return s.join(got, "sid", "left").select("sid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
-
-
 # --- D10-D15: pricing, stock, documents ---
 
 
@@ -241,33 +211,75 @@ def d11(spark, sf):
     return price_inputs(t, settings, _estimates(spark, sf, "purchase"), _estimates(spark, sf, "click"))
 
 
+STALE_DAYS = 14
+
+
+def matched_products(positions: DataFrame, products: DataFrame) -> DataFrame:
+    """name, product_id: for each position's name the product with the longest term (name or keyword, in any spelling) that stands in it; of equals the smallest id."""
+    terms = products.select("product_id", F.explode(F.concat(F.array("name"), F.coalesce("keywords", F.array().cast("array<string>")))).alias("term")).where("term <> ''").distinct()
+    spelt = over_distinct(terms, "term", "spelt", spellings).withColumn("n", F.length("term")).withColumn("kw", F.explode("spelt")).withColumn("kw", F.array_join(words(F.col("kw")), " "))
+    best = spelt.groupBy("kw").agg(F.max(F.struct("n", (-F.col("product_id")).alias("k"))).alias("b"))
+    texts = positions.select("name").distinct().withColumn("t", F.array_join(words(F.col("name")), " "))
+    found = terms_in(texts, "t", best, "kw").join(best, "kw").groupBy("t").agg(F.max("b").alias("b"))
+    return texts.join(found, "t").select("name", (-F.col("b.k")).alias("product_id"))
+
+
 def stock_check(positions: DataFrame, products: DataFrame) -> DataFrame:
-    """Positions against the stock of the product of the same name, one tender at a time, in order.
+    """Positions against the stock of the product that their name speaks of, one tender at a time, in order.
 
     A position takes what it needs from the pool; an unknown need or another unit leaves the
-    pool as it is; the first that finds too little takes what there is, and what follows finds
-    nothing. Up to that first one the pool is the stock less a running sum, so windows will do.
+    pool as it is (a unit that isn't told differs from none); the first that finds too little takes what there is, and what follows finds
+    nothing. Up to that first one the pool is the stock less a running sum, so windows will do. Positions without a product are unmatched.
     """
-    p = products.select("product_id", F.col("name").alias("p_name"), F.col("unit").alias("stock_unit"), F.col("stock_qty").alias("stock"))
-    j = positions.join(p, F.col("name") == F.col("p_name"))
-    counts = F.col("stock").isNotNull() & F.col("amount").isNotNull() & (F.col("unit") == F.col("stock_unit"))
+    p = products.select("product_id", F.col("unit").alias("stock_unit"), F.col("stock_qty").alias("stock"))
+    j = positions.join(matched_products(positions, products), "name", "left").join(p, "product_id", "left")
+    same = F.col("unit").isNull() | F.col("stock_unit").isNull() | (F.col("unit") == F.col("stock_unit"))
+    counts = F.col("stock").isNotNull() & F.col("amount").isNotNull() & same
     order = Window.partitionBy("tender_id", "product_id").orderBy("lot_id", "good_no", "part_id")
     used = F.sum(F.when(counts, F.col("amount"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     j = j.withColumn("counts", counts).withColumn("used", used)
     over = F.coalesce(F.max((F.col("counts") & (F.col("used") > F.col("stock"))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
     pool = F.when(over, F.lit(0)).otherwise(F.col("stock") - F.col("used") + F.col("amount"))
     j = j.withColumn("pool", pool)
-    state = F.when(F.col("stock").isNull(), "unknown_stock").when(F.col("amount").isNull(), "unknown_need").when(~F.col("counts"), "unit_differs").when(F.col("amount") <= F.col("pool"), "enough").otherwise("short")
+    state = F.when(F.col("product_id").isNull(), "unmatched").when(F.col("stock").isNull(), "unknown_stock").when(F.col("amount").isNull(), "unknown_need").when(~F.col("counts"), "unit_differs").when(F.col("amount") <= F.col("pool"), "enough").otherwise("short")
     taken = F.when(F.col("counts"), F.least("amount", "pool")).otherwise(0)
     return j.select("tender_id", "product_id", "lot_id", "good_no", "part_id", F.col("amount").cast("double").alias("need"), taken.cast("double").alias("taken"), state.alias("state"))
 
 
-@register("D12_stock_check", sql("good product", """, p AS (SELECT DISTINCT ON (name) * FROM product WHERE company_id = 1 ORDER BY name, product_id), j AS (SELECT g.*, p.product_id, p.stock_qty AS stock, p.unit AS stock_unit, p.stock_qty IS NOT NULL AND g.unit = p.unit AS ok, row_number() OVER (PARTITION BY tender_id, product_id ORDER BY lot_id, good_no, part_id) AS rn FROM good g JOIN p ON g.name = p.name),
-    c AS (SELECT a.*, coalesce((SELECT sum(b.amount) FROM j b WHERE b.tender_id = a.tender_id AND b.product_id = a.product_id AND b.ok AND b.rn < a.rn), 0) AS before FROM j a)
-    SELECT tender_id, product_id, lot_id, good_no, part_id, CAST(amount AS DOUBLE) AS need, CASE WHEN ok THEN CAST(least(amount, greatest(stock - before, 0)) AS DOUBLE) ELSE 0 END AS taken, CASE WHEN stock IS NULL THEN 'unknown_stock' WHEN NOT ok THEN 'unit_differs' WHEN amount <= greatest(stock - before, 0) THEN 'enough' ELSE 'short' END AS state FROM c"""))
+def stock_summary(checked: DataFrame, products: DataFrame, at: Column) -> DataFrame:
+    """A row a tender: positions by state, how old the oldest stock figure of its products is, and whether that makes the check preliminary.
+
+    products: product_id, stock_qty, updated_at. No stock figure at all, none with a date, or one older than STALE_DAYS makes it so.
+    """
+    n = lambda *states: F.count_if(F.col("state").isin(*states))
+    counts = checked.groupBy("tender_id").agg(F.count(F.lit(1)).alias("positions"), n("enough").alias("enough"), n("short").alias("short"), n("unknown_stock", "unknown_need", "unit_differs").alias("unknown"), n("unmatched").alias("unmatched"))
+    used = checked.where("product_id IS NOT NULL").select("tender_id", "product_id").distinct().join(products.select("product_id", "stock_qty", "updated_at"), "product_id")
+    age = used.groupBy("tender_id").agg(F.count(F.lit(1)).alias("products"), F.count("stock_qty").alias("known"), F.min("updated_at").alias("oldest"))
+    j = counts.join(age, "tender_id", "left").withColumn("age_days", F.greatest(F.floor((F.unix_timestamp(at) - F.unix_timestamp("oldest")) / 86400), F.lit(0)))
+    warning = F.when(F.coalesce("known", F.lit(0)) == 0, "no_stock").when(F.col("oldest").isNull(), "no_date").when(F.col("age_days") > STALE_DAYS, "stale")
+    return j.select("tender_id", "positions", "enough", "short", "unknown", "unmatched", F.coalesce("products", F.lit(0)).alias("products"), "age_days", warning.alias("warning"), warning.isNotNull().alias("preliminary"))
+
+
+_MATCHED_SQL = """, pr AS (SELECT product_id, name, stock_qty, unit, keywords FROM product WHERE company_id = 1), tm AS (SELECT product_id, unnest(list_distinct([name] || keywords)) AS term FROM pr),
+    mp AS (SELECT DISTINCT ON (g_name) g_name, product_id FROM (SELECT DISTINCT name AS g_name FROM good) JOIN tm ON contains(' ' || g_name, ' ' || term) ORDER BY g_name, length(term) DESC, product_id),
+    j AS (SELECT g.*, m.product_id, p.stock_qty AS stock, p.unit AS stock_unit, p.stock_qty IS NOT NULL AND (g.unit IS NULL OR p.unit IS NULL OR g.unit = p.unit) AS ok, row_number() OVER (PARTITION BY tender_id, m.product_id ORDER BY lot_id, good_no, part_id) AS rn FROM good g LEFT JOIN mp m ON g.name = m.g_name LEFT JOIN pr p ON p.product_id = m.product_id),
+    c AS (SELECT a.*, coalesce((SELECT sum(b.amount) FROM j b WHERE b.tender_id = a.tender_id AND b.product_id = a.product_id AND b.ok AND b.rn < a.rn), 0) AS before FROM j a),
+    ck AS (SELECT tender_id, product_id, lot_id, good_no, part_id, CAST(amount AS DOUBLE) AS need, CASE WHEN ok THEN CAST(least(amount, greatest(stock - before, 0)) AS DOUBLE) ELSE 0 END AS taken, CASE WHEN product_id IS NULL THEN 'unmatched' WHEN stock IS NULL THEN 'unknown_stock' WHEN NOT ok THEN 'unit_differs' WHEN amount <= greatest(stock - before, 0) THEN 'enough' ELSE 'short' END AS state FROM c)"""
+
+
+@register("D12_stock_check", sql("good product", f"{_MATCHED_SQL} SELECT * FROM ck"))
 def d12(spark, sf):
-    first = top_per(product(spark, sf).where("company_id = 1"), ["name"], 1, "product_id")
-    return stock_check(good(spark, sf), first)
+    return stock_check(good(spark, sf), product(spark, sf).where("company_id = 1"))
+
+
+@register("D12b_stock_summary", sql("good product", f"""{_MATCHED_SQL}, up AS (SELECT part_id AS product_id, max(shipped_at) AS updated_at FROM good WHERE shipped_at <= $now GROUP BY 1), ag AS (SELECT tender_id, count(*) AS products, count(stock_qty) AS known, min(updated_at) AS oldest FROM (SELECT DISTINCT tender_id, product_id FROM ck WHERE product_id IS NOT NULL) JOIN pr USING (product_id) LEFT JOIN up USING (product_id) GROUP BY tender_id),
+    ct AS (SELECT tender_id, count(*) AS positions, count(*) FILTER (WHERE state = 'enough') AS enough, count(*) FILTER (WHERE state = 'short') AS short, count(*) FILTER (WHERE state IN ('unknown_stock', 'unit_differs')) AS unknown, count(*) FILTER (WHERE state = 'unmatched') AS unmatched FROM ck GROUP BY tender_id)
+    SELECT tender_id, positions, enough, short, unknown, unmatched, coalesce(products, 0) AS products, age_days, warning, warning IS NOT NULL AS preliminary FROM (SELECT *, CASE WHEN coalesce(known, 0) = 0 THEN 'no_stock' WHEN oldest IS NULL THEN 'no_date' WHEN age_days > {STALE_DAYS} THEN 'stale' END AS warning FROM (SELECT *, greatest(floor(epoch($now - oldest) / 86400), 0)::BIGINT AS age_days FROM ct LEFT JOIN ag USING (tender_id)))"""))
+def d12b(spark, sf):
+    """A product's stock figure is as old as its last shipment."""
+    g, own = good(spark, sf), product(spark, sf).where("company_id = 1")
+    moved = g.where(F.col("shipped_at") <= now()).groupBy(F.col("part_id").alias("product_id")).agg(F.max("shipped_at").cast("timestamp").alias("updated_at"))
+    return stock_summary(stock_check(g, own), own.join(moved, "product_id", "left"), now())
 
 
 @register("D13_external_stock", sql("product", "SELECT product_id, CAST(CASE WHEN (SELECT count(*) FROM lineitem) > 0 THEN m.q ELSE stock_qty END AS DOUBLE) AS stock FROM product LEFT JOIN (SELECT l_partkey, sum(CAST(l_quantity AS DECIMAL(18,3))) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey) m ON product_id = l_partkey"))
@@ -471,96 +483,6 @@ def d27(spark, sf):
     return e.orderBy(F.desc("s"), "vec_id").limit(20).select("vec_id")
 
 
-@register("D27b_hub_bias", """WITH n AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) AS k FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, round(avg(s), 6) AS hub FROM s WHERE k <= 10 GROUP BY vec_id""")
-def d27b(spark, sf):
-    """Mean similarity to the ten nearest vectors of the same label; the label bounds what is compared."""
-    ship(spark)
-    near = nearest_vectors(raw(spark, sf, "embeddings"), "vec_id", "label", "embedding", 10)
-    return near.groupBy(F.col("id").alias("vec_id")).agg(F.round(F.avg("s"), 6).alias("hub"))
-
-
-BLOCK = 512
-
-
-def nearest_vectors(df: DataFrame, key: str, group: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
-    """The k rows of the same group whose vectors have the greatest cosine, ties by key: (id, other, s).
-
-    Each group is dealt into blocks of about `block` vectors, and blocks, not vectors, are paired: a
-    pair of blocks is one matrix product and gives k rows for each of its vectors, of which the best k of all
-    blocks stay. The products still grow with the square of a group, what is moved with its square over `block`.
-    """
-    rows = df.select(F.col(key).alias("id"), F.col(group).alias("g"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = rows.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    blocks = dealt.groupBy("g", "b").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    pairs = blocks.join(blocks.select("g", F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2")), "g")
-
-    def compare(batches):
-        import numpy as np
-        import pandas as pd
-
-        unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-        for pdf in batches:
-            for ids, vs, ids2, vs2 in zip(pdf["ids"], pdf["vs"], pdf["ids2"], pdf["vs2"], strict=True):
-                ids, ids2 = np.asarray(ids), np.asarray(ids2)
-                s = unit(np.stack(vs)) @ unit(np.stack(vs2)).T
-                s[ids[:, None] == ids2[None, :]] = -2.0
-                order = np.lexsort((np.broadcast_to(ids2, s.shape), -s))[:, :k]
-                best = np.take_along_axis(s, order, axis=1)
-                out = pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": ids2[order].ravel(), "s": best.ravel()})
-                yield out[out["s"] > -2.0]
-
-    kind = df.schema[key].dataType.simpleString()
-    found = pairs.select("ids", "vs", "ids2", "vs2").repartition("ids", "ids2").mapInPandas(compare, f"id {kind}, other {kind}, s double")
-    return top_per(found, ["id"], k, F.desc("s"), "other").select("id", "other", "s")
-
-
-TOKENS, EVIDENCE, SHARE = 4, 2, 75
-
-
-def code_evidence(products: DataFrame, goods: DataFrame) -> DataFrame:
-    """What goods say about the code of each product name: name, reason, code.
-
-    A name's tokens are its first TOKENS words. Goods whose words are all among them are evidence
-    for their whole code; it is the product's code where EVIDENCE goods or more, and SHARE percent
-    of all, have it, its family where only the first five characters reach that. products: name; goods: name, good_code.
-    """
-    words = lambda c: F.array_distinct(F.split(F.trim(F.lower(c)), r"\s+"))
-    p = products.select("name").distinct().withColumn("words", F.filter(F.slice(words(F.col("name")), 1, TOKENS), lambda w: w != ""))
-    seen = goods.groupBy(F.col("name").alias("good"), "good_code").agg(F.count(F.lit(1)).alias("n"))
-    lots = seen.select("good").distinct().withColumn("size", F.size(words(F.col("good"))))
-    pairs = p.select("name", F.explode("words").alias("w")).join(lots.select("good", "size", F.explode(words(F.col("good"))).alias("w")), "w").groupBy("name", "good", "size").agg(F.count(F.lit(1)).alias("k")).where("k = size")
-    ev = pairs.join(seen, "good").groupBy("name", "good_code").agg(F.sum("n").alias("n"))
-    first = lambda n, code: F.min(F.struct((-F.col(n)).alias("n"), F.col(code).alias("code")))
-    families = ev.groupBy("name", F.substring("good_code", 1, 5).alias("family")).agg(F.sum("n").alias("m"), first("n", "good_code").alias("t"))
-    top = families.groupBy("name").agg(F.sum("m").alias("total"), first("m", "family").alias("f"), F.min("t").alias("t"))
-    enough = lambda x: -F.col(f"{x}.n") * 100 >= F.col("total") * SHARE
-    reason = F.when(F.size("words") == 0, "no_tokens").when(F.col("total").isNull(), "no_evidence").when(-F.col("t.n") < EVIDENCE, "weak").when(enough("t"), "code").when(enough("f"), "family").otherwise("mixed")
-    out = p.join(top, "name", "left").withColumn("reason", reason)
-    return out.select("name", "reason", F.when(F.col("reason") == "code", F.col("t.code")).when(F.col("reason") == "family", F.col("f.code")).alias("code"))
-
-
-@register("D28_evidence_classifier", sql("product good", f""", p AS (SELECT DISTINCT name, list_distinct(string_split(lower(name), ' ')) AS w FROM product WHERE code IS NULL), g AS (SELECT name AS good, good_code, list_distinct(string_split(lower(name), ' ')) AS gw, count(*) AS n FROM good GROUP BY ALL),
-    ev AS (SELECT p.name, good_code, sum(n) AS n FROM p JOIN g ON list_has_all(p.w[1:{TOKENS}], g.gw) GROUP BY ALL), tot AS (SELECT name, sum(n) AS total FROM ev GROUP BY name), t AS (SELECT DISTINCT ON (name) name, good_code, n FROM ev ORDER BY name, n DESC, good_code),
-    f AS (SELECT DISTINCT ON (name) name, fam, n FROM (SELECT name, substr(good_code, 1, 5) AS fam, sum(n) AS n FROM ev GROUP BY ALL) ORDER BY name, n DESC, fam),
-    r AS (SELECT p.name, CASE WHEN tot.total IS NULL THEN 'no_evidence' WHEN t.n < {EVIDENCE} THEN 'weak' WHEN t.n * 100 >= total * {SHARE} THEN 'code' WHEN f.n * 100 >= total * {SHARE} THEN 'family' ELSE 'mixed' END AS reason, t.good_code, f.fam FROM p LEFT JOIN tot USING (name) LEFT JOIN t USING (name) LEFT JOIN f USING (name))
-    SELECT name, reason, CASE reason WHEN 'code' THEN good_code WHEN 'family' THEN fam END AS code FROM r"""))
-def d28(spark, sf):
-    return code_evidence(product(spark, sf).where("code IS NULL"), good(spark, sf))
-
-
-@register("D29_policy_gate", sql("good", "SELECT name, CASE WHEN fams = 1 AND n >= 5 THEN 'auto' WHEN n >= 2 THEN 'queue' ELSE 'none' END AS decision FROM (SELECT name, count(DISTINCT substr(good_code, 1, 2)) AS fams, count(*) AS n FROM good GROUP BY name)"))
-def d29(spark, sf):
-    g = good(spark, sf).groupBy("name").agg(F.countDistinct(F.substring("good_code", 1, 2)).alias("fams"), F.count(F.lit(1)).alias("n"))
-    return g.select("name", F.when((F.col("fams") == 1) & (F.col("n") >= 5), "auto").when(F.col("n") >= 2, "queue").otherwise("none").alias("decision"))
-
-
-@register("D30_head_noun_conflict", sql("product", "SELECT head, count(DISTINCT substr(code, 1, 2)) AS fams, count(DISTINCT substr(code, 1, 2)) > 3 AS conflict FROM (SELECT keywords[-1] AS head, code FROM product WHERE code IS NOT NULL) GROUP BY head"))
-def d30(spark, sf):
-    g = product(spark, sf).where("code IS NOT NULL").groupBy(F.element_at("keywords", -1).alias("head")).agg(F.countDistinct(F.substring("code", 1, 2)).alias("fams"))
-    return g.withColumn("conflict", F.col("fams") > 3)
-
-
 @register("D31_business_value", sql("good tender", f"SELECT g.name, count(DISTINCT t.id) AS n_open, CAST(sum(g.totalcost_item) AS DOUBLE) AS value FROM good g JOIN tender t ON g.tender_id = t.id WHERE {OPEN_SQL} AND (contains(g.name, 'red') OR contains(g.name, 'blue')) GROUP BY g.name"))
 def d31(spark, sf):
     t = tender(spark, sf).where(is_open()).select("id")
@@ -665,15 +587,6 @@ def d49(spark, sf):
     return raw(spark, sf, "documents").select("doc_id", "n_chars").join(raw(spark, sf, "labels"), "doc_id", "left").where(person | sure).select("doc_id", person.alias("by_person"), sure.alias("by_confidence"))
 
 
-@register("D55_what_if", sql("good", "SELECT p.preset, count(*) FILTER (WHERE n >= p.least AND fams <= p.most) AS covered, count(*) AS total FROM (SELECT name, count(*) AS n, count(DISTINCT substr(good_code, 1, 2)) AS fams FROM good GROUP BY name) CROSS JOIN (VALUES ('strict', 50, 3), ('middle', 20, 10), ('loose', 2, 99)) p(preset, least, most) GROUP BY p.preset"))
-def d55(spark, sf):
-    """Rule presets over the same evidence: the presets are a fixed handful, so each is a conditional count and nothing is crossed."""
-    g = good(spark, sf).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.substring("good_code", 1, 2)).alias("fams"))
-    presets = [("strict", 50, 3), ("middle", 20, 10), ("loose", 2, 99)]
-    one = g.agg(F.count(F.lit(1)).alias("total"), *[F.count_if((F.col("n") >= a) & (F.col("fams") <= b)).alias(p) for p, a, b in presets])
-    return one.select("total", F.explode(F.array(*[F.struct(F.lit(p).alias("preset"), F.col(p).alias("covered")) for p, _, _ in presets])).alias("x")).select("x.preset", "x.covered", "total")
-
-
 @register("D57_actor_sync", "SELECT coalesce(a.user_id, b.c_custkey) AS actor, CASE WHEN a.user_id IS NULL THEN 'not_seen' WHEN b.c_custkey IS NULL THEN 'unmapped' ELSE 'mapped' END AS state FROM (SELECT DISTINCT user_id FROM events) a FULL OUTER JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) b ON a.user_id = b.c_custkey")
 def d57(spark, sf):
     a = raw(spark, sf, "events").select("user_id").distinct()
@@ -682,9 +595,3 @@ def d57(spark, sf):
     return a.join(b, a.user_id == b.c_custkey, "full_outer").select(F.coalesce("user_id", "c_custkey").alias("actor"), state.alias("state"))
 
 
-@register("D58_notification_run", sql("tender", f"SELECT sub, id FROM (SELECT s.sub, t.id, row_number() OVER (PARTITION BY s.sub ORDER BY t.close_at NULLS LAST, t.id) AS rn FROM tender t JOIN (VALUES ('mail', 'USD'), ('bot', 'EUR'), ('web', 'USD')) s(sub, cur) ON t.currency = s.cur WHERE {OPEN_SQL} AND t.id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')) WHERE rn <= 10"))
-def d58(spark, sf):
-    subs = spark.createDataFrame([("mail", "USD"), ("bot", "EUR"), ("web", "USD")], "sub string, cur string")
-    sent = raw(spark, sf, "events").where("event_type = 'click'").select("event_id")
-    t = tender(spark, sf).where(is_open()).join(sent, F.col("id") == F.col("event_id"), "left_anti")
-    return top_per(t.join(F.broadcast(subs), F.col("currency") == F.col("cur")), ["sub"], 10, F.asc_nulls_last("close_at"), "id").select("sub", "id")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bidlake.catalog import register
 from bidlake.functions.scalars import SPELLINGS_SQL, over_distinct, spellings
-from bidlake.functions.text import FOLD_FROM, FOLD_TO, fold
+from bidlake.functions.text import FOLD_FROM, FOLD_TO, words
 from bidlake.operators.filters import is_open
 from bidlake.operators.ordering import top_per
 from bidlake.plans.requirements import request_texts, texts_sql
@@ -56,11 +56,6 @@ BEGINNINGS = sorted({(m.lower().translate(_TABLE), name) for name, members in TE
 WEIGHT, SALTS = 0.1, 16
 
 
-def words(c: str | Column) -> Column:
-    """The words of a text in their order: runs of letters, digits and underscores, folded."""
-    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-
-
 def notion(word: Column) -> Column:
     """The notion of the longest beginning that a folded word has; null if none."""
     known = F.array(*[F.struct(F.lit(len(b)).alias("n"), F.lit(b).alias("b"), F.lit(name).alias("name")) for b, name in BEGINNINGS if len(b) >= 3])

@@ -119,15 +119,6 @@ def d53(spark, sf):
     return attached(p, s)
 
 
-@register("D54_reevaluate_codes", sql("product good", "SELECT p.product_id, coalesce(e.n, 0) AS evidence, coalesce(e.n, 0) < 3 AS flagged FROM product p LEFT JOIN (SELECT name, substr(good_code, 1, 2) AS fam, count(*) AS n FROM good GROUP BY ALL) e ON e.name = p.name AND e.fam = substr(p.code, 1, 2) WHERE p.code IS NOT NULL"))
-def d54(spark, sf):
-    """Active codes with too little evidence are flagged; none is taken back."""
-    p = product(spark, sf).where("code IS NOT NULL").select("product_id", "name", F.substring("code", 1, 2).alias("fam"))
-    e = good(spark, sf).groupBy("name", F.substring("good_code", 1, 2).alias("fam")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return p.join(e, ["name", "fam"], "left").select("product_id", n.alias("evidence"), (n < 3).alias("flagged"))
-
-
 @register("D56_why_no_suggestion", sql("product good", "SELECT p.product_id, CASE WHEN d.name IS NULL THEN 'not_in_dictionary' WHEN d.n < 5 THEN 'too_few' ELSE 'should_have' END AS why FROM product p LEFT JOIN (SELECT name, count(*) AS n FROM good WHERE amount > 30 GROUP BY name) d ON d.name = p.name WHERE p.code IS NULL"))
 def d56(spark, sf):
     d = good(spark, sf).where("amount > 30").groupBy("name").agg(F.count(F.lit(1)).alias("n"))

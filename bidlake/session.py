@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -46,3 +48,31 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)  # the driver serves it from here for as long as it lives
     atexit.register(lambda: os.path.exists(path) and os.unlink(path))
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, spark.checkpoint.dir; one of our own where it is unset and the session is a single process."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bidlake-"))
+        path = sc.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def _remove(files, place) -> None:
+    try:
+        files.delete(place, True)
+    except Exception:  # noqa: BLE001  the JVM is gone already
+        pass
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, for what several branches of a plan read: it is made once, and a lost executor costs its tasks only. The table goes as the driver ends."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    atexit.register(_remove, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
+    df.write.parquet(place.toString())
+    return spark.read.schema(df.schema).parquet(place.toString())

@@ -434,7 +434,7 @@ def soft_deleted(old: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def sanitized(df: DataFrame, column: str, dim: DataFrame, dim_key: str) -> DataFrame:
     """Unknown references become null; what was sent stays in <column>_raw."""
     d = dim.select(F.col(dim_key).alias("__k")).distinct()
-    return df.join(F.broadcast(d), F.col(column) == F.col("__k"), "left").withColumn(f"{column}_raw", F.col(column)).withColumn(column, F.col("__k")).drop("__k")
+    return df.join(d, F.col(column) == F.col("__k"), "left").withColumn(f"{column}_raw", F.col(column)).withColumn(column, F.col("__k")).drop("__k")
 
 
 def write_swapped(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
