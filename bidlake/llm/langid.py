@@ -4,7 +4,8 @@ Fit. For each language, character n-grams are counted over a sample of at most
 SAMPLE_DOCS labelled texts (whole, chosen by hash; copies only where distinct texts are too
 few, and no text more than LEAST_COUNT times). N-grams that are much more
 frequent in a language than over all languages are put into that language's Bloom filter,
-at most TOP_GRAMS for a language. The filters share their hash functions and are stored
+at most TOP_GRAMS for a language; they must stand LEAST_COUNT times in a sample of FULL_SAMPLE n-grams or more, in a smaller one
+as many times fewer, so a label with one short text is learned too. The filters share their hash functions and are stored
 bit-sliced: slot i is a word whose bit l says whether slot i of language l's filter is set,
 so HASHES look-ups and an AND give all languages that contain an n-gram. A word has at most
 WORD_BITS bits; there is a table for each WORD_BITS languages.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS, TOP_GRAMS, GRAMS, HASHES, SLOT_BITS, WORD_BITS = 2000, 20_000, (2, 3, 4), 3, 20, 64
-LEAST_RATIO, LEAST_COUNT, LEAST_COVER = 1.5, 5, 0.2
+LEAST_RATIO, LEAST_COUNT, LEAST_COVER, FULL_SAMPLE = 1.5, 5, 0.2, 10_000
 _points: dict[str, np.ndarray] = {}
 
 
@@ -149,12 +150,11 @@ def fit(spark: SparkSession, rows: DataFrame, text_col: str = "text", lang_col:
     mean = share.withColumn("mean", F.sum("share").over(Window.partitionBy("gram")))
     langs = [r.lang for r in total.orderBy(F.desc("of"), "lang").collect()]
     apart = F.lit(len(langs) == 1) | (F.col("share") * len(langs) >= LEAST_RATIO * F.col("mean"))  # a single language is told from none
-    telling = mean.where((F.col("n") >= LEAST_COUNT) & apart)
+    need = F.least(F.lit(float(LEAST_COUNT)), F.greatest(F.lit(1.0), F.col("of") / FULL_SAMPLE * LEAST_COUNT))
+    telling = mean.where((F.col("n") >= need) & apart)
     best = telling.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).where(F.col("k") <= top_grams)
-    grams: dict[str, list[int]] = {}
-    for r in best.select("lang", "gram").collect():  # at most top_grams rows a language
-        grams.setdefault(r.lang, []).append(r.gram)
-    return Model(sorted(langs), {k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()}), (langs[0] if langs else "und")
+    rows_ = best.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # a row a language, of at most top_grams numbers
+    return Model(sorted(langs), {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in rows_}), (langs[0] if langs else "und")
 
 
 def _predictor(model, fallback: str, at: int, names: list[str]):
@@ -186,9 +186,11 @@ def keep_known(spark: SparkSession, docs: DataFrame, text_col: str = "text", lan
     """The rows of docs whose language can be told; a null language becomes the predicted one, all else stays as it was.
 
     A text goes where it has no letter or where its language holds less than least_cover of its
-    n-grams: it is in none of the languages learned.
+    n-grams: it is in none of the languages learned. Where no row has a label, nothing is learned and every row stays.
     """
     model, fallback = fit(spark, docs, text_col, lang_col)
+    if not model.langs:
+        return docs
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
     got = predict(spark, docs, model, fallback, text_col).toDF(*plain, "p", "s", "v").where((F.col("p") != "und") & (F.col("s") > 0) & (F.col("v") >= least_cover))

@@ -510,3 +510,80 @@ def test_copies_count_once_in_the_sample(spark):
 @pytest.mark.parametrize("text,want", [("", 0), ("ab", 3 + 2 + 1), ("a b", 2 * (2 + 1))])
 def test_grams_stay_within_words(text, want):
     assert len(langid.gram_hashes(langid.letters(text))) == want
+
+
+def plain_grams(text):
+    """Every 2- to 4-gram of a text's letter runs with a blank at either end, none with a blank inside."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out = Counter()
+    for run in re.findall(r"[^\W\d_]+", low):
+        run = f" {run} "
+        for n in (2, 3, 4):
+            out.update(run[k : k + n] for k in range(len(run) - n + 1))
+    return out
+
+
+def gram_number(gram):
+    points = np.array([0 if c == " " else ord(c) for c in gram], np.uint32)
+    return int(langid.gram_hashes(points, (len(gram),))[0])
+
+
+PROSE = {
+    "aa": ["the committee will meet again next month to review the proposal", "they decided about the budget of the coming year", "a review of the proposal and the budget is planned"] * 3,
+    "bb": ["der ausschuss tritt im nächsten monat wieder zusammen um den vorschlag zu prüfen", "sie haben über den haushalt entschieden", "eine prüfung ist für das kommende jahr geplant"],
+    "cc": ["zqx"],
+}
+
+
+def test_filters_and_counts_against_exact_sets(spark, monkeypatch):
+    """The filters hold the n-grams that a plain count chooses; corrected counts and verdicts agree with exact sets."""
+    kept = {}
+    real = langid.Model
+
+    def model(langs, grams, *rest):
+        kept.update(grams)
+        return real(langs, grams, *rest)
+
+    monkeypatch.setattr(langid, "Model", model)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((k, t) for k, ts in PROSE.items() for t in ts)]
+    m, _ = langid.fit(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: sum((plain_grams(t) for t in ts), Counter()) for lang, ts in PROSE.items()}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    exact = {}
+    for lang, c in counts.items():
+        need = min(5.0, max(1.0, sum(c.values()) / langid.FULL_SAMPLE * 5))
+        mean = lambda g: sum(s.get(g, 0) for s in share.values())
+        exact[lang] = {g for g, n in c.items() if n >= need and share[lang][g] * 3 >= 1.5 * mean(g) - 1e-12}
+        assert {int(x) for x in kept[lang]} == {gram_number(g) for g in exact[lang]}
+    for lang, ts in PROSE.items():
+        for t in ts:
+            grams = plain_grams(t)
+            hits = {name: sum(n for g, n in grams.items() if g in s) for name, s in exact.items()}
+            got, score, cover = m.predict(t, "none")
+            assert got == lang == max(sorted(hits), key=hits.get)
+            n = sum(grams.values())
+            assert abs(cover * n - hits[got]) < 0.01 * n + 1 and abs(score - hits[got] / sum(hits.values())) < 0.02
+
+
+def test_false_positives_are_corrected(spark):
+    """With nearly full filters, corrected counts stay close to those of exact sets."""
+    rng = np.random.default_rng(3)
+    grams = {lang: rng.integers(0, 2**62, 1500).astype(np.uint64) for lang in ("p", "q")}
+    m = langid.Model(["p", "q"], grams, bits=12)
+    assert (m.rate > 0.1).all()
+    text = rng.choice(grams["p"], 400)
+    noise = rng.integers(0, 2**62, 4000).astype(np.uint64)
+    h = np.concatenate([text, noise])
+    hits = []
+    for l in range(2):
+        found = m.tables[0][next(iter(langid.slots(h, 12)))]
+        for s in langid.slots(h, 12):
+            found = found & m.tables[0][s]
+        hits.append(np.count_nonzero(found & (1 << l)))
+    true = [(x - r * len(h)) / (1 - r) for x, r in zip(hits, m.rate, strict=True)]
+    assert abs(true[0] - 400) < 150 and abs(true[1]) < 150 and hits[1] > 400
+
+
+def test_unlabelled_tables_stay_whole(spark):
+    rows = [(i, "some words here", None) for i in range(5)]
+    assert langid.keep_known(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).count() == 5
