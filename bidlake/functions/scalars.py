@@ -281,13 +281,27 @@ def x1(spark, sf):
     return tender(spark, sf).select("id", fold(F.concat("buyer_name", F.lit(" ЁЛЬ Эйфель"))).alias("folded"))
 
 
-def _names(spark):
-    return spark.createDataFrame([(i, x) for i, x in enumerate(["кабель", "qog'oz", "стол", "цемент", "shkaf", "принтер", "Ёлка", "sement", "", None])], "i int, t string")
+def _word_texts(spark, sf) -> DataFrame:
+    """The words of the tenders' files, in three spellings."""
+    from bidlake.plans.requirements import request_texts
+
+    return request_texts(tender(spark, sf))
+
+
+def letters_sql() -> str:
+    return "CASE c " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in LATIN.items()) + " ELSE c END"
 
 
-@register("X2_to_latin", "SELECT * FROM (VALUES (0, 'kabel'), (1, 'qog''oz'), (2, 'stol'), (3, 'tsement'), (4, 'shkaf'), (5, 'printer'), (6, 'yolka'), (7, 'sement'), (8, ''), (9, NULL)) t(i, latin)")
 def x2(spark, sf):
-    return _names(spark).select("i", to_latin(F.col("t")).alias("latin"))
+    """Every word of the tenders' files in Latin letters, and how many files it stands in."""
+    rows = _word_texts(spark, sf).select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}']+"))).alias("word")).where("word <> ''")
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", to_latin(F.col("word")).alias("latin"), "n")
+
+
+def x16(spark, sf):
+    """The first percentage and the first span of time in each tender's files."""
+    t = F.col("text")
+    return _word_texts(spark, sf).select("id", "part", percent_of(t).alias("pct"), span_days(F.regexp_extract(t, r"(\d+\s+\p{L}+)", 1)).alias("days"))
 
 
 _OPTIONS = "CASE t " + " ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN {v!r}" for k, v in {**{k: [v] for k, v in CYRILLIC.items()}, **SEVERAL}.items()) + " ELSE [t] END"
@@ -343,11 +357,19 @@ def x9(spark, sf):
     return product(spark, sf).select("product_id", F.round(jaccard(trigrams("name"), trigrams(F.lit("red bolts"))), 6).alias("sim"))
 
 
-@register("X12_number_parser", "SELECT * FROM (VALUES (0, 1234.5, NULL), (1, 1234567.0, NULL), (2, 12.5, NULL), (3, NULL, 'range'), (4, NULL, 'not_a_number'), (5, NULL, 'empty'), (6, NULL, 'empty')) t(i, v, err)".replace("1234.5", "1234.5::DOUBLE"))
+_WRITTEN = "CASE l_linenumber % 7 WHEN 1 THEN (c // 100)::VARCHAR || ',' || lpad((c % 100)::VARCHAR, 2, '0') WHEN 2 THEN (c // 100000)::VARCHAR || ' ' || lpad((c // 100 % 1000)::VARCHAR, 3, '0') || '.' || lpad((c % 100)::VARCHAR, 2, '0') WHEN 3 THEN (c // 100000)::VARCHAR || ',' || lpad((c // 100 % 1000)::VARCHAR, 3, '0') || '.' || lpad((c % 100)::VARCHAR, 2, '0') WHEN 4 THEN (c // 100)::VARCHAR || '-' || (c // 50)::VARCHAR WHEN 5 THEN 'about ' || (c // 100) WHEN 6 THEN ' ' END"
+
+
+@register("X12_number_parser", f"SELECT l_orderkey, l_linenumber, l_partkey, t, CASE WHEN l_linenumber % 7 IN (1, 2, 3) THEN c / 100 END AS v, CASE l_linenumber % 7 WHEN 4 THEN 'range' WHEN 5 THEN 'not_a_number' WHEN 6 THEN 'empty' WHEN 0 THEN 'empty' END AS err FROM (SELECT *, {_WRITTEN} AS t FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem))")
 def x12(spark, sf):
-    rows = [(0, "1 234.5"), (1, "1,234,567"), (2, "12,5"), (3, "10-15"), (4, "abc"), (5, " "), (6, None)]
+    """Every position's price, written in one of seven ways by its line number, read back: grouped by blanks or commas, a range, words, nothing."""
+    c, k = F.col("c"), F.col("l_linenumber") % 7
+    whole, cents, thousands, rest = (F.floor(c / 100)).cast("string"), F.lpad((c % 100).cast("string"), 2, "0"), F.floor(c / 100000).cast("string"), F.lpad((F.floor(c / 100) % 1000).cast("string"), 3, "0")
+    t = F.when(k == 1, F.concat(whole, F.lit(","), cents)).when(k == 2, F.concat(thousands, F.lit(" "), rest, F.lit("."), cents)).when(k == 3, F.concat(thousands, F.lit(","), rest, F.lit("."), cents))
+    t = t.when(k == 4, F.concat(whole, F.lit("-"), F.floor(c / 50).cast("string"))).when(k == 5, F.concat(F.lit("about "), whole)).when(k == 6, " ")
     n = number_or_error(F.col("t"))
-    return spark.createDataFrame(rows, "i int, t string").select("i", n["value"].alias("v"), n["error"].alias("err"))
+    rows = raw(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("c")).withColumn("t", t)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "t", n["value"].alias("v"), n["error"].alias("err"))
 
 
 @register("X13_amount_text", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS amount FROM lineitem")
@@ -371,12 +393,6 @@ def x15(spark, sf):
     return tender(spark, sf).select("id", days_of((k % 24 + 1).cast("int"), name).alias("days"))
 
 
-@register("X16_percent_and_span", "SELECT * FROM (VALUES (0, 5.0, 720), (1, 2.5, 10), (2, NULL, NULL)) t(i, pct, days)".replace("5.0,", "5.0::DOUBLE,", 1))
-def x16(spark, sf):
-    rows = [(0, "advance 5 %, 24 месяца"), (1, "2,5% within 10 days"), (2, "none")]
-    return spark.createDataFrame(rows, "i int, t string").select("i", percent_of(F.col("t")).alias("pct"), span_days(F.regexp_extract("t", r"(\d+\s+\p{L}+)", 1)).alias("days"))
-
-
 @register("X17_precise_deadline", sql("tender", "SELECT id, CASE WHEN id % 2 = 0 THEN published_at + to_seconds(id % 90000) ELSE date_trunc('day', published_at) + INTERVAL '23:59:59' END AS close_at FROM tender"))
 def x17(spark, sf):
     remain = F.when(F.col("id") % 2 == 0, (F.col("id") % 90000).cast("decimal(18,6)"))
