@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.catalog import register
-from bidlake.functions.text import jaccard, trigrams
 from bidlake.plans.rewrites import code_prefix_join, patterns_in, prefix_join, similar
 from bidlake.sources.procurement import area, good, product, raw, sql, tender
 

@@ -12,7 +12,7 @@ Rules: whether all tokens of the product stand in the good's name (`product_in_g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlake.catalog import register
@@ -109,10 +109,11 @@ def matched_sets(products: DataFrame, goods: DataFrame) -> DataFrame:
     )
 
 
-def _product_sets(products: DataFrame) -> DataFrame:
-    """name, category, pk, tokens of distinct products."""
+def _product_sets(products: DataFrame, divisions: DataFrame) -> DataFrame:
+    """name, category, pk, tokens, known (the category's divisions) of distinct products, as a table."""
     names = products.select("name").distinct().withColumn("tokens", tokens(F.col("name")))
-    return cut(products.select("name", "category").distinct().join(names, "name").withColumn("pk", F.array_join("tokens", " ")), "products")
+    known = divisions.groupBy("category").agg(F.sort_array(F.collect_set("division")).alias("known"))
+    return cut(products.select("name", "category").distinct().join(names, "name").join(known, "category", "left").withColumn("pk", F.array_join("tokens", " ")), "products")
 
 
 def good_sets(goods: DataFrame) -> DataFrame:
@@ -122,33 +123,29 @@ def good_sets(goods: DataFrame) -> DataFrame:
     return cut(seen.join(names, "good").withColumn("gk", F.array_join("words", " ")), "goods")
 
 
-def _allowed(divisions: DataFrame) -> DataFrame:
-    """Categories with the codes' divisions that belong to them: category, divisions."""
-    return divisions.groupBy("category").agg(F.collect_set("division").alias("divisions"))
-
-
 def evidence(products: DataFrame, goods: DataFrame, divisions: DataFrame) -> DataFrame:
     """What past lots say about each product by each rule: rule, name, category, pk, reason, code, evidence, total, share, weak, top (the three best codes: n, code), known (divisions).
 
     products: name, category; goods: from good_sets(); divisions: category, division (categories without any take all codes).
     Reasons: code; no_tokens; no_candidates (no good's name holds a token); words_differ (none passes the rule); little_evidence; ambiguous.
     """
-    p, g = _product_sets(products), goods
-    kinds = p.select("pk", "tokens", "category").distinct().join(_allowed(divisions), "category", "left")
-    free = lambda code: F.col("divisions").isNull() | F.array_contains("divisions", F.substring(code, 1, 2))
+    p, g = _product_sets(products, divisions), goods
+    kinds = p.select("pk", "tokens", "category", "known").distinct()
+    free = lambda code: F.col("known").isNull() | F.array_contains("known", F.substring(code, 1, 2))
     codes = g.groupBy("gk", "code").agg(F.sum("n").alias("n"))
     pairs = matched_sets(p.select("pk", "tokens").distinct().where(F.size("tokens") > 0), g.select("gk", "words", "said").distinct())
-    counts = pairs.join(codes, "gk").groupBy("rule", "pk", "code").agg(F.sum("n").alias("n")).join(kinds.select("pk", "category", "divisions"), "pk").where(free("code"))
-    total = counts.groupBy("rule", "pk", "category").agg(F.sum("n").alias("total"))
-    top = top_per(counts, ["rule", "pk", "category"], 3, F.desc("n"), "code").groupBy("rule", "pk", "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "n", "code"))), lambda x: F.struct(x["n"].alias("n"), x["code"].alias("code"))).alias("top"))
+    counts = pairs.join(codes, "gk").groupBy("rule", "pk", "code").agg(F.sum("n").alias("n")).join(kinds.select("pk", "category", "known"), "pk").where(free("code"))
+    of = Window.partitionBy("rule", "pk", "category")
+    ranked = counts.withColumn("rn", F.row_number().over(of.orderBy(F.desc("n"), "code"))).withColumn("total", F.sum("n").over(of)).where("rn <= 3")
+    top = ranked.groupBy("rule", "pk", "category").agg(F.first("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "n", "code"))), lambda x: F.struct(x["n"].alias("n"), x["code"].alias("code"))).alias("top"))
     # candidates: goods whose name holds a token, or its stem, in any spelling
     words = kinds.select("pk", F.explode("tokens").alias("t")).distinct()
     t = F.col("t")
     spelt = words.select("t").distinct().withColumn("b", F.explode(F.when(F.length(t) >= 6, F.array(t, F.substring(t, F.lit(1), F.length(t) - 1))).otherwise(F.array(t)))).select("t", F.explode(spellings(F.col("b"))).alias("pattern")).where(F.length("pattern") >= 3)
     folded = g.select("good", fold("good").alias("f")).distinct()
     holding = patterns_in(folded, "f", spelt.select("pattern").distinct(), "pattern", inside=True).select("good", "pattern").join(spelt, "pattern").join(words, "t").select("pk", "good").distinct()
-    candidates = holding.join(g.select("good", "code", "n"), "good").join(kinds.select("pk", "category", "divisions"), "pk").where(free("code")).select("pk", "category").distinct().withColumn("some", F.lit(True))
-    every = p.withColumn("rule", F.explode(F.array(*map(F.lit, RULES)))).join(candidates, ["pk", "category"], "left").join(total, ["rule", "pk", "category"], "left").join(top, ["rule", "pk", "category"], "left").join(kinds.select("pk", "category", F.col("divisions").alias("known")), ["pk", "category"], "left")
+    candidates = holding.join(g.select("good", "code", "n"), "good").join(kinds.select("pk", "category", "known"), "pk").where(free("code")).select("pk", "category").distinct().withColumn("some", F.lit(True))
+    every = p.withColumn("rule", F.explode(F.array(*map(F.lit, RULES)))).join(candidates, ["pk", "category"], "left").join(top, ["rule", "pk", "category"], "left")
     best = F.get("top", F.lit(0))
     share = F.col("evidence") / F.col("total")
     every = every.withColumn("evidence", F.coalesce(best["n"], F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
@@ -313,3 +310,10 @@ def d55(spark, sf):
     names = parts.select(*key, "name").distinct().withColumn("h", F.md5(F.concat(F.lit("20260912"), F.col("name")).cast("binary")))
     sample = top_per(names, key, 3, "h", "name").groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]), ";").alias("sample"))
     return n.join(value, key, "left").join(sample, key, "left").select(*key, "n", F.round(F.coalesce("value", F.lit(0.0)), 2).alias("value"), "sample")
+
+
+@register("D56_why_no_suggestion", sql("product good", f", {_evidence_sql('code IS NULL')} SELECT product_id, reason AS why, evidence::BIGINT AS evidence, total::BIGINT AS total FROM product p JOIN ev ON ev.name = p.name AND ev.category = p.category AND rule = '{RULES[0]}' WHERE p.code IS NULL"))
+def d56(spark, sf):
+    """For each product without a code, how far the standard rule came with it."""
+    found = _found(spark, sf, good_sets(good(spark, sf))).where(F.col("rule") == RULES[0]).select("name", "category", F.col("reason").alias("why"), "evidence", "total")
+    return product(spark, sf).where("code IS NULL").select("product_id", "name", "category").join(found, ["name", "category"]).drop("name", "category")

@@ -14,7 +14,6 @@ from bidlake.operators.filters import in_region, is_open
 from bidlake.operators.joins import fuse
 from bidlake.operators.ordering import _QUERY, _QUERY_SQL, cosine_distance, ranked, top_per
 from bidlake.plans.rewrites import code_prefix_join, patterns_in, terms_in
-from bidlake.session import ship
 from bidlake.sources.procurement import good, now, product, raw, sql, tender
 
 OPEN_SQL = "status = 'open' AND (close_at IS NULL OR close_at > $now)"
@@ -272,14 +271,18 @@ def d12(spark, sf):
     return stock_check(good(spark, sf), product(spark, sf).where("company_id = 1"))
 
 
+def stocked(spark, sf, products: DataFrame) -> DataFrame:
+    """Products with the age of their stock figure: a figure is as old as the last shipment."""
+    g = good(spark, sf).where(F.col("shipped_at") <= now())
+    return products.join(g.groupBy(F.col("part_id").alias("product_id")).agg(F.max("shipped_at").cast("timestamp").alias("updated_at")), "product_id", "left")
+
+
 @register("D12b_stock_summary", sql("good product", f"""{_MATCHED_SQL}, up AS (SELECT part_id AS product_id, max(shipped_at) AS updated_at FROM good WHERE shipped_at <= $now GROUP BY 1), ag AS (SELECT tender_id, count(*) AS products, count(stock_qty) AS known, min(updated_at) AS oldest FROM (SELECT DISTINCT tender_id, product_id FROM ck WHERE product_id IS NOT NULL) JOIN pr USING (product_id) LEFT JOIN up USING (product_id) GROUP BY tender_id),
     ct AS (SELECT tender_id, count(*) AS positions, count(*) FILTER (WHERE state = 'enough') AS enough, count(*) FILTER (WHERE state = 'short') AS short, count(*) FILTER (WHERE state IN ('unknown_stock', 'unit_differs')) AS unknown, count(*) FILTER (WHERE state = 'unmatched') AS unmatched FROM ck GROUP BY tender_id)
     SELECT tender_id, positions, enough, short, unknown, unmatched, coalesce(products, 0) AS products, age_days, warning, warning IS NOT NULL AS preliminary FROM (SELECT *, CASE WHEN coalesce(known, 0) = 0 THEN 'no_stock' WHEN oldest IS NULL THEN 'no_date' WHEN age_days > {STALE_DAYS} THEN 'stale' END AS warning FROM (SELECT *, greatest(floor(epoch($now - oldest) / 86400), 0)::BIGINT AS age_days FROM ct LEFT JOIN ag USING (tender_id)))"""))
 def d12b(spark, sf):
-    """A product's stock figure is as old as its last shipment."""
-    g, own = good(spark, sf), product(spark, sf).where("company_id = 1")
-    moved = g.where(F.col("shipped_at") <= now()).groupBy(F.col("part_id").alias("product_id")).agg(F.max("shipped_at").cast("timestamp").alias("updated_at"))
-    return stock_summary(stock_check(g, own), own.join(moved, "product_id", "left"), now())
+    own = product(spark, sf).where("company_id = 1")
+    return stock_summary(stock_check(good(spark, sf), own), stocked(spark, sf, own), now())
 
 
 @register("D13_external_stock", sql("product", "SELECT product_id, CAST(CASE WHEN (SELECT count(*) FROM lineitem) > 0 THEN m.q ELSE stock_qty END AS DOUBLE) AS stock FROM product LEFT JOIN (SELECT l_partkey, sum(CAST(l_quantity AS DECIMAL(18,3))) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey) m ON product_id = l_partkey"))
@@ -523,9 +526,9 @@ def d38b(spark, sf):
     return d38(spark, sf)
 
 
-@register("D39_text_for_vectors", sql("good", "SELECT tender_id, left(string_agg(name, '; ' ORDER BY rn), 1200) AS txt FROM (SELECT tender_id, name, row_number() OVER (PARTITION BY tender_id ORDER BY totalcost_item DESC, good_no, part_id) AS rn FROM good) WHERE rn <= 5 GROUP BY tender_id"))
+@register("D39_text_for_vectors", sql("good", "SELECT tender_id, left(string_agg(name, '; ' ORDER BY rn), 1200) AS txt FROM (SELECT tender_id, name, row_number() OVER (PARTITION BY tender_id ORDER BY totalcost_item DESC, good_no, part_id) AS rn FROM good) WHERE rn <= 40 GROUP BY tender_id"))
 def d39(spark, sf):
-    g = top_per(good(spark, sf), ["tender_id"], 5, F.desc("totalcost_item"), "good_no", "part_id")
+    g = top_per(good(spark, sf), ["tender_id"], 40, F.desc("totalcost_item"), "good_no", "part_id")
     names = F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"])
     return g.groupBy("tender_id").agg(F.substring(F.array_join(names, "; "), 1, 1200).alias("txt"))
 
@@ -572,11 +575,11 @@ def d46(spark, sf):
     return lots.groupBy("tender_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("lot_id").alias("lot"), "goods")))).alias("lots"))
 
 
-@register("D48_context_block", "SELECT source, string_agg(doc_id || ':' || quality, ' ' ORDER BY quality DESC, n_chars DESC, doc_id) AS block, max(total) - count(*) AS dropped FROM (SELECT d.source, d.doc_id, n_chars, quality, row_number() OVER (PARTITION BY source ORDER BY quality DESC, n_chars DESC, d.doc_id) AS rn, count(*) OVER (PARTITION BY source) AS total FROM documents d JOIN labels l ON d.doc_id = l.doc_id) WHERE rn <= 6 GROUP BY source")
+@register("D48_context_block", "SELECT source, string_agg(doc_id || ':' || quality, ' ' ORDER BY quality DESC, n_chars DESC, doc_id) AS block, max(total) - count(*) AS dropped FROM (SELECT d.source, d.doc_id, n_chars, quality, row_number() OVER (PARTITION BY source ORDER BY quality DESC, n_chars DESC, d.doc_id) AS rn, count(*) OVER (PARTITION BY source) AS total FROM documents d JOIN labels l ON d.doc_id = l.doc_id) WHERE rn <= 40 GROUP BY source")
 def d48(spark, sf):
     d = raw(spark, sf, "documents").select("doc_id", "source", "n_chars").join(raw(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     total = d.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    top = top_per(d, ["source"], 6, F.desc("quality"), F.desc("n_chars"), "doc_id")
+    top = top_per(d, ["source"], 40, F.desc("quality"), F.desc("n_chars"), "doc_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("quality").cast("string")).alias("s")))), lambda x: x["s"]), " ")
     return top.groupBy("source").agg(text.alias("block"), F.count(F.lit(1)).alias("kept")).join(total, "source").select("source", "block", (F.col("total") - F.col("kept")).alias("dropped"))
 
@@ -587,10 +590,10 @@ def d49(spark, sf):
     return raw(spark, sf, "documents").select("doc_id", "n_chars").join(raw(spark, sf, "labels"), "doc_id", "left").where(person | sure).select("doc_id", person.alias("by_person"), sure.alias("by_confidence"))
 
 
-@register("D57_actor_sync", "SELECT coalesce(a.user_id, b.c_custkey) AS actor, CASE WHEN a.user_id IS NULL THEN 'not_seen' WHEN b.c_custkey IS NULL THEN 'unmapped' ELSE 'mapped' END AS state FROM (SELECT DISTINCT user_id FROM events) a FULL OUTER JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) b ON a.user_id = b.c_custkey")
+@register("D57_actor_sync", "SELECT coalesce(a.user_id, b.c_custkey) AS actor, CASE WHEN a.user_id IS NULL THEN 'not_seen' WHEN b.c_custkey IS NULL THEN 'unmapped' ELSE 'mapped' END AS state FROM (SELECT DISTINCT user_id FROM events) a FULL OUTER JOIN customer b ON a.user_id = b.c_custkey")
 def d57(spark, sf):
     a = raw(spark, sf, "events").select("user_id").distinct()
-    b = raw(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_custkey")
+    b = raw(spark, sf, "customer").select("c_custkey")
     state = F.when(F.col("user_id").isNull(), "not_seen").when(F.col("c_custkey").isNull(), "unmapped").otherwise("mapped")
     return a.join(b, a.user_id == b.c_custkey, "full_outer").select(F.coalesce("user_id", "c_custkey").alias("actor"), state.alias("state"))
 

@@ -28,9 +28,15 @@ CANON_FROM = FOLD_FROM[: len(FOLD_TO)] + "".join(UZBEK) + FOLD_FROM[len(FOLD_TO)
 CANON_TO = FOLD_TO + "".join(UZBEK.values())
 _CANON = str.maketrans(CANON_FROM[: len(CANON_TO)], CANON_TO, CANON_FROM[len(CANON_TO) :])
 PLACES = "literal string, said string, start int, end int, raw_start int, raw_end int, pad_start int, pad_end int, sentence int, word_end int, next_at int, whole boolean"
+#: Characters looked at together.
+TOGETHER = 1 << 20
 _tables: dict = {}
 
 
+def KINDS(pa) -> list:  # noqa: N802
+    return [pa.string(), pa.string(), *[pa.int32()] * 9, pa.bool_()]
+
+
 def canon(text: str) -> str:
     return text.replace("İ", "i").lower().translate(_CANON)
 
@@ -93,7 +99,6 @@ def _letters(canonical: bool) -> Letters:
 def _finder(literals: list[str], shapes: dict[str, str], canonical: bool, pad: int, keys: int):
     def find(batches):
         import ahocorasick
-        import numpy as np
         import pyarrow as pa
 
         letters = _letters(canonical)
@@ -103,34 +108,46 @@ def _finder(literals: list[str], shapes: dict[str, str], canonical: bool, pad: i
         automaton.make_automaton()
         patterns = {name: re.compile(p) for name, p in shapes.items()}
         for batch in batches:
-            rows, at = [], []
-            for k, text in enumerate(batch.column(keys)):
-                text = text.as_py()
-                if not text:
+            texts = [x or "" for x in batch.column(keys).to_pylist()]
+            first, size = 0, 0
+            for k, text in enumerate(texts):
+                size += len(text)
+                if size < TOGETHER and k < len(texts) - 1:
                     continue
-                raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-                points = letters.look_up(raw)
-                back = np.flatnonzero(points)
-                points = points[back]
-                low = points.astype("<u4").tobytes().decode("utf-32-le")
-                found = [(end - len(x) + 1, end + 1, x) for end, x in automaton.iter(low)]
-                found += [(m.start(), m.end(), name) for name, p in patterns.items() for m in p.finditer(low)]
-                if not found:
-                    continue
-                found.sort()
-                n, a, b = len(low), np.array([x[0] for x in found]), np.array([x[1] for x in found])
-                word = np.append(letters.word[points], False)
-                breaks, solid = np.flatnonzero(~word), np.append(np.flatnonzero(~np.isin(points, (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xA0))), n)
-                stops = np.flatnonzero((points == 0x2E) | (points == 0x0A))
-                whole = ((a == 0) | ~word[a - 1]) & ~word[b]
-                cols = (a, b, back[a], back[b - 1] + 1, back[np.maximum(a - pad, 0)], back[np.minimum(b + pad, n - 1)] + 1, np.searchsorted(stops, a), breaks[np.searchsorted(breaks, b)], solid[np.searchsorted(solid, b)], whole)
-                rows += [(x[2], low[x[0] : x[1]], *c) for x, *c in zip(found, *(c.tolist() for c in cols), strict=True)]
-                at += [k] * len(found)
-            for k in range(0, len(rows), 50_000):
-                part = list(zip(*rows[k : k + 50_000], strict=True))
-                kinds = [pa.string(), pa.string(), *[pa.int32()] * 9, pa.bool_()]
-                own = pa.array(at[k : k + 50_000], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(own) for j in range(keys)), *(pa.array(c, t) for c, t in zip(part, kinds, strict=True))], [*batch.schema.names[:keys], *(x.split()[0] for x in PLACES.split(", "))])
+                got = look(texts[first : k + 1], automaton, patterns, letters, pad)
+                if got is not None:
+                    own, cols = got
+                    for j in range(0, len(own), 50_000):
+                        part = slice(j, j + 50_000)
+                        at = pa.array(own[part] + first)
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(keys)), *(pa.array(c[part], t) for c, t in zip(cols, KINDS(pa), strict=True))], [*batch.schema.names[:keys], *(x.split()[0] for x in PLACES.split(", "))])
+                first, size = k + 1, 0
+
+    def look(texts, automaton, patterns, letters, pad):
+        """All places in some texts, looked for at once: which text, and the columns. Texts are joined by line ends, over which nothing reaches."""
+        import numpy as np
+
+        raw = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        raw_first = np.cumsum(lengths + 1) - lengths - 1
+        points = letters.look_up(raw)
+        back = np.flatnonzero(points)
+        points = points[back]
+        low = points.astype("<u4").tobytes().decode("utf-32-le")
+        found = [(end - len(x) + 1, end + 1, x) for end, x in automaton.iter(low)]
+        found += [(m.start(), m.end(), name) for name, p in patterns.items() for m in p.finditer(low)]
+        if not found:
+            return None
+        found.sort()
+        a, b = np.array([x[0] for x in found]), np.array([x[1] for x in found])
+        begin, end = np.searchsorted(back, raw_first), np.searchsorted(back, raw_first + lengths)
+        own = np.searchsorted(begin, a, "right") - 1
+        s, e, r = begin[own], end[own], raw_first[own]
+        word = letters.word[points]
+        breaks, solid, stops = np.flatnonzero(~word), np.append(np.flatnonzero(~np.isin(points, (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xA0))), len(points)), np.flatnonzero((points == 0x2E) | (points == 0x0A))
+        whole = ((a == s) | ~word[a - 1]) & ~word[b]
+        cols = [[x[2] for x in found], [low[x[0] : x[1]] for x in found], a - s, b - s, back[a] - r, back[b - 1] + 1 - r, back[np.maximum(a - pad, s)] - r, back[np.minimum(b + pad, e - 1)] + 1 - r]
+        return own, [*cols, np.searchsorted(stops, a) - np.searchsorted(stops, s), breaks[np.searchsorted(breaks, b)] - s, np.minimum(solid[np.searchsorted(solid, b)], e) - s, whole]
 
     return find
 

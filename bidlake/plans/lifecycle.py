@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlake.catalog import register
+from bidlake.catalog import _SQL, register
 from bidlake.functions.text import fold
 from bidlake.operators.filters import is_open
 from bidlake.operators.ordering import ranked, top_per
+from bidlake.plans.domain import priced, stock_check, stock_summary, stocked
+from bidlake.plans.requirements import checked, summed
 from bidlake.sources.procurement import good, now, product, raw, sql, tender
 
 OPEN_SQL = "status = 'open' AND (close_at IS NULL OR close_at > $now)"
@@ -112,30 +114,39 @@ def attached(products: DataFrame, suggestions: DataFrame) -> DataFrame:
     return j.select("product_id", F.coalesce("code", "__c").alias("code"), F.when(F.col("code").isNotNull(), "confirmed").when(F.col("__c").isNotNull(), "suggested").alias("origin"))
 
 
-@register("D53_attach_codes", sql("product", "SELECT p.product_id, coalesce(p.code, s.code) AS code, CASE WHEN p.code IS NOT NULL THEN 'confirmed' WHEN s.code IS NOT NULL THEN 'suggested' END AS origin FROM product p LEFT JOIN (SELECT name, min(code) AS code FROM product WHERE code IS NOT NULL AND product_id % 2 = 0 GROUP BY name) s ON p.name = s.name"))
+@register("D53_attach_codes", sql("product", "SELECT p.product_id, coalesce(p.code, s.code) AS code, CASE WHEN p.code IS NOT NULL THEN 'confirmed' WHEN s.code IS NOT NULL THEN 'suggested' END AS origin FROM product p LEFT JOIN (SELECT name, min(code) AS code FROM product WHERE code IS NOT NULL GROUP BY name) s ON p.name = s.name"))
 def d53(spark, sf):
     p = product(spark, sf)
-    s = p.where("code IS NOT NULL AND product_id % 2 = 0").groupBy(fold("name").alias("term")).agg(F.min("code").alias("code"))
+    s = p.where("code IS NOT NULL").groupBy(fold("name").alias("term")).agg(F.min("code").alias("code"))
     return attached(p, s)
 
 
-@register("D56_why_no_suggestion", sql("product good", "SELECT p.product_id, CASE WHEN d.name IS NULL THEN 'not_in_dictionary' WHEN d.n < 5 THEN 'too_few' ELSE 'should_have' END AS why FROM product p LEFT JOIN (SELECT name, count(*) AS n FROM good WHERE amount > 30 GROUP BY name) d ON d.name = p.name WHERE p.code IS NULL"))
-def d56(spark, sf):
-    d = good(spark, sf).where("amount > 30").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    why = F.when(F.col("n").isNull(), "not_in_dictionary").when(F.col("n") < 5, "too_few").otherwise("should_have")
-    return product(spark, sf).where("code IS NULL").join(d, "name", "left").select("product_id", why.alias("why"))
-
-
 # --- dossiers ---
 
 MOST_COMPARED = 15
 
 
-@register("D40_compare_tenders", sql("tender good", f"SELECT t.id, CAST(t.totalcost AS DOUBLE) AS budget, g.n AS n_goods, g.kinds FROM (SELECT * FROM tender WHERE {OPEN_SQL} AND id % 20 = 0 ORDER BY id LIMIT 15) t LEFT JOIN (SELECT tender_id, count(*) AS n, count(DISTINCT category) AS kinds FROM good GROUP BY tender_id) g ON g.tender_id = t.id"))
+def compared(tenders: DataFrame, stock: DataFrame, documents: DataFrame, prices: DataFrame, most: int = MOST_COMPARED) -> DataFrame:
+    """Up to `most` open tenders side by side, those that close first: what stock covers, what documents block, what the price leaves."""
+    asked = tenders.where(is_open()).orderBy(F.asc_nulls_last("close_at"), "id").limit(most).select("id", F.col("totalcost").cast("double").alias("budget"))
+    j = asked.join(stock.select(F.col("tender_id").alias("s_id"), "positions", "enough", "short", "unmatched", "preliminary"), F.col("id") == F.col("s_id"), "left").drop("s_id")
+    j = j.join(documents.select(F.col("id").alias("d_id"), F.col("total").alias("documents"), "blocking", "asked"), F.col("id") == F.col("d_id"), "left").drop("d_id")
+    return j.join(prices.select(F.col("id").alias("p_id"), "cost", "final", "margin", "left"), F.col("id") == F.col("p_id"), "left").drop("p_id")
+
+
+@register("D40_compare_tenders", sql("tender", f"""SELECT a.id, budget, positions, enough, short, unmatched, preliminary, d.total AS documents, blocking, asked, cost, final, margin, "left" FROM (SELECT id, CAST(totalcost AS DOUBLE) AS budget FROM tender WHERE {OPEN_SQL} ORDER BY close_at NULLS LAST, id LIMIT {MOST_COMPARED}) a
+    LEFT JOIN ({_SQL["D12b_stock_summary"]}) s ON s.tender_id = a.id LEFT JOIN ({_SQL["D15b_required_kinds"]}) d ON d.id = a.id LEFT JOIN ({_SQL["D10_pricing_steps"]}) p ON p.id = a.id"""))
 def d40(spark, sf):
-    t = tender(spark, sf).where(is_open() & (F.col("id") % 20 == 0)).orderBy("id").limit(MOST_COMPARED)
-    g = good(spark, sf).groupBy("tender_id").agg(F.count(F.lit(1)).alias("n_goods"), F.countDistinct("category").alias("kinds"))
-    return t.join(g, F.col("id") == F.col("tender_id"), "left").select("id", F.col("totalcost").cast("double").alias("budget"), "n_goods", "kinds")
+    """Only the goods and texts of the tenders asked for are read into the three parts."""
+    t = tender(spark, sf)
+    few = t.where(is_open()).orderBy(F.asc_nulls_last("close_at"), "id").limit(MOST_COMPARED).select("id")
+    g = good(spark, sf).join(few, F.col("tender_id") == F.col("id"), "left_semi")
+    own = product(spark, sf).where("company_id = 1")
+    stock = stock_summary(stock_check(g, own), stocked(spark, sf, own), now())
+    documents = summed(checked(spark, sf, few))
+    cost = g.groupBy("tender_id").agg(F.sum("totalcost_item").cast("double").alias("cost"))
+    prices = priced(t.select("id", F.col("totalcost").cast("double").alias("budget")).join(cost, F.col("id") == F.col("tender_id")), "cost", 3.0, 2.0, 15.0, 12.0, "budget")
+    return compared(t, stock, documents, prices)
 
 
 def dossier(parts: DataFrame, most: int) -> DataFrame:
@@ -144,11 +155,11 @@ def dossier(parts: DataFrame, most: int) -> DataFrame:
     return parts.groupBy("id").agg(text.alias("t")).select("id", F.substring("t", 1, most).alias("text"), F.greatest(F.length("t") - most, F.lit(0)).alias("cut"))
 
 
-@register("D42_dossier", sql("tender good", "SELECT id, left(t, 120) AS text, greatest(length(t) - 120, 0)::INTEGER AS cut FROM (SELECT id, string_agg(part, chr(10) ORDER BY ord, part) AS t FROM (SELECT id, 0 AS ord, title AS part FROM tender UNION ALL SELECT tender_id, 1, name FROM good WHERE tender_id IN (SELECT id FROM tender)) GROUP BY id)"))
+@register("D42_dossier", sql("tender good", "SELECT id, left(t, 600) AS text, greatest(length(t) - 600, 0)::INTEGER AS cut FROM (SELECT id, string_agg(part, chr(10) ORDER BY ord, part) AS t FROM (SELECT id, 0 AS ord, title AS part FROM tender UNION ALL SELECT tender_id, 1, name FROM good WHERE tender_id IN (SELECT id FROM tender)) GROUP BY id)"))
 def d42(spark, sf):
     t = tender(spark, sf)
     g = good(spark, sf).join(t.select("id"), F.col("tender_id") == F.col("id"), "left_semi")
-    return dossier(t.select("id", F.lit(0).alias("ord"), F.col("title").alias("part")).union(g.select("tender_id", F.lit(1), "name")), 120)
+    return dossier(t.select("id", F.lit(0).alias("ord"), F.col("title").alias("part")).union(g.select("tender_id", F.lit(1), "name")), 600)
 
 
 @register("D45_progress", "SELECT count(*) AS before, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS after, count(*) > count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS moved FROM documents")
