@@ -22,9 +22,10 @@ def main() -> None:
     queries, out = catalog.queries(), {}
     queries["F1_facet_filter"](spark, sf).write.format("noop").mode("overwrite").save()  # starts the session's threads
     for name in HEADLINE:
-        start = time.perf_counter()
-        queries[name](spark, sf).write.format("noop").mode("overwrite").save()
-        out[name] = round(time.perf_counter() - start, 3)
+        for _ in range(2):  # the second run counts: what it takes once code is compiled
+            start = time.perf_counter()
+            queries[name](spark, sf).write.format("noop").mode("overwrite").save()
+            out[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": os.path.basename(sf.rstrip("/"))}), flush=True)
     spark.stop()
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bidlake.catalog import register
+from bidlake.operators.quantiles import quantiles, with_quantiles
 from bidlake.operators.filters import is_open
 from bidlake.plans.rewrites import ancestors, code_levels, code_prefix_join, prefix_join
 from bidlake.sources.procurement import area, good, now, product, raw, sql, tender
@@ -79,15 +80,16 @@ def a8(spark, sf):
 
 @register("A9_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5) FILTER (WHERE user_id < 50), 6) AS p50_small FROM events GROUP BY event_type")
 def a9(spark, sf):
-    pick = lambda q, c="value": F.round(F.percentile(F.col(c) if isinstance(c, str) else c, F.lit(q)), 6)
-    return raw(spark, sf, "events").groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.5, F.when(F.col("user_id") < 50, F.col("value"))).alias("p50_small"))
+    v = F.col("value")
+    q = quantiles(raw(spark, sf, "events"), ["event_type"], {"p50": (v, 0.5, "linear"), "p95": (v, 0.95, "linear"), "p50_small": (F.when(F.col("user_id") < 50, v), 0.5, "linear")})
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p50_small")])
 
 
 @register("A10_latency_nearest_rank", """SELECT w, event_type, n, p50, p95 FROM (SELECT time_bucket(INTERVAL '5 minutes', ts) AS w, event_type, count(*) AS n, list_sort(list(value))[CAST(ceil(0.5 * count(*)) AS INTEGER)] AS p50, list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS INTEGER)] AS p95 FROM events GROUP BY ALL)""")
 def a10(spark, sf):
-    g = raw(spark, sf, "events").groupBy(F.window("ts", "5 minutes")["start"].alias("w"), "event_type").agg(_n(), F.array_sort(F.collect_list("value")).alias("v"))
-    rank = lambda q: F.get("v", F.ceil(F.lit(q) * F.col("n")).cast("int") - 1)
-    return g.select("w", "event_type", "n", rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    e = raw(spark, sf, "events").withColumn("w", F.window("ts", "5 minutes")["start"])
+    key, v = ["w", "event_type"], F.col("value")
+    return with_quantiles(e.groupBy(*key).agg(_n()), e, key, {"p50": (v, 0.5, "nearest"), "p95": (v, 0.95, "nearest")}).select(*key, "n", "p50", "p95")
 
 
 @register("A11_string_agg_distinct", sql("good", "SELECT tender_id, string_agg(DISTINCT name, ' | ' ORDER BY name) AS names FROM good GROUP BY tender_id"))
@@ -212,7 +214,8 @@ def a25(spark, sf):
 def a26(spark, sf):
     e = raw(spark, sf, "events").select("user_id", "event_id", F.date_trunc("second", "ts").alias("ts"))
     gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    a = e.withColumn("gap", gap).groupBy("user_id").agg(_n(), F.percentile("gap", F.lit(0.5)).alias("m"), F.datediff(F.max("ts"), F.min("ts")).alias("days"))
+    e = e.withColumn("gap", gap)
+    a = with_quantiles(e.groupBy("user_id").agg(_n(), F.datediff(F.max("ts"), F.min("ts")).alias("days")), e, ["user_id"], {"m": (F.col("gap"), 0.5, "linear")})
     return a.select("user_id", "n", F.round("m", 3).alias("median_s"), F.when(F.col("days") >= 2, F.round(F.col("m") * 100 / 3600, 3)).alias("hours_left"), F.when(F.col("m") > 0, F.floor(F.lit(8 * 3600) / F.col("m"))).alias("per_day"))
 
 

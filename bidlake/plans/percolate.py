@@ -61,13 +61,13 @@ def percolated(tenders: DataFrame, searches: DataFrame, least: int = LEAST) -> D
     return pairs.select("id", "sid", "n", pair_score(F.col("n")).alias("score")).where(F.col("score") >= least)
 
 
-# --- the queries: a saved search for each customer --------------------------------------------------
+# --- the queries: a saved search for each supplier --------------------------------------------------
 
 
 def saved_searches(spark, sf) -> DataFrame:
-    """Searches of five companies: the name of the part of a customer's number as a phrase or word by word, some without any, with regions, budgets and currencies."""
-    k = F.col("c_custkey")
-    c = raw(spark, sf, "customer").join(raw(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    """Searches of five companies: the name of the part of a supplier's number as a phrase or word by word, some without any, with regions, budgets and currencies."""
+    k = F.col("s_suppkey")
+    c = raw(spark, sf, "supplier").join(raw(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     p = raw(spark, sf, "part").select(F.col("p_partkey").alias("part"), "p_name")
     none = F.array().cast("array<string>")
     keywords = F.when(k % 10 == 9, none).when(k % 4 == 0, F.split("p_name", " ")).otherwise(F.array("p_name"))
@@ -82,8 +82,8 @@ def open_tenders(spark, sf) -> DataFrame:
     return candidates(spark, sf).where(is_open()).withColumn("blob", F.concat_ws(" ", "title", "goods"))
 
 
-_SEARCHES_SQL = """ss AS (SELECT c_custkey AS sid, c_custkey % 5 AS company_id, CASE WHEN c_custkey % 10 = 9 THEN []::VARCHAR[] WHEN c_custkey % 4 = 0 THEN string_split(p_name, ' ') ELSE [p_name] END AS keywords, CASE WHEN c_custkey % 3 = 0 THEN ['33.' || n_regionkey] ELSE []::VARCHAR[] END AS regions,
-    CASE WHEN c_custkey % 5 = 0 THEN 50000.0::DOUBLE END AS low, CASE WHEN c_custkey % 2 = 0 THEN 100000.0::DOUBLE + c_custkey * 100 END AS high, CASE c_custkey % 4 WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'UZS' END AS wants FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN part ON p_partkey = c_custkey % 150 + 1)"""
+_SEARCHES_SQL = """ss AS (SELECT s_suppkey AS sid, s_suppkey % 5 AS company_id, CASE WHEN s_suppkey % 10 = 9 THEN []::VARCHAR[] WHEN s_suppkey % 4 = 0 THEN string_split(p_name, ' ') ELSE [p_name] END AS keywords, CASE WHEN s_suppkey % 3 = 0 THEN ['33.' || n_regionkey] ELSE []::VARCHAR[] END AS regions,
+    CASE WHEN s_suppkey % 5 = 0 THEN 50000.0::DOUBLE END AS low, CASE WHEN s_suppkey % 2 = 0 THEN 100000.0::DOUBLE + s_suppkey * 100 END AS high, CASE s_suppkey % 4 WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' WHEN 3 THEN 'UZS' END AS wants FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN part ON p_partkey = s_suppkey % 150 + 1)"""
 _PAIRS_SQL = f"""{_CAND}, ot AS (SELECT *, lower(title || coalesce(' ' || goods, '')) AS blob FROM cand WHERE {OPEN_SQL}), {_SEARCHES_SQL}, sk AS (SELECT sid, unnest(list_distinct(keywords)) AS kw FROM ss), kh AS (SELECT id, kw FROM ot JOIN (SELECT DISTINCT kw FROM sk) ON contains(' ' || blob, ' ' || kw)),
     hn AS (SELECT id, sid, count(*) AS n FROM kh JOIN sk USING (kw) GROUP BY ALL),
     sc AS (SELECT id, sid, company_id, n, CAST(round_even(60.0::DOUBLE * n / len(keywords) + CASE WHEN len(regions) = 0 THEN 10 WHEN starts_with(area_path, regions[1] || '.') THEN 20 ELSE 0 END

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlake.catalog import register
+from bidlake.operators.quantiles import with_quantiles
 from bidlake.operators.filters import is_open
 from bidlake.sources.procurement import good, product, raw, sql, tender
 
@@ -86,7 +87,8 @@ def v4(spark, sf):
     FROM (SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failed, quantile_cont(value, 0.95) FILTER (WHERE event_type <> 'error') AS p95 FROM events WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '7 days' GROUP BY user_id)""")
 def v5(spark, sf):
     e = raw(spark, sf, "events").where(F.col("ts") > F.lit("2024-01-24 00:00:00").cast("timestamp"))
-    g = e.groupBy("user_id").agg(n("runs"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.percentile(F.when(F.col("event_type") != "error", F.col("value")), F.lit(0.95)), 6).alias("p95"))
+    g = e.groupBy("user_id").agg(n("runs"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    g = with_quantiles(g, e, ["user_id"], {"p95": (F.when(F.col("event_type") != "error", F.col("value")), 0.95, "linear")}).withColumn("p95", F.round("p95", 6))
     pct = 100.0 * (F.col("runs") - F.col("failed")) / F.col("runs")
     return g.select("user_id", "runs", "failed", F.round(pct, 2).alias("useful_pct"), F.when(F.col("runs") < FEW, "no_data").when(pct >= 95, "pass").otherwise("fail").alias("verdict"), "p95")
 
@@ -183,7 +185,9 @@ def v12b(spark, sf):
 
 @register("V13_decision_measure", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.5), 6) AS median, CASE WHEN count(DISTINCT user_id) >= 50 THEN round(avg(value), 4) END AS mean FROM events GROUP BY event_type")
 def v13(spark, sf):
-    g = raw(spark, sf, "events").groupBy("event_type").agg(n(), F.countDistinct("user_id").alias("users"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.avg("value"), 4).alias("m"))
+    e = raw(spark, sf, "events")
+    g = e.groupBy("event_type").agg(n(), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("m"))
+    g = with_quantiles(g, e, ["event_type"], {"median": (F.col("value"), 0.5, "linear")}).withColumn("median", F.round("median", 6))
     return g.select("event_type", "n", "users", "median", F.when(F.col("users") >= 50, F.col("m")).alias("mean"))
 
 
@@ -213,5 +217,7 @@ def v17(spark, sf):
 
 @register("V18_chat_recovery", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS chats, round(quantile_cont(length(text), 0.5), 2)::DOUBLE AS median_chars, CASE WHEN count(*) >= 10 THEN round(100.0 * count(*) FILTER (WHERE turn > 1) / count(*), 2)::DOUBLE END AS later_pct FROM conversations GROUP BY role")
 def v18(spark, sf):
-    g = raw(spark, sf, "conversations").groupBy("role").agg(n(), F.countDistinct("conv_id").alias("chats"), F.round(F.percentile(F.length("text"), F.lit(0.5)), 2).alias("median_chars"), F.count_if(F.col("turn") > 1).alias("later"))
+    c = raw(spark, sf, "conversations")
+    g = c.groupBy("role").agg(n(), F.countDistinct("conv_id").alias("chats"), F.count_if(F.col("turn") > 1).alias("later"))
+    g = with_quantiles(g, c, ["role"], {"median_chars": (F.length("text"), 0.5, "linear")}).withColumn("median_chars", F.round("median_chars", 2))
     return g.select("role", "n", "chats", "median_chars", percent(F.col("later"), F.col("n"), FEW).alias("later_pct"))
