@@ -215,7 +215,8 @@ STALE_DAYS = 14
 
 def matched_products(positions: DataFrame, products: DataFrame) -> DataFrame:
     """name, product_id: for each position's name the product with the longest term (name or keyword, in any spelling) that stands in it; of equals the smallest id."""
-    terms = products.select("product_id", F.explode(F.concat(F.array("name"), F.coalesce("keywords", F.array().cast("array<string>")))).alias("term")).where("term <> ''").distinct()
+    more = F.coalesce("keywords", F.array().cast("array<string>")) if "keywords" in products.columns else F.array().cast("array<string>")
+    terms = products.select("product_id", F.explode(F.concat(F.array("name"), more)).alias("term")).where("term <> ''").distinct()
     spelt = over_distinct(terms, "term", "spelt", spellings).withColumn("n", F.length("term")).withColumn("kw", F.explode("spelt")).withColumn("kw", F.array_join(words(F.col("kw")), " "))
     best = spelt.groupBy("kw").agg(F.max(F.struct("n", (-F.col("product_id")).alias("k"))).alias("b"))
     texts = positions.select("name").distinct().withColumn("t", F.array_join(words(F.col("name")), " "))
