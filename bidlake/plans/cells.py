@@ -6,13 +6,14 @@ cut, so a small group loses nothing. With `exact` a second step looks into each
 could hold something nearer than what was found, by the triangle inequality on the cell's radius; without it the answer is approximate,
 and `recall` measures how much is found.
 
-Work is dealt as pairs of blocks: a cell's vectors and its queries are cut into blocks of BLOCK, and a task holds one of each. Equal vectors
+Work is dealt as pairs of blocks: a group's vectors and its queries, in the order of their cells, are cut into blocks of BLOCK, and a task holds one of each; how
+many cells a query looks into doesn't change how often it is sent. Equal vectors
 are compared once: of a crowd of copies only the k + 1 smallest ids can be among anybody's k nearest, and all ask the same question.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidlake.catalog import register
@@ -20,7 +21,7 @@ from bidlake.operators.ordering import top_per
 from bidlake.session import ship
 from bidlake.sources.procurement import raw
 
-BLOCK, SAMPLE, MOST_CELLS, ROUNDS = 512, 20_000, 1024, 8
+BLOCK, CHUNK, SAMPLE, MOST_CELLS, ROUNDS = 8192, 256, 20_000, 1024, 8
 
 
 def unit_rows(df: DataFrame, key: str, vec: str, group: str | None = None) -> DataFrame:
@@ -64,7 +65,9 @@ def index(rows: DataFrame, centroids) -> DataFrame:
         import numpy as np
 
         for pdf in batches:
-            if len(pdf):
+            if len(pdf) and not len(centroids):
+                yield pdf.assign(cell=np.int32(0), far=0.0)
+            elif len(pdf):
                 d = _distances(np.stack(pdf["v"]), centroids)
                 yield pdf.assign(cell=d.argmin(1).astype("int32"), far=d.min(1))
 
@@ -84,8 +87,17 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def _near(v, centroids, probes: int):
+    """For each row of v, whether each cell is one of the `probes` nearest."""
+    import numpy as np
+
+    take = np.zeros((len(v), len(centroids)), bool)
+    np.put_along_axis(take, np.argsort(_distances(v, centroids), axis=1, kind="stable")[:, :probes], True, axis=1)
+    return take
+
+
 def _asked(queries: DataFrame, centroids, probes: int, radius: dict[int, float] | None) -> DataFrame:
-    """Queries with the cells they look into: the `probes` nearest; or, given the cells' radii, the others that could hold something as near as `reach`."""
+    """Queries with the cells they look into (qid, g, cell): the `probes` nearest; or, given the cells' radii, the others that could hold something as near as `reach`."""
 
     def ask(batches):
         import numpy as np
@@ -95,31 +107,56 @@ def _asked(queries: DataFrame, centroids, probes: int, radius: dict[int, float]
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = _distances(np.stack(pdf["v"]), centroids)
-            near = np.argsort(d, axis=1, kind="stable")
-            if far is None:
-                take = np.zeros(d.shape, bool)
-                np.put_along_axis(take, near[:, :probes], True, axis=1)
-            else:
-                take = (far >= 0) & (d - far <= pdf["reach"].to_numpy()[:, None] + 1e-9)
-                np.put_along_axis(take, near[:, :probes], False, axis=1)
+            v = np.stack(pdf["v"])
+            take = _near(v, centroids, probes)
+            if far is not None:
+                take = ~take & (far >= 0) & (_distances(v, centroids) - far <= pdf["reach"].to_numpy()[:, None] + 1e-9)
             row, cell = np.nonzero(take)
             for k in range(0, len(row), 20_000):
-                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row[k : k + 20_000]], "g": pdf["g"].to_numpy()[row[k : k + 20_000]], "v": [pdf["v"].iloc[j] for j in row[k : k + 20_000]], "cell": cell[k : k + 20_000].astype("int32")})
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[row[k : k + 20_000]], "g": pdf["g"].to_numpy()[row[k : k + 20_000]], "cell": cell[k : k + 20_000].astype("int32")})
 
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    return queries.mapInPandas(ask, f"qid {kinds['qid']}, g {kinds['g']}, v array<double>, cell int")
+    return queries.mapInPandas(ask, f"qid {kinds['qid']}, g {kinds['g']}, cell int")
 
 
-def _compared(asked: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
-    """qid, id, s: the k best of each query in each pair of blocks."""
-    size = lambda df: df.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    left, right = size(asked).withColumnRenamed("blocks", "qblocks"), size(indexed).withColumnRenamed("blocks", "vblocks")
-    blocks = left.join(right, ["g", "cell"])
-    deal = lambda df, key, own, other: df.join(blocks, ["g", "cell"]).withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
-    q = deal(asked, "qid", "qblock", "vblock").select("g", "cell", "qblock", "vblock", "qid", "v")
-    x = deal(indexed, "id", "vblock", "qblock").select("g", "cell", "qblock", "vblock", "id", "v")
-    kinds = asked.schema["qid"].dataType.simpleString(), indexed.schema["id"].dataType.simpleString()
+def _best(s, ids, k: int):
+    """Columns of the k greatest of each row of s, ties by id; at most k of them, in no order. Only what reaches a row's k-th value is sorted."""
+    import numpy as np
+
+    if s.shape[1] <= k:
+        return np.nonzero(s > -np.inf)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+    order = np.lexsort((ids[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], col[keep]
+
+
+def _compared(queries: DataFrame, indexed: DataFrame, k: int, centroids, probes: int, radius: dict[int, float] | None = None) -> DataFrame:
+    """qid, id, s: the k best of each query in each pair of blocks, of the cells that it looks into.
+
+    A vector goes to a task once for each block of queries, and a query once for each block of vectors, however many cells it looks into:
+    the blocks are of BLOCK rows, and the task finds out the cells again from the centroids. Blocks of vectors follow the cells, so that with
+    `radius` (the second step) pairs of blocks without a cell that is asked for are left out.
+    """
+    def number(df: DataFrame, key: str, at: str) -> DataFrame:
+        """Blocks along the cells: a cell's rows, by a hash of their id, take up the places behind those of the cells before it."""
+        before = F.sum("rows").over(Window.partitionBy("g").orderBy("cell")) - F.col("rows")
+        places = df.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("before", before)  # a row for each cell
+        return df.join(places, ["g", "cell"]).withColumn(at, F.floor((F.col("before") + F.pmod(F.xxhash64(key), F.col("rows"))) / BLOCK).cast("int")).drop("rows", "before")
+
+    sizes = lambda df, at: df.groupBy("g").agg((F.max(at) + 1).alias(f"{at}s"))
+    q, x = number(queries, "qid", "qblock"), number(indexed, "id", "vblock")
+    fresh = lambda c: (F.col(c) + 0).alias(c)  # noqa: E731  the tables are joined with what is made of them
+    if radius is None:
+        pairs = sizes(q, "qblock").join(sizes(x, "vblock"), "g").select("g", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"), "vblocks").select(F.col("g").alias("g_"), "qblock", F.explode(F.sequence(F.lit(0), F.col("vblocks") - 1)).alias("vblock"))
+    else:
+        wanted = _asked(q.select("qid", "v", "reach", F.struct("g", "qblock").alias("g")), centroids, probes, radius).select(F.col("g.g").alias("g_"), F.col("g.qblock").alias("qblock"), F.col("cell").alias("cell_")).distinct()
+        pairs = wanted.join(x.select("g", "cell", fresh("vblock")).distinct(), (F.col("g") == F.col("g_")) & (F.col("cell") == F.col("cell_"))).select("g_", "qblock", "vblock").distinct()
+    pairs = pairs.select("g_", fresh("qblock"), fresh("vblock")).toDF("g_", "qblock_", "vblock_")
+    kinds = queries.schema["qid"].dataType.simpleString(), indexed.schema["id"].dataType.simpleString()
 
     def best(_, a, b):
         import numpy as np
@@ -127,25 +164,37 @@ def _compared(asked: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
 
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "id": [], "s": []})
-        ids = b["id"].to_numpy()
-        s = np.stack(a["v"]) @ np.stack(b["v"]).T
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s))[:, :k]
-        return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), order.shape[1]), "id": ids[order].ravel(), "s": np.take_along_axis(s, order, axis=1).ravel()})
-
-    keys = ["g", "cell", "qblock", "vblock"]
+        qids, ids, v, cell, out = a["qid"].to_numpy(), b["id"].to_numpy(), np.stack(b["v"]), b["cell"].to_numpy(), []
+        for i in range(0, len(a), CHUNK):
+            w = np.stack(a["v"].iloc[i : i + CHUNK])
+            take = _near(w, centroids, probes)
+            if radius is not None:
+                far = np.array([radius.get(c, -1.0) for c in range(len(centroids))])
+                take = ~take & (far >= 0) & (_distances(w, centroids) - far <= a["reach"].to_numpy()[i : i + CHUNK, None] + 1e-9)
+            s = np.where(take[:, cell], w @ v.T, -np.inf)
+            row, col = _best(s, ids, k)
+            out.append(pd.DataFrame({"qid": qids[i : i + CHUNK][row], "id": ids[col], "s": s[row, col]}))
+        return pd.concat(out)
+
+    q = q.join(pairs, (F.col("g") == F.col("g_")) & (F.col("qblock") == F.col("qblock_"))).select("g", "qblock", F.col("vblock_").alias("vblock"), "qid", "v", *(["reach"] if radius is not None else []))
+    x = x.join(pairs, (F.col("g") == F.col("g_")) & (F.col("vblock") == F.col("vblock_"))).select("g", F.col("qblock_").alias("qblock"), "vblock", "id", "cell", "v")
+    keys = ["g", "qblock", "vblock"]
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes are much work here and must not be put into one task
+    q, x = q.repartition(tasks, *keys), x.repartition(tasks, *keys)
     return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(best, f"qid {kinds[0]}, id {kinds[1]}, s double")
 
 
 def search(indexed: DataFrame, queries: DataFrame, centroids, k: int, probes: int = 4, exact: bool = False) -> DataFrame:
     """The k rows of greatest cosine to each query (qid, g, v), of its group, ties by id: qid, id, s, rn."""
-    found = top_per(_compared(_asked(queries, centroids, probes, None), indexed, k), ["qid"], k, F.desc("s"), "id")
-    if not exact or not len(centroids):
+    queries = index(queries, centroids).select("qid", "g", "v", "cell")  # near queries share blocks
+    found = top_per(_compared(queries, indexed, k, centroids, probes), ["qid"], k, F.desc("s"), "id")
+    if not exact or not len(centroids) or probes >= len(centroids):
         return found
     radius = {r.cell: r.far for r in indexed.groupBy("cell").agg(F.max("far").alias("far")).collect()}  # a row for each cell
     last = found.groupBy("qid").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
     reach = F.when(F.col("n") >= k, F.sqrt(F.greatest(2 - 2 * F.col("s"), F.lit(0.0)))).otherwise(float("inf"))
     wider = queries.join(last, "qid", "left").withColumn("reach", F.coalesce(reach, F.lit(float("inf")))).drop("s", "n")
-    more = _compared(_asked(wider, centroids, probes, radius), indexed, k)
+    more = _compared(wider, indexed, k, centroids, probes, radius)
     return top_per(found.select("qid", "id", "s").unionByName(more), ["qid"], k, F.desc("s"), "id")
 
 

@@ -87,3 +87,23 @@ def test_an_index_as_a_table(spark, tmp_path):
 def test_cells_of_nothing(spark):
     none = spark.createDataFrame([], "id long, label string, v array<double>")
     assert cells.nearest_neighbours(none, "id", "v", 3, group="label").count() == 0
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_a_query_is_sent_once_a_block_not_once_a_cell(spark, monkeypatch, exact):
+    """Noise, where nearly all cells are looked into: the rows that meet don't grow with the cells."""
+    rng = np.random.default_rng(2)
+    u = cells.unit_rows(spark.createDataFrame([(i, rng.normal(0, 1, 16).tolist()) for i in range(300)], "id long, v array<double>"), "id", "v")
+    centroids = cells.fit(u, 30)
+    sent = []
+    deal = type(u.groupBy("id")).cogroup
+    monkeypatch.setattr(type(u.groupBy("id")), "cogroup", lambda a, b: sent.append((a._df, b._df)) or deal(a, b))
+    found = cells.search(cells.index(u, centroids), u.select(F.col("id").alias("qid"), "g", "v"), centroids, 5, 25, exact)
+    m = np.array([r.v for r in u.orderBy("id").collect()])
+    s = m @ m.T
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.qid, []).append((r.rn, r.id))
+    if exact:
+        assert all([j for _, j in sorted(got[i])] == [int(j) for j in np.lexsort((np.arange(300), -s[i]))[:5]] for i in range(300))
+    assert sent and all(a.count() <= 300 and b.count() <= 300 for a, b in sent)
