@@ -234,6 +234,27 @@ def test_near_duplicates_of_chains_and_crowds(spark):
     assert {x.doc_id: x.component_id for x in got} == want
 
 
+def test_near_duplicates_loses_no_link_that_bands_miss(spark):
+    """With two bands nearly no pair at the threshold meets in a bucket: what they miss is found all the same, for any number of bands."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    shared, texts = [word() for _ in range(20)], []
+    for k in range(40):
+        base = [word() for _ in range(60 + k)] + shared  # a common end, so that shingles of unlinked texts meet too
+        for edits in (0, 1, 2, 3, 4):
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(len(w) - 20)] = word()
+            texts.append(w)
+    r.shuffle(texts)
+    d = {i: " ".join(t) for i, t in enumerate(texts)} | {1000: "one two", 1001: "one two three", 1002: ""}
+    want = plain_components({i: shingles(t, 4) for i, t in d.items()})
+    got = minhash.near_duplicates(spark, spark.createDataFrame(list(d.items()), "doc_id long, text string"), width=4, bands=2).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100)]
     got = minhash.components(spark, spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "cc"), "t").collect()
