@@ -78,35 +78,31 @@ def _near_sets(sets: DataFrame, key: str, words: str, near: DataFrame, weight: D
     return by.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "p", "near"))).alias("met"))
 
 
-def matched_sets(products: DataFrame, goods: DataFrame) -> DataFrame:
-    """rule, pk, gk: the sets that each rule brings together. products: pk, tokens; goods: gk, words (all of a name's), said (those that say something)."""
+def matched_sets(products: DataFrame, goods: DataFrame, rules: list[str] = RULES) -> DataFrame:
+    """rule, pk, gk: the sets that each of the rules brings together. products: pk, tokens; goods: gk, words (all of a name's), said (those that say something)."""
     df = lambda sets, words: sets.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    in_products, in_goods = df(products, "tokens"), df(goods, "words")
+    by_rules = lambda pairs, held: pairs.select(F.explode(F.filter(F.array(*[F.when(ok, r) for r, ok in held.items() if r in rules]), lambda r: r.isNotNull())).alias("rule"), "pk", "gk")
+    in_products = df(products, "tokens")
     of_goods = _near_sets(goods, "gk", "said", near_words(goods.select(F.explode("said").alias("p")), in_products), in_products)
-    of_products = _near_sets(products, "pk", "tokens", near_words(products.select(F.explode("tokens").alias("p")), in_goods), in_goods)
     g = goods.join(of_goods, "gk").withColumn("size", F.size("said"))
-    p = products.join(of_products, "pk").withColumn("size", F.size("tokens"))
     covered = lambda met, words: F.size(F.filter(met, lambda x: F.arrays_overlap(x["near"], words)))
     # all of the good's words: by its rarest one
     rare = g.where(F.size("met") == F.col("size")).select("gk", "met", F.col("size").alias("g_size"), F.explode(F.get("met", F.lit(0))["near"]).alias("t"))
     of = products.select("pk", "tokens", F.size("tokens").alias("p_size"), F.explode("tokens").alias("t"))
     inside = rare.join(of, "t").where(covered(F.col("met"), F.col("tokens")) == F.col("g_size")).select("gk", "pk", "g_size", "p_size").distinct()
-    # all of the product's tokens, or two of them: by as many of the rarest as one of them must be met
-    size = F.col("size")
-    least = F.least(F.lit(2), size)
-    first = lambda need: F.slice("met", F.lit(1), F.size("met") - need + 1)
+    inside = by_rules(inside, {"good_in_product": F.lit(True), "shorter_side": F.col("g_size") <= F.col("p_size")})
+    if set(rules) <= {"good_in_product"}:
+        return inside
+    # two of the product's tokens, or its only one: by as many of the rarest as one of them must be met; all of its tokens are met by some of these pairs
+    in_goods = df(goods, "words")
+    of_products = _near_sets(products, "pk", "tokens", near_words(products.select(F.explode("tokens").alias("p")), in_goods), in_goods)
+    p = products.join(of_products, "pk").withColumn("size", F.size("tokens")).withColumn("need", F.least(F.lit(2), "size")).where(F.size("met") >= F.col("need"))
+    first = F.slice("met", F.lit(1), F.size("met") - F.col("need") + 1)
     holds = goods.select("gk", "words", F.size("said").alias("g_size"), F.explode("words").alias("w"))
-
-    def through(part: DataFrame, need: Column) -> DataFrame:
-        keys = part.withColumn("need", need).where(F.size("met") >= F.col("need")).select("pk", "met", "need", "size", F.explode(F.array_distinct(F.flatten(F.transform(first(F.col("need")), lambda x: x["near"])))).alias("w"))
-        return keys.join(holds, "w").where(covered(F.col("met"), F.col("words")) >= F.col("need")).select("gk", "pk", "g_size", F.col("size").alias("p_size")).distinct()
-
-    whole, two = through(p, size), through(p, least)
-    rule = lambda df, name: df.select(F.lit(name).alias("rule"), "pk", "gk")
-    return (
-        rule(inside, "good_in_product").unionByName(rule(whole, "product_in_good")).unionByName(rule(inside.where("g_size <= p_size"), "shorter_side"))
-        .unionByName(rule(whole.where("g_size > p_size AND g_size > 0"), "shorter_side")).unionByName(rule(two, "two_tokens"))
-    )
+    keys = p.select("pk", "met", "need", "size", F.explode(F.array_distinct(F.flatten(F.transform(first, lambda x: x["near"])))).alias("w"))
+    two = keys.join(holds, "w").withColumn("k", covered(F.col("met"), F.col("words"))).where("k >= need").select("gk", "pk", "g_size", "size", "k").distinct()
+    whole = F.col("k") == F.col("size")
+    return inside.unionByName(by_rules(two, {"two_tokens": F.lit(True), "product_in_good": whole, "shorter_side": whole & (F.col("g_size") > F.col("size")) & (F.col("g_size") > 0)}))
 
 
 def _product_sets(products: DataFrame, divisions: DataFrame) -> DataFrame:
@@ -123,8 +119,8 @@ def good_sets(goods: DataFrame) -> DataFrame:
     return cut(seen.join(names, "good").withColumn("gk", F.array_join("words", " ")), "goods")
 
 
-def evidence(products: DataFrame, goods: DataFrame, divisions: DataFrame) -> DataFrame:
-    """What past lots say about each product by each rule: rule, name, category, pk, reason, code, evidence, total, share, weak, top (the three best codes: n, code), known (divisions).
+def evidence(products: DataFrame, goods: DataFrame, divisions: DataFrame, rules: list[str] = RULES) -> DataFrame:
+    """What past lots say about each product by each of the rules: rule, name, category, pk, reason, code, evidence, total, share, weak, top (the three best codes: n, code), known (divisions).
 
     products: name, category; goods: from good_sets(); divisions: category, division (categories without any take all codes).
     Reasons: code; no_tokens; no_candidates (no good's name holds a token); words_differ (none passes the rule); little_evidence; ambiguous.
@@ -133,7 +129,7 @@ def evidence(products: DataFrame, goods: DataFrame, divisions: DataFrame) -> Dat
     kinds = p.select("pk", "tokens", "category", "known").distinct()
     free = lambda code: F.col("known").isNull() | F.array_contains("known", F.substring(code, 1, 2))
     codes = g.groupBy("gk", "code").agg(F.sum("n").alias("n"))
-    pairs = matched_sets(p.select("pk", "tokens").distinct().where(F.size("tokens") > 0), g.select("gk", "words", "said").distinct())
+    pairs = matched_sets(p.select("pk", "tokens").distinct().where(F.size("tokens") > 0), g.select("gk", "words", "said").distinct(), rules)
     counts = pairs.join(codes, "gk").groupBy("rule", "pk", "code").agg(F.sum("n").alias("n")).join(kinds.select("pk", "category", "known"), "pk").where(free("code"))
     of = Window.partitionBy("rule", "pk", "category")
     ranked = counts.withColumn("rn", F.row_number().over(of.orderBy(F.desc("n"), "code"))).withColumn("total", F.sum("n").over(of)).where("rn <= 3")
@@ -145,7 +141,7 @@ def evidence(products: DataFrame, goods: DataFrame, divisions: DataFrame) -> Dat
     folded = g.select("good", fold("good").alias("f")).distinct()
     holding = patterns_in(folded, "f", spelt.select("pattern").distinct(), "pattern", inside=True).select("good", "pattern").join(spelt, "pattern").join(words, "t").select("pk", "good").distinct()
     candidates = holding.join(g.select("good", "code", "n"), "good").join(kinds.select("pk", "category", "known"), "pk").where(free("code")).select("pk", "category").distinct().withColumn("some", F.lit(True))
-    every = p.withColumn("rule", F.explode(F.array(*map(F.lit, RULES)))).join(candidates, ["pk", "category"], "left").join(top, ["rule", "pk", "category"], "left")
+    every = p.withColumn("rule", F.explode(F.array(*map(F.lit, rules)))).join(candidates, ["pk", "category"], "left").join(top, ["rule", "pk", "category"], "left")
     best = F.get("top", F.lit(0))
     share = F.col("evidence") / F.col("total")
     every = every.withColumn("evidence", F.coalesce(best["n"], F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
@@ -212,9 +208,9 @@ def known_divisions(spark, sf) -> DataFrame:
     return product(spark, sf).where("code IS NOT NULL").select("category", F.substring("code", 1, 2).alias("division")).distinct()
 
 
-def _found(spark, sf, goods: DataFrame, confirmed: bool = False) -> DataFrame:
+def _found(spark, sf, goods: DataFrame, confirmed: bool = False, rules: list[str] = RULES) -> DataFrame:
     p = product(spark, sf).where("code IS NOT NULL" if confirmed else "code IS NULL").select("name", "category").distinct()
-    return evidence(p, goods, known_divisions(spark, sf))
+    return evidence(p, goods, known_divisions(spark, sf), rules)
 
 
 _NEAR = lambda p, w: f"(({p} = {w} OR (length({p}) >= 4 AND starts_with({w}, {p}) AND length({w}) - length({p}) <= 2)) OR (length({p}) >= 6 AND (left({p}, length({p}) - 1) = {w} OR (starts_with({w}, left({p}, length({p}) - 1)) AND length({w}) - length({p}) + 1 <= 2))))"
@@ -267,14 +263,14 @@ def d28(spark, sf):
 def d29(spark, sf):
     """The standard rule's findings under every policy."""
     g = good_sets(good(spark, sf))
-    found = _found(spark, sf, g).where(F.col("rule") == RULES[0])
+    found = _found(spark, sf, g, rules=RULES[:1])
     return decided(found, rivals(found, g)).select("policy", "name", "category", "decision", "why")
 
 
 @register("D30_head_noun_conflict", sql("product good", f", {_evidence_sql('code IS NULL')}, {_rival_sql()} SELECT w.name, w.category, w.head, rival FROM wn w LEFT JOIN rv USING (rule, name, category) WHERE w.rule = '{RULES[0]}'"))
 def d30(spark, sf):
     g = good_sets(good(spark, sf))
-    found = _found(spark, sf, g).where(F.col("rule") == RULES[0])
+    found = _found(spark, sf, g, rules=RULES[:1])
     return found.where("code IS NOT NULL").select("name", "category", head_noun(F.col("name")).alias("head")).join(rivals(found, g).drop("rule"), ["name", "category"], "left")
 
 
@@ -284,10 +280,10 @@ def d30(spark, sf):
 def d54(spark, sf):
     """Codes in batch: sure ones are applied to products without; confirmed ones that the standard policy wouldn't give today are marked, none is taken away."""
     p, g = product(spark, sf), good_sets(good(spark, sf))
-    new = p.where("code IS NULL").select("product_id", "name", "category").join(_found(spark, sf, g).where(F.col("rule") == RULES[0]), ["name", "category"])
+    new = p.where("code IS NULL").select("product_id", "name", "category").join(_found(spark, sf, g, rules=RULES[:1]), ["name", "category"])
     sure = (F.col("reason") == "code") & ~F.col("weak")
     new = new.select("product_id", F.when(sure, "apply").otherwise("leave").alias("action"), F.when(sure, F.col("code")).alias("code"))
-    again = _found(spark, sf, g, confirmed=True).where(F.col("rule") == RULES[0])
+    again = _found(spark, sf, g, confirmed=True, rules=RULES[:1])
     again = decided(again, rivals(again, g)).where(F.col("policy") == STANDARD).select("name", "category", "decision", F.col("code").alias("found"))
     old = p.where("code IS NOT NULL").join(again, ["name", "category"])
     same = (F.col("decision") == "auto") & F.coalesce(F.col("found") == F.col("code"), F.lit(False))
@@ -315,5 +311,5 @@ def d55(spark, sf):
 @register("D56_why_no_suggestion", sql("product good", f", {_evidence_sql('code IS NULL')} SELECT product_id, reason AS why, evidence::BIGINT AS evidence, total::BIGINT AS total FROM product p JOIN ev ON ev.name = p.name AND ev.category = p.category AND rule = '{RULES[0]}' WHERE p.code IS NULL"))
 def d56(spark, sf):
     """For each product without a code, how far the standard rule came with it."""
-    found = _found(spark, sf, good_sets(good(spark, sf))).where(F.col("rule") == RULES[0]).select("name", "category", F.col("reason").alias("why"), "evidence", "total")
+    found = _found(spark, sf, good_sets(good(spark, sf)), rules=RULES[:1]).select("name", "category", F.col("reason").alias("why"), "evidence", "total")
     return product(spark, sf).where("code IS NULL").select("product_id", "name", "category").join(found, ["name", "category"]).drop("name", "category")
