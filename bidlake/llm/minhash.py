@@ -23,6 +23,9 @@ stay linear. Step 4 looks at the places of a shingle in pairs, which is quadrati
 that share it, lie in different components and are that near to the threshold; groups beyond
 SALTED such texts are dealt over several tasks. The links are all that exist.
 
+Full sets are wanted of a part of the texts only. Texts pass a filter of bits of those ids before they are
+shuffled (`_sieved`); it is of fixed size, so with hundreds of millions of wanted ids more texts pass in vain.
+
 With 48 bands of 7 values, two documents of similarity 0.8 share no bucket with
 probability 1.2e-5, and have ten in common on average; a passage that makes up two fifths
 of many texts fills a bucket with 0.2 % of them, where bands of 5 values would hold 1 %.
@@ -43,6 +46,8 @@ from bidlake.llm.common import Workspace, find_words, hash_words, mix, shingle_h
 
 SHINGLE, BANDS, ROWS = 5, 48, 7
 SALTED = 5000
+#: Bits of the filter that texts pass before they are shuffled, and bits of one row of it: 4 MB at most, whatever the input.
+SIEVE, SIEVE_ROW = 1 << 25, 1 << 15
 SIGNED = "id {id}, n_shingles long, set_a long, set_b long, bands array<long>, first array<long>"
 
 
@@ -164,9 +169,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     key = ["n_shingles", "set_a", "set_b"]
     usable = signed.where("n_shingles > 0 AND id IS NOT NULL")
     reps = ws.cut(usable.groupBy(*key).agg(F.min("id").alias("rep")), "reps")
-    # the representatives' own rows; repeated rows of one id and set count once
-    rep_rows = usable.join(reps.withColumnsRenamed({k: k + "_" for k in key}), (F.col("id") == F.col("rep")) & (F.col("set_a") == F.col("set_a_")) & (F.col("set_b") == F.col("set_b_")))
-    buckets = rep_rows.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key")).dropDuplicates(["rep", "band", "key"])
+    # the representatives' own rows; repeated rows of one id and set count once (before their bands are dealt: the join's partitions serve)
+    own = reps.withColumnsRenamed({k: k + "_" for k in key}).select("rep", *(k + "_" for k in key))
+    rep_rows = usable.join(own, [F.col("id") == F.col("rep"), *(F.col(k) == F.col(k + "_") for k in key)]).groupBy("id", *key).agg(F.first("bands").alias("bands"))
+    buckets = rep_rows.select(F.col("id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = ws.cut(buckets.select("rep", F.col("n_shingles").alias("n"), F.xxhash64("band", "key").alias("bucket")), "buckets")
     shared = ws.cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
     crowd = ws.cut(buckets.join(shared, "bucket"), "crowd")
@@ -204,10 +210,21 @@ def _near_sizes(a, b, percent: int):
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """The distinct sets (id, shingles) of the documents whose id is in ids (id_)."""
     kind = docs.schema["id"].dataType.simpleString()
-    sets = docs.join(ids, F.col("id") == F.col("id_"), "left_semi").mapInArrow(_set_writer(width), f"id {kind}, shingles array<long>")
+    # no semi join, which would be moved before the sieve
+    sets = _sieved(docs, ids).join(ids.select("id_").distinct(), F.col("id") == F.col("id_")).select("id", "text").mapInArrow(_set_writer(width), f"id {kind}, shingles array<long>")
     return sets.where(F.size("shingles") > 0).dropDuplicates(["id", "shingles"])
 
 
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """All rows of docs whose id is in ids (id_) and few others: a bit for each hash of an id, so that a join needn't shuffle every text."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    bit = ids.select(F.floor(place("id_") / SIEVE_ROW).alias("line"), (place("id_") % SIEVE_ROW).alias("bit")).repartition("line")
+    lines = bit.groupBy("line").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    at = place("id") % SIEVE_ROW
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(lines), F.floor(place("id") / SIEVE_ROW) == F.col("line")).where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(docs.columns)
+
+
 def _missed(docs: DataFrame, first: DataFrame, named: DataFrame, width: int, percent: int, ws: Workspace) -> DataFrame:
     """The links between different components, as pairs (u, v) of components; none is left out.
 

@@ -255,6 +255,29 @@ def test_near_duplicates_loses_no_link_that_bands_miss(spark):
     assert {x.doc_id: x.component_id for x in got} == want
 
 
+def test_few_candidates_do_not_shuffle_every_text(spark):
+    """Sets of a few of many texts: their texts are shuffled, not all; too many ids for a broadcast."""
+    import random
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    r = random.Random(3)
+    rows = [(k, " ".join(f"{r.getrandbits(64):x}" for _ in range(120))) for k in range(2000)] + [(None, "a b c d"), (5, "another text of the id")]
+    docs, ids = spark.createDataFrame(rows, "id long, text string"), spark.range(0, 2000, 40).toDF("id_")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = minhash._sets(docs, ids, 4).collect()
+        moved = written() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sorted(x.id for x in got) == list(range(0, 2000, 40))
+    assert moved < sum(len(t) for _, t in rows) / 5  # the sets of a fortieth are a twentieth of that
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100)]
     got = minhash.components(spark, spark.createDataFrame(edges, "u long, v long"), Workspace(spark, "cc"), "t").collect()
