@@ -40,10 +40,10 @@ def score(keywords: list[str], regions: list[str], low: float | None, high: floa
     return F.struct(F.bround(total, 0).cast("int").alias("score"), F.array_join(why, ",").alias("reasons"))
 
 
-def candidates(spark, sf) -> DataFrame:
-    """Tenders with their goods' names in one text."""
-    g = good(spark, sf).groupBy("tender_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("goods"))
-    t = tender(spark, sf)
+def candidates(spark, sf, only: DataFrame | None = None) -> DataFrame:
+    """Tenders with their goods' names in one text; of `only` these tenders, where it is given, and then no other goods are gathered."""
+    t = tender(spark, sf) if only is None else only
+    g = good(spark, sf, only).groupBy("tender_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("goods"))
     return t.join(g, t.id == g.tender_id, "left").drop("tender_id")
 
 

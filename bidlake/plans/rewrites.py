@@ -77,17 +77,23 @@ def patterns_in(df: DataFrame, text: str, patterns: DataFrame, pattern: str, ins
     return df.join(found, df[text] == found.t).drop("t")
 
 
+def term_starts(text: str, terms: DataFrame, term: str) -> tuple[Column, dict[str, Column]]:
+    """What begins at each word of a text, cut at each length that terms have, as an array without repeats; and the columns that it is made of, to be added first. Both of words joined by single blanks."""
+    shape = terms.select(F.col(term).alias("__term")).where("__term <> ''").agg(F.collect_set(F.length("__term")).alias("n"), F.max(F.size(F.split("__term", " "))).alias("words"))
+    made = {"__lengths": shape.select("n").scalar(), "__most": shape.select(F.coalesce("words", F.lit(1))).scalar()}
+    words = F.split(F.col(text), " ")
+    runs = F.array_distinct(F.transform(words, lambda _, i: F.array_join(F.slice(words, i + 1, F.col("__most")), " ")))
+    starts = F.transform(runs, lambda r: F.transform(F.filter(F.col("__lengths"), lambda n: n <= F.length(r)), lambda n: F.substring(r, F.lit(1), n)))
+    return F.array_distinct(F.flatten(starts)), made
+
+
 def terms_in(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
     """Distinct texts with each of the terms that stands at the beginning of a word in them: both of words joined by single blanks.
 
     A term is compared with what begins at each word of a text, cut at each length that terms have, so the join is by
-    equality and costs the texts' words times the terms' different lengths.
+    equality and costs the texts' words times the terms' different lengths. Repeats are dropped within a text's row.
     """
     p = terms.select(F.col(term).alias("__term")).where("__term <> ''").distinct()
-    shape = p.agg(F.collect_set(F.length("__term")).alias("n"), F.max(F.size(F.split("__term", " "))).alias("words"))
-    lengths, most = shape.select("n").scalar(), shape.select(F.coalesce("words", F.lit(1))).scalar()
-    words = F.split("__t", " ")
-    runs = F.transform(words, lambda _, i: F.array_join(F.slice(words, i + 1, F.col("__most")), " "))
-    found = texts.select(F.col(text).alias("__t")).where("__t <> ''").distinct().withColumn("__most", most).withColumn("__run", F.explode(F.array_distinct(runs))).withColumn("__n", F.explode(lengths)).where(F.length("__run") >= F.col("__n"))
-    found = found.select("__t", F.expr("substring(__run, 1, __n)").alias("__term")).distinct().join(p, "__term")
+    starts, made = term_starts("__t", terms, term)
+    found = texts.select(F.col(text).alias("__t")).where("__t <> ''").distinct().withColumns(made).select("__t", F.explode(starts).alias("__term")).join(p, "__term")
     return found.select(F.col("__t").alias(text), F.col("__term").alias(term))

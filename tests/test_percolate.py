@@ -108,3 +108,64 @@ def test_tenders_meet_lists_of_keywords_not_searches(spark, monkeypatch, tmp_pat
         catalog.queries()[name](spark, source)
     few, many = (f.count() for f in seen)
     assert few == many > 0
+
+
+SEARCHES = "sid long, keywords array<string>, regions array<string>, low double, high double, wants string, company_id long"
+
+
+def shuffles(df):
+    """Exchanges of rows in a plan, broadcasts aside."""
+    return sum("Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x for x in str(df._jdf.queryExecution().executedPlan()).split("== Initial Plan ==")[-1].splitlines())
+
+
+def test_words_and_pairs_stay_where_their_tender_is(spark):
+    """What texts are cut into, and tenders' pairs with searches, are never shuffled where the searches are few."""
+    tenders, searches = some(1)
+    t = spark.createDataFrame(tenders, TENDERS).withColumn("blob", F.concat_ws(" ", "title", "goods")).repartition(4, "id")
+    s = spark.createDataFrame([(*x, x[0] % 3) for x in searches], SEARCHES)
+    own = shuffles(t)
+    assert own == 1 and shuffles(percolate.keyword_hits(t, s)) == own and shuffles(percolate.best_scores(t, s, ("company_id",))) == own
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_best_scores_are_those_of_the_best_searches(spark, seed):
+    tenders, searches = some(seed, m=250)
+    t = spark.createDataFrame(tenders, TENDERS).withColumn("blob", F.concat_ws(" ", "title", "goods"))
+    s = spark.createDataFrame([(*x, x[0] % 3) for x in searches], SEARCHES)
+    want = {(r.id, r.company_id): r.score for r in percolate.best_searches(t, s, ("company_id",)).collect()}
+    assert {(r.id, r.company_id): r.score for r in percolate.best_scores(t, s, ("company_id",)).collect()} == want and want
+
+
+@pytest.mark.parametrize("seed,k", [(1, 3), (2, 3), (3, 12), (4, 60)])
+def test_no_tender_is_left_out_that_can_come_first(spark, seed, k):
+    """Company 0 has many coded tenders, company 1 fewer than 60; then nothing may be left out. Deadlines are few, some are missing."""
+    rnd = random.Random(seed)
+    ends = {i: rnd.choice([None, *(f"1998-0{m}-01 00:00:00" for m in (6, 7, 8))]) for i in range(200)}
+    rows = [(c, i, 100) for c in (0, 1) for i in rnd.sample(range(200), (90, 40)[c])]
+    found = [(c, i, rnd.choice([100, 100, 90, 60])) for c in (0, 1) for i in rnd.sample(range(200), 120)]
+    t = spark.createDataFrame(list(ends.items()), "id long, close_at string").withColumn("close_at", F.col("close_at").cast("timestamp"))
+    pairs = lambda x: spark.createDataFrame(x, "company_id long, id long, score int").join(t, "id")
+    coded = percolate.foremost(pairs(rows), k)
+    left = {r.id for r in percolate.unsettled(t, spark.createDataFrame([(0,), (1,)], "company_id long"), coded, k).collect()}
+    best = {}
+    for c, i, s in rows + found:
+        best[c, i] = max(best.get((c, i), 0), s)
+    key = lambda c, i, s: (-s, ends[i] is None, ends[i] or "", i)
+    for c in (0, 1):
+        first = sorted((key(c, i, s), i) for (d, i), s in best.items() if d == c)[:k]
+        assert {i for _, i in first} <= left | {i for d, i, _ in rows if d == c}
+        own = sorted((key(c, i, s), i) for d, i, s in rows if d == c)[:k]
+        assert [r.id for r in coded.where(F.col("company_id") == c).orderBy("place").collect()] == [i for _, i in own]
+    assert len(left) < 200 if k < 40 else len(left) == 200
+
+
+def test_runs_over_long_and_repeated_histories(spark):
+    """Subscribers that were sent nearly all, all, or nothing, in rows that repeat, beside what others were sent."""
+    rnd = random.Random(6)
+    cands = [(c, i, rnd.choice([60, 100]), None) for c in range(2) for i in range(c, 90, 2)]
+    ranks = {c: [i for _, i in sorted((-s, i) for d, i, s, _ in cands if d == c)] for c in range(2)}
+    subs = [(k, k % 2) for k in range(8)]
+    sent = [(0, i) for i in ranks[0]] + [(1, i) for i in ranks[1][:-3]] + [(2, i) for i in ranks[0][5:]] * 2 + [(3, i) for i in ranks[0]] + [(4, i) for i in ranks[0][1::2]] + [(99, 1)]
+    f = percolate.notified(spark.createDataFrame(cands, "company_id long, id long, score int, close_at timestamp"), spark.createDataFrame(subs, "sub long, company_id long"), spark.createDataFrame(sent, "sub long, id long"), 7)
+    got = {(r.sub, r.rn): r.id for r in f.collect()}
+    assert got == {(s, k + 1): i for s, c in subs for k, i in enumerate([i for i in ranks[c] if (s, i) not in sent][:7])}
